@@ -35,6 +35,10 @@ def term_weight(tf: Column, doc_len: Column, avg_len: Column) -> Column:
     return tf * (fv.BM25_K1 + 1.0) / (tf + fv.BM25_K1 * norm)
 
 
+def occurrences(hits: str, word: str) -> Column:
+    return F.size(F.filter(hits, lambda x: x == word)).cast("double")
+
+
 def narrow(df: DataFrame, wing: str | None, room: str | None) -> DataFrame:
     """Optional equality filters, built only when given so that they prune."""
     if wing is not None:
@@ -91,8 +95,7 @@ def score_text(
     )
     parts = []
     for i, w in enumerate(terms):
-        tf = F.size(F.filter("_hits", lambda x, w=w: x == w)).cast("double")
-        weight = term_weight(tf, F.col("_len"), F.col("_stats.avg_len"))
+        weight = term_weight(occurrences("_hits", w), F.col("_len"), F.col("_stats.avg_len"))
         parts.append(idf(F.col("_stats.n"), F.col("_stats.df")[i]) * weight)
     total = reduce(lambda a, b: a + b, parts)
     return rows.withColumn("bm25", F.when(F.size("_hits") > 0, total)).drop(
@@ -221,8 +224,7 @@ def multi_query_scores(drawers: DataFrame, probes: list[dict]) -> DataFrame:
         parts = [
             idf(F.col("_s.n"), F.col("_s.df")[at[w]])
             * term_weight(
-                F.size(F.filter("_hits", lambda x, w=w: x == w)).cast("double"),
-                F.col("_len"), F.col("_s.avg_len"),
+                occurrences("_hits", w), F.col("_len"), F.col("_s.avg_len")
             )
             for w in ws
         ]
