@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unicode White_Space, spelled out so that both btrim() and a regex class agree.
@@ -77,3 +77,19 @@ def best_label(
     for label, score in ordered:
         chain = chain.when(score == best, F.lit(label))
     return chain
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that are evaluated exactly once per row.
+
+    A filter on a plain column is pushed below its projection as a copy of the
+    whole expression.  A filter on a generated column stays above, so costly text
+    work is not repeated in filters.
+    """
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline_outer(F.array(made)))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import fixed_values as fv
 from mnemospark.functions import queries as q
 from mnemospark.functions import text as t
-from mnemospark.functions.columns import any_of
+from mnemospark.functions.columns import any_of, computed, let
 
 TERM_BUCKETS = 512
 
@@ -49,14 +49,25 @@ def narrow(df: DataFrame, wing: str | None, room: str | None) -> DataFrame:
 
 
 # ------------------------------------------------------------ un-indexed text
-def _with_hits(drawers: DataFrame, terms: list[str]) -> DataFrame:
-    """Adds doc_len and the query-term occurrences of each row."""
-    return drawers.withColumn("_tokens", t.tokens("content")).withColumns(
-        {
-            "_len": F.size("_tokens"),
-            "_hits": F.filter("_tokens", lambda x: x.isin(terms)),
-        }
-    ).drop("_tokens")
+def _with_hits(rows: DataFrame, terms: list[str], skip_misses: bool = False) -> DataFrame:
+    """Adds _len and the query-term occurrences _hits of each row.
+
+    With ``skip_misses`` a cheap substring test decides first, and rows that
+    cannot match are not tokenised; their _hits are null.
+    """
+    words = t.tokens("content")
+    if skip_misses:
+        low = F.lower("content")
+        words = F.when(any_of(low.contains(w) for w in terms), words)
+    one = let(
+        words,
+        lambda ws: F.struct(
+            F.size(ws).alias("len"), F.filter(ws, lambda x: x.isin(terms)).alias("hits")
+        ),
+    )
+    return computed(rows, {"_w": one}).withColumns(
+        {"_len": F.col("_w.len"), "_hits": F.col("_w.hits")}
+    ).drop("_w")
 
 
 def corpus_stats(drawers: DataFrame, terms: list[str]) -> DataFrame:
@@ -83,24 +94,14 @@ def score_text(
     if not terms:
         return scope.withColumn("bm25", F.lit(None).cast("double"))
     stats = corpus_stats(drawers, terms).select(F.struct("n", "avg_len", "df")).scalar()
-    low = F.lower("content")
-    # A cheap substring test first; only rows that may match are tokenised.
-    maybe = any_of(low.contains(w) for w in terms)
-    rows = scope.withColumn("_tokens", F.when(maybe, t.tokens("content"))).withColumns(
-        {
-            "_len": F.size("_tokens"),
-            "_hits": F.filter("_tokens", lambda x: x.isin(terms)),
-            "_stats": stats,
-        }
-    )
+    rows = _with_hits(scope, terms, skip_misses=True).withColumn("_stats", stats)
     parts = []
     for i, w in enumerate(terms):
         weight = term_weight(occurrences("_hits", w), F.col("_len"), F.col("_stats.avg_len"))
         parts.append(idf(F.col("_stats.n"), F.col("_stats.df")[i]) * weight)
     total = reduce(lambda a, b: a + b, parts)
-    return rows.withColumn("bm25", F.when(F.size("_hits") > 0, total)).drop(
-        "_tokens", "_len", "_hits", "_stats"
-    )
+    scored = computed(rows, {"bm25": F.when(F.size("_hits") > 0, total)})
+    return scored.drop("_len", "_hits", "_stats")
 
 
 def bm25_search(
@@ -121,18 +122,18 @@ def postings(drawers: DataFrame) -> DataFrame:
     A drawer is one row, so its term counts are run lengths in its own sorted
     token array; grouping exploded tokens would shuffle every one of them.
     """
-    ordered = drawers.select(
-        F.col("id").alias("drawer_id"), "wing", "room",
-        F.array_sort(t.tokens("content")).alias("s"),
-    )
-    starts = ordered.withColumn(
-        "p",
-        F.filter(
-            F.transform(
-                "s", lambda x, i: F.when((i == 0) | (F.get("s", i - 1) != x), i)
-            ),
-            F.isnotnull,
-        ),
+    keyed = drawers.select(F.col("id").alias("drawer_id"), "wing", "room", "content")
+    ordered = computed(keyed, {"s": F.array_sort(t.tokens("content"))}).drop("content")
+    starts = computed(
+        ordered,
+        {
+            "p": F.filter(
+                F.transform(
+                    "s", lambda x, i: F.when((i == 0) | (F.get("s", i - 1) != x), i)
+                ),
+                F.isnotnull,
+            )
+        },
     )
     runs = starts.withColumn(
         "r",
@@ -217,7 +218,7 @@ def multi_query_scores(drawers: DataFrame, probes: list[dict]) -> DataFrame:
             F.lit(0).alias("probe"), "*", F.lit(0.0).alias("bm25")
         )
     stats = corpus_stats(drawers, vocabulary).select(F.struct("n", "avg_len", "df")).scalar()
-    rows = _with_hits(drawers, vocabulary).filter(F.size("_hits") > 0).withColumn("_s", stats)
+    rows = _with_hits(drawers, vocabulary, skip_misses=True).filter(F.size("_hits") > 0).withColumn("_s", stats)
     at = {w: i for i, w in enumerate(vocabulary)}
     per_probe = []
     for i, (probe, ws) in enumerate(zip(probes, term_lists)):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.functions import fixed_values as fv
-from mnemospark.functions.columns import WHITESPACE, lines_of, trim_ws
+from mnemospark.functions.columns import WHITESPACE, let, lines_of, trim_ws
 from mnemospark.operators.memories import line_groups, paragraphs
 
 
@@ -75,7 +75,9 @@ def _exchange_chunks(text: Column) -> Column:
     parts = F.split(text, r"\r?\n(?=[^\S\n]*>)")
 
     def exchange(part: Column) -> Column:
-        lines = F.transform(lines_of(part), trim_ws)
+        return let(F.transform(lines_of(part), trim_ws), exchange_of)
+
+    def exchange_of(lines: Column) -> Column:
         rest = F.slice(lines, 2, 2**31 - 1)
         rule = F.array_position(F.transform(rest, lambda s: s.startswith("---")), True)
         reply = F.when(rule > 0, F.slice(rest, 1, (rule - 1).cast("int"))).otherwise(rest)
@@ -93,9 +95,15 @@ def _exchange_chunks(text: Column) -> Column:
 
 def _paragraph_chunks(text: Column) -> Column:
     """Paragraphs numbered before short ones are dropped."""
-    lines = lines_of(text)
-    paras = paragraphs(text)
-    chosen = F.when((F.size(paras) <= 1) & (F.size(lines) > 20), line_groups(lines)).otherwise(paras)
+    chosen = let(
+        lines_of(text),
+        lambda lines: let(
+            paragraphs(text),
+            lambda ps: F.when(
+                (F.size(ps) <= 1) & (F.size(lines) > 20), line_groups(lines)
+            ).otherwise(ps),
+        ),
+    )
     numbered = F.transform(
         chosen, lambda c, i: F.struct(i.alias("chunk_index"), c.alias("content"))
     )

@@ -29,5 +29,5 @@ def list_closets(
 
 def resolve(closets: DataFrame, drawers: DataFrame) -> DataFrame:
     """One row per (closet, drawer) pointer that still leads somewhere."""
-    pointers = closets.select("topic", F.posexplode("pointer_drawer_ids").alias("at", "id"))
+    pointers = closets.select("topic", F.posexplode("pointer_drawer_ids").alias("pos", "id"))
     return pointers.join(drawers.select("id", "wing", "room", "content"), "id")

@@ -12,6 +12,8 @@ from mnemospark.functions.columns import (
     WHITESPACE_CLASS,
     any_of,
     best_label,
+    computed,
+    let,
     lines_of,
     trim_ws,
 )
@@ -43,21 +45,24 @@ def _is_turn(line: Column) -> Column:
 def segments(text: Column | str) -> Column:
     """Turns where there are three or more, else paragraphs, else line groups."""
     text = F.col(text) if isinstance(text, str) else text
-    lines = lines_of(text)
-    turns = F.filter(lines, _is_turn)
     # Each turn line opens a segment: mark it, then cut at the marks.
     mark = "\x1e"
-    marked = F.transform(
-        lines, lambda s, i: F.when((i > 0) & _is_turn(s), F.concat(F.lit(mark), s)).otherwise(s)
-    )
-    by_turn = F.split(F.array_join(marked, "\n"), "\n" + mark)
-    paras = paragraphs(text)
-    grouped = F.filter(line_groups(lines), lambda s: s != "")
-    return (
-        F.when(F.size(turns) >= 3, by_turn)
-        .when((F.size(paras) <= 1) & (F.size(lines) > 20), grouped)
-        .otherwise(paras)
-    )
+
+    def pick(lines: Column) -> Column:
+        turns = F.size(F.filter(lines, _is_turn))
+        marked = F.transform(
+            lines,
+            lambda s, i: F.when((i > 0) & _is_turn(s), F.concat(F.lit(mark), s)).otherwise(s),
+        )
+        by_turn = F.split(F.array_join(marked, "\n"), "\n" + mark)
+        grouped = F.filter(line_groups(lines), lambda s: s != "")
+        by_blank = let(
+            paragraphs(text),
+            lambda ps: F.when((F.size(ps) <= 1) & (F.size(lines) > 20), grouped).otherwise(ps),
+        )
+        return F.when(turns >= 3, by_turn).otherwise(by_blank)
+
+    return let(lines_of(text), pick)
 
 
 def _is_code(line: Column) -> Column:
@@ -108,58 +113,57 @@ def extract_memories(
     over the text's own array of segments and needs no shuffle.
     """
     keep = [c for c in texts.columns if c != text]
-    split = texts.withColumn("_segs", segments(text))
-    rows = split.select(*keep, F.posexplode("_segs").alias("_pos", "_seg")).filter(
+    rows = texts.select(*keep, F.posexplode(segments(text)).alias("_pos", "_seg")).filter(
         F.octet_length(trim_ws("_seg")) >= fv.MIN_SEGMENT_BYTES
     )
-    typed = score_segments(rows, "_seg").filter(
-        F.col("memory_type").isNotNull() & (F.col("confidence") >= min_confidence)
-    )
+    typed = score_segments(rows, "_seg").filter(F.col("confidence") >= min_confidence)
     return typed.select(
         *keep, "_pos", "memory_type", "confidence", trim_ws("_seg").alias("content")
     )
 
 
 def score_segments(rows: DataFrame, segment: str) -> DataFrame:
-    """Adds memory_type (null where no marker fits) and confidence."""
-    with_prose = rows.withColumn("_prose", prose(F.col(segment))).withColumn(
-        "_low", F.lower("_prose")
-    )
-    counts = with_prose.withColumns(
-        {f"_{label}": marker_count(F.col("_low"), pats) for label, pats in fv.MEMORY_MARKERS}
+    """Adds memory_type and confidence; segments without any marker are dropped.
+
+    Prose, then counts, then the verdict: each step is evaluated once per row.
+    """
+    with_prose = computed(rows, {"_prose": prose(F.col(segment))})
+    lowered = computed(with_prose, {"_low": F.lower("_prose")})
+    counts = computed(
+        lowered,
+        {f"_{label}": marker_count(F.col("_low"), pats) for label, pats in fv.MEMORY_MARKERS},
     )
     scores = [(label, F.col(f"_{label}")) for label, _ in fv.MEMORY_MARKERS]
+    top = F.greatest(*[s for _, s in scores])
     size = F.octet_length(segment)
     bonus = F.when(size > 500, 2).when(size > 200, 1).otherwise(0)
-    ranked = counts.withColumns(
+    # Only problems are looked at again for a resolution and the mood.
+    is_problem = F.col("_best") == "problem"
+    ranked = counts.filter(top > 0).withColumn("_best", best_label(scores, None, last_wins=True))
+    judged = computed(
+        ranked,
         {
-            "_best": best_label(scores, None, last_wins=True),
-            "_top": F.greatest(*[s for _, s in scores]),
-        }
-    ).filter(F.col("_top") > 0)
-    judged = ranked.withColumns(
-        {
-            "_mood": F.when(F.col("_best") == "problem", sentiment(F.col("_prose"))),
+            "_mood": F.when(is_problem, sentiment(F.col("_prose"))),
             "_solved": F.when(
-                F.col("_best") == "problem",
+                is_problem,
                 any_of(F.col("_low").rlike(_UNICODE + p) for p in fv.RESOLUTION_MARKERS),
             ),
-        }
+        },
     )
     moved, upbeat = F.col("_emotional") > 0, F.col("_mood") > 0
     kind = (
-        F.when(F.col("_best") != "problem", F.col("_best"))
+        F.when(~is_problem, F.col("_best"))
         .when(F.col("_solved") & moved & upbeat, "emotional")
         .when(F.col("_solved"), "milestone")
         .when(upbeat & (F.col("_milestone") > 0), "milestone")
         .when(upbeat & moved, "emotional")
         .otherwise("problem")
     )
-    helper = ["_prose", "_low", "_best", "_top", "_mood", "_solved"]
+    helper = ["_prose", "_low", "_best", "_mood", "_solved"]
     return judged.withColumns(
         {
             "memory_type": kind,
-            "confidence": F.least((F.col("_top") + bonus) / 5.0, F.lit(1.0)),
+            "confidence": F.least((top + bonus) / 5.0, F.lit(1.0)),
         }
     ).drop(*helper, *[f"_{label}" for label, _ in fv.MEMORY_MARKERS])
 

@@ -351,11 +351,11 @@ def rewrite_sql() -> str:
         f"s0 AS (SELECT o_orderkey, query, trim(regexp_replace(CASE {whens} ELSE body END, '\\s+', ' ', 'g')) AS x FROM b)",
     ]
     for i, (short, full) in enumerate(fv.QUERY_EXPANSIONS):
-        at = f"instr(x, {lit(short)})"
-        after = f"substr(x, {at} + {len(short)})"
+        pos = f"instr(x, {lit(short)})"
+        after = f"substr(x, {pos} + {len(short)})"
         ctes.append(
-            f"s{i + 1} AS (SELECT o_orderkey, query, CASE WHEN {at} > 0 AND {after} <> '' "
-            f"AND contains(E' ,.;:\\t\\n', substr({after}, 1, 1)) THEN substr(x, 1, {at} - 1) || {lit(full)} || {after} "
+            f"s{i + 1} AS (SELECT o_orderkey, query, CASE WHEN {pos} > 0 AND {after} <> '' "
+            f"AND contains(E' ,.;:\\t\\n', substr({after}, 1, 1)) THEN substr(x, 1, {pos} - 1) || {lit(full)} || {after} "
             f"ELSE x END AS x FROM s{i})"
         )
     return "WITH " + ", ".join(ctes) + f" SELECT o_orderkey, trim(x) AS rewritten FROM s{len(fv.QUERY_EXPANSIONS)}"
@@ -368,15 +368,15 @@ def sanitize_sql() -> str:
     markers = "[" + ", ".join(lit(m) for m in fv.QUERY_MARKERS) + "]"
     prefixes = " OR ".join(f"starts_with(lower(line), {lit(p)})" for p in fv.DROPPED_LINE_PREFIXES)
     return f"""WITH q AS (SELECT o_orderkey, {QUESTION} AS query FROM orders),
- ln AS (SELECT o_orderkey, unnest(string_split(query, chr(10))) AS line, generate_subscripts(string_split(query, chr(10)), 1) AS at FROM q),
- fl AS (SELECT o_orderkey, at, trim(line) AS line, count(*) FILTER (starts_with(trim(line), '```')) OVER (PARTITION BY o_orderkey ORDER BY at) AS fences FROM ln),
- mk AS (SELECT o_orderkey, at, unnest({markers}) AS m, generate_subscripts({markers}, 1) AS k, line FROM fl),
- hit AS (SELECT o_orderkey, at * 100 + k AS ord, trim(substr(line, instr(lower(line), m) + length(m))) AS v FROM mk
+ ln AS (SELECT o_orderkey, unnest(string_split(query, chr(10))) AS line, generate_subscripts(string_split(query, chr(10)), 1) AS pos FROM q),
+ fl AS (SELECT o_orderkey, pos, trim(line) AS line, count(*) FILTER (starts_with(trim(line), '```')) OVER (PARTITION BY o_orderkey ORDER BY pos) AS fences FROM ln),
+ mk AS (SELECT o_orderkey, pos, unnest({markers}) AS m, generate_subscripts({markers}, 1) AS k, line FROM fl),
+ hit AS (SELECT o_orderkey, pos * 100 + k AS ord, trim(substr(line, instr(lower(line), m) + length(m))) AS v FROM mk
    WHERE instr(lower(line), m) > 0 AND trim(substr(line, instr(lower(line), m) + length(m))) <> ''),
  marked AS (SELECT o_orderkey, max_by(v, ord) AS v FROM hit GROUP BY 1),
- kept AS (SELECT o_orderkey, at, line, contains(line, '?') OR {any_in('lower(line)', fv.QUERY_INTENT_TERMS)} AS asks FROM fl
+ kept AS (SELECT o_orderkey, pos, line, contains(line, '?') OR {any_in('lower(line)', fv.QUERY_INTENT_TERMS)} AS asks FROM fl
    WHERE NOT starts_with(line, '```') AND fences % 2 = 0 AND line <> '' AND NOT ({prefixes} OR {any_in('lower(line)', fv.DROPPED_LINE_NEEDLES)})),
- agg AS (SELECT o_orderkey, string_agg(line, ' ' ORDER BY at) FILTER (asks) AS a, string_agg(line, ' ' ORDER BY at) AS b FROM kept GROUP BY 1)
+ agg AS (SELECT o_orderkey, string_agg(line, ' ' ORDER BY pos) FILTER (asks) AS a, string_agg(line, ' ' ORDER BY pos) AS b FROM kept GROUP BY 1)
  SELECT o_orderkey, coalesce(marked.v, agg.a, agg.b, '') AS sanitized FROM q LEFT JOIN marked USING (o_orderkey) LEFT JOIN agg USING (o_orderkey)"""
 
 
@@ -583,7 +583,7 @@ SQL["follow_tunnels"] = f"""WITH {TUNNELS} SELECT * FROM tun WHERE (wing_a = 'na
 SQL["list_closets"] = f"""WITH {DRAWERS} SELECT wing, room, source_file AS topic, count(*) AS pointers FROM drawers
  WHERE room = 'en' GROUP BY 1, 2, 3"""
 SQL["resolve_closets"] = f"""WITH {DRAWERS} SELECT source_file AS topic,
- row_number() OVER (PARTITION BY wing, room, source_file ORDER BY id) - 1 AS at, id FROM drawers"""
+ row_number() OVER (PARTITION BY wing, room, source_file ORDER BY id) - 1 AS pos, id FROM drawers"""
 
 # ---------------------------------------------------------------------- usage
 USAGE = f"""ev AS (SELECT event_id AS id, ts, 'session_' || user_id AS session_id, 'project_' || (user_id % 5) AS project,
@@ -658,10 +658,10 @@ FEEDBACK = f"""{USAGE}, s AS (SELECT id, ts, session_id, 'query_' || id AS query
   CASE WHEN toxic = 1 THEN 'wrong_answer' WHEN quality = 1 THEN 'useful' ELSE 'not_useful' END AS verdict FROM labels),
  fb AS (SELECT query_id, drawer_id, verdict FROM explicit UNION ALL SELECT query_id, drawer_id, verdict FROM inferred
   WHERE verdict IS NOT NULL AND (query_id, drawer_id) NOT IN (SELECT (query_id, drawer_id) FROM explicit)),
- shown AS (SELECT query_id, intent, unnest(ids) AS drawer_id, generate_subscripts(ids, 1) - 1 AS at FROM s),
- judged AS (SELECT query_id, intent, at, verdict FROM shown LEFT JOIN fb USING (query_id, drawer_id))"""
+ shown AS (SELECT query_id, intent, unnest(ids) AS drawer_id, generate_subscripts(ids, 1) - 1 AS pos FROM s),
+ judged AS (SELECT query_id, intent, pos, verdict FROM shown LEFT JOIN fb USING (query_id, drawer_id))"""
 SQL["implicit_feedback"] = f"WITH {FEEDBACK} SELECT query_id, drawer_id, verdict FROM inferred WHERE verdict IS NOT NULL"
-_PREC = """count(verdict) AS samples, round(avg(CASE WHEN verdict = 'useful' THEN 1.0e0 ELSE 0 END) FILTER (verdict IS NOT NULL AND at = 0), 6) AS precision_at_1,
+_PREC = """count(verdict) AS samples, round(avg(CASE WHEN verdict = 'useful' THEN 1.0e0 ELSE 0 END) FILTER (verdict IS NOT NULL AND pos = 0), 6) AS precision_at_1,
  round(avg(CASE WHEN verdict = 'useful' THEN 1.0e0 ELSE 0 END) FILTER (verdict IS NOT NULL), 6) AS precision_at_5 FROM judged"""
 SQL["precision_at_k"] = f"WITH {FEEDBACK} SELECT {_PREC}"
 SQL["precision_by_intent"] = f"WITH {FEEDBACK} SELECT intent, {_PREC} GROUP BY 1"
@@ -707,7 +707,7 @@ _CHUNKS = f"""ln AS (SELECT doc_id, text, string_split(regexp_replace(text, '\\n
 SQL["text_segments"] = f"""WITH {_CHUNKS}, g AS (SELECT doc_id, CASE WHEN len(p) <= 1 AND len(l) > 20 THEN
  list_filter(list_transform(range(0, len(l), 25), lambda i: trim(array_to_string(l[i + 1:i + 25], chr(10)), {WS})), lambda s: s <> '') ELSE p END AS s,
  len(list_filter(l, lambda x: regexp_matches(trim(x, {WS}), '^>\\s') OR regexp_matches(trim(x, {WS}), '(?i)^(Human|User|Q|Assistant|AI|A|Claude|ChatGPT)\\s*:'))) AS turns FROM pa)
- SELECT doc_id, generate_subscripts(s, 1) - 1 AS at, unnest(s) AS segment FROM g WHERE turns < 3"""
+ SELECT doc_id, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS segment FROM g WHERE turns < 3"""
 SQL["chunk_exchanges"] = f"""WITH {_CHUNKS}, g AS (SELECT doc_id, CASE WHEN len(p) <= 1 AND len(l) > 20 THEN
  list_transform(range(0, len(l), 25), lambda i: trim(array_to_string(l[i + 1:i + 25], chr(10)), {WS})) ELSE p END AS s FROM pa),
  e AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS chunk_index, unnest(s) AS content FROM g)
@@ -715,7 +715,7 @@ SQL["chunk_exchanges"] = f"""WITH {_CHUNKS}, g AS (SELECT doc_id, CASE WHEN len(
 
 
 def memories_sql(source: str, key: str, text: str, segments: str) -> str:
-    """Marker counts per segment; segments come as seg(k, at, s)."""
+    """Marker counts per segment; segments come as seg(k, pos, s)."""
     def count(pats):
         return " + ".join(f"len(regexp_extract_all(low, {lit(p)}))" for p in pats)
 
@@ -732,24 +732,24 @@ def memories_sql(source: str, key: str, text: str, segments: str) -> str:
     code = " OR ".join(f"regexp_matches(trim(x, {WS}), {lit(p)})" for p in fv.CODE_LINE_PATTERNS)
     sparse = f"(strlen(trim(x, {WS})) > 10 AND length(regexp_replace(x, '[^\\p{{L}}]', '', 'g')) < 0.4 * strlen(trim(x, {WS})))"
     return f"""WITH {segments},
- pr AS (SELECT k, at, s, trim(array_to_string(list_filter(string_split(s, chr(10)), lambda x: trim(x, {WS}) = '' OR NOT ({code} OR {sparse})), chr(10)), {WS}) AS kept FROM seg WHERE strlen(trim(s, {WS})) >= 20),
- lo AS (SELECT k, at, s, CASE WHEN kept = '' THEN s ELSE kept END AS prose, lower(CASE WHEN kept = '' THEN s ELSE kept END) AS low FROM pr),
- ct AS (SELECT k, at, s, prose, low, {cols} FROM lo),
+ pr AS (SELECT k, pos, s, trim(array_to_string(list_filter(string_split(s, chr(10)), lambda x: trim(x, {WS}) = '' OR NOT ({code} OR {sparse})), chr(10)), {WS}) AS kept FROM seg WHERE strlen(trim(s, {WS})) >= 20),
+ lo AS (SELECT k, pos, s, CASE WHEN kept = '' THEN s ELSE kept END AS prose, lower(CASE WHEN kept = '' THEN s ELSE kept END) AS low FROM pr),
+ ct AS (SELECT k, pos, s, prose, low, {cols} FROM lo),
  bt AS (SELECT *, {top} AS top, CASE {best} END AS best, {shared(fv.POSITIVE_WORDS)} - {shared(fv.NEGATIVE_WORDS)} AS mood, ({solved}) AS solved FROM ct WHERE {top} > 0),
- ty AS (SELECT k, at, trim(s, {WS}) AS content, least(1.0e0, (top + CASE WHEN strlen(s) > 500 THEN 2 WHEN strlen(s) > 200 THEN 1 ELSE 0 END) / 5.0e0) AS confidence,
+ ty AS (SELECT k, pos, trim(s, {WS}) AS content, least(1.0e0, (top + CASE WHEN strlen(s) > 500 THEN 2 WHEN strlen(s) > 200 THEN 1 ELSE 0 END) / 5.0e0) AS confidence,
   CASE WHEN best <> 'problem' THEN best WHEN solved THEN (CASE WHEN emotional > 0 AND mood > 0 THEN 'emotional' ELSE 'milestone' END)
   WHEN mood > 0 AND milestone > 0 THEN 'milestone' WHEN mood > 0 AND emotional > 0 THEN 'emotional' ELSE 'problem' END AS memory_type FROM bt)
- SELECT k AS {key}, row_number() OVER (PARTITION BY k ORDER BY at) - 1 AS chunk_index, memory_type"""
+ SELECT k AS {key}, row_number() OVER (PARTITION BY k ORDER BY pos) - 1 AS chunk_index, memory_type"""
 
 
 SQL["extract_memories"] = (
-    memories_sql("orders", "o_orderkey", "content", f"{NOTES}, seg AS (SELECT o_orderkey AS k, 1 AS at, content AS s FROM notes)")
+    memories_sql("orders", "o_orderkey", "content", f"{NOTES}, seg AS (SELECT o_orderkey AS k, 1 AS pos, content AS s FROM notes)")
     + ", round(confidence, 6) AS confidence, content FROM ty WHERE confidence >= 0.3"
 )
 SQL["extract_memories_documents"] = (
     memories_sql(
         "documents", "doc_id", "text",
-        f"segs AS ({SQL['text_segments']}), seg AS (SELECT doc_id AS k, at, segment AS s FROM segs)",
+        f"segs AS ({SQL['text_segments']}), seg AS (SELECT doc_id AS k, pos, segment AS s FROM segs)",
     )
     + ", content FROM ty WHERE confidence >= 0.3"
 )

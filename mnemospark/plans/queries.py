@@ -647,7 +647,7 @@ def list_closets(spark, sf):
 @query
 def resolve_closets(spark, sf):
     pointed = closets.resolve(_closets(spark, sf), fx.drawer_text(spark, sf))
-    return pointed.select("topic", "at", "id")
+    return pointed.select("topic", "pos", "id")
 
 
 # ---------------------------------------------------------------------- usage
@@ -817,7 +817,7 @@ def extract_memories_documents(spark, sf):
 @query
 def text_segments(spark, sf):
     docs = fx.table(spark, sf, "documents")
-    return docs.select("doc_id", F.posexplode(memories.segments("text")).alias("at", "segment"))
+    return docs.select("doc_id", F.posexplode(memories.segments("text")).alias("pos", "segment"))
 
 
 @query
