@@ -26,18 +26,55 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
-def contains_any(haystack: Column, needles: Iterable[str]) -> Column:
-    """True where ``haystack`` holds one of the literal needles."""
-    return any_of(haystack.contains(n) for n in needles)
+def quoted(value: str) -> str:
+    """SQL literal of a Python string."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+# The next few return SQL text.  A rule table makes hundreds of small tests; as
+# text they become one expression instead of hundreds of calls into the JVM.
+def sql_any(text: str, needles: Iterable[str]) -> str:
+    """True where the SQL expression ``text`` holds one of the literal needles."""
+    return "(" + " OR ".join(f"contains({text}, {quoted(n)})" for n in needles) + ")"
+
 
+def sql_prefix(text: str, prefixes: Iterable[str]) -> str:
+    return "(" + " OR ".join(f"startswith({text}, {quoted(p)})" for p in prefixes) + ")"
 
-def count_contained(haystack: Column, needles: Iterable[str]) -> Column:
+
+def sql_count(text: str, needles: Iterable[str]) -> str:
     """How many of the distinct needles occur at least once."""
-    return reduce(
-        lambda a, b: a + b, [haystack.contains(n).cast("int") for n in needles], F.lit(0)
+    return "(" + " + ".join(f"int(contains({text}, {quoted(n)}))" for n in needles) + ")"
+
+
+def sql_trim(text: str) -> str:
+    return f"btrim({text}, {quoted(WHITESPACE)})"
+
+
+def sql_squeeze(text: str) -> str:
+    return f"regexp_replace({sql_trim(text)}, {quoted(WHITESPACE_CLASS + '+')}, ' ')"
+
+
+def sql_best(scores: list[tuple[str, str]], default: str | None, last_wins: bool) -> str:
+    """Label with the highest positive score; the scores are evaluated once."""
+    ordered = list(enumerate(scores))
+    best = "array_max(s)"
+    whens = " ".join(
+        f"WHEN s[{i}] = {best} THEN {quoted(label)}"
+        for i, (label, _) in (reversed(ordered) if last_wins else ordered)
+    )
+    none = "NULL" if default is None else quoted(default)
+    listed = ", ".join(score for _, score in scores)
+    return (
+        f"transform(array(array({listed})), s -> CASE WHEN {best} <= 0 THEN {none} {whens} END)[0]"
     )
 
 
+def contains_any(haystack: Column, needles: Iterable[str]) -> Column:
+    """True where ``haystack`` holds one of the literal needles."""
+    return any_of(haystack.contains(n) for n in needles)
+
+
 def trim_ws(text: Column | str) -> Column:
     return F.btrim(col(text), F.lit(WHITESPACE))
 
@@ -52,13 +89,13 @@ def lines_of(text: Column | str) -> Column:
     return F.split(F.regexp_replace(col(text), r"\r?\n\z", ""), r"\r?\n")
 
 
-def byte_prefix(text: Column | str, size: int) -> Column:
+def sql_byte_prefix(text: str, size: int) -> str:
     """First ``size`` bytes, or the whole text where that would split a character."""
-    text = col(text)
-    head = F.substring(F.encode(text, "UTF-8"), 1, size).cast("string")
-    return F.when(F.octet_length(text) <= size, text).when(
-        F.is_valid_utf8(head), head
-    ).otherwise(text)
+    head = f"string(substring(encode({text}, 'UTF-8'), 1, {size}))"
+    return (
+        f"CASE WHEN octet_length({text}) <= {size} THEN {text} "
+        f"WHEN is_valid_utf8({head}) THEN {head} ELSE {text} END"
+    )
 
 
 def round_to(value: Column, digits: int) -> Column:
@@ -67,18 +104,6 @@ def round_to(value: Column, digits: int) -> Column:
     return F.round(value * F.lit(scale)) / F.lit(scale)
 
 
-def best_label(
-    scores: list[tuple[str, Column]], default: str | None, last_wins: bool
-) -> Column:
-    """Label with the highest positive score under a fixed tie rule."""
-    best = F.greatest(*[s for _, s in scores])
-    ordered = list(reversed(scores)) if last_wins else scores
-    chain = F.when(best <= 0, F.lit(default))
-    for label, score in ordered:
-        chain = chain.when(score == best, F.lit(label))
-    return chain
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value evaluated once however often it is used."""
     return F.get(F.transform(F.array(value), body), 0)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import fixed_values as fv
 from mnemospark.functions import queries as q
 from mnemospark.functions import text as t
-from mnemospark.functions.columns import any_of, contains_any
+from mnemospark.functions.columns import quoted, sql_any
 
 
 def recency(filed_at: Column, as_of: Column) -> Column:
@@ -24,48 +24,54 @@ def recency(filed_at: Column, as_of: Column) -> Column:
     return F.coalesce(bonus, F.lit(0.0))
 
 
-def coding_boost(query: str, text_lc: Column, room_lc: Column) -> Column:
+def coding_boost(query: str, text_lc: str, room_lc: str) -> str:
+    """SQL text of the boost; ``text_lc`` and ``room_lc`` name lower-cased columns."""
     low = query.lower()
-    total = F.lit(0.0)
+    terms = ["0.0D"]
 
-    def rule(r: dict) -> Column:
-        in_text, in_room = contains_any(text_lc, r["text"]), room_lc.isin(r["rooms"])
+    def rule(r: dict) -> str:
+        in_text = sql_any(text_lc, r["text"])
+        in_room = f"{room_lc} IN ({', '.join(quoted(x) for x in r['rooms'])})"
+        amount = r["amount"]
         return (
-            F.when(in_text & in_room, r["amount"])
-            .when(in_text, r["amount"] * fv.BOOST_TEXT_ONLY)
-            .when(in_room, r["amount"] * fv.BOOST_ROOM_ONLY)
-            .otherwise(0.0)
+            f"CASE WHEN {in_text} THEN IF({in_room}, {amount}D, {amount * fv.BOOST_TEXT_ONLY}D) "
+            f"WHEN {in_room} THEN {amount * fv.BOOST_ROOM_ONLY}D ELSE 0.0D END"
         )
 
-    for r in fv.BOOST_RULES:
-        if any(n in low for n in r["query"]):
-            total = total + rule(r)
+    def flat(test: str, amount: float) -> str:
+        return f"IF({test}, {amount}D, 0.0D)"
+
+    terms += [rule(r) for r in fv.BOOST_RULES if any(n in low for n in r["query"])]
     if q.classify(query) == "preference":
-        stated = contains_any(text_lc, fv.STATED_PREFERENCE_NEEDLES)
-        total = total + F.when(stated, fv.STATED_PREFERENCE_BOOST).otherwise(0.0)
-    for needles, in_text, amount in fv.PAIR_BOOSTS:
-        if any(n in low for n in needles):
-            total = total + F.when(text_lc.contains(in_text), amount).otherwise(0.0)
-    total = total + F.when(text_lc.contains(low), fv.PHRASE_BOOST).otherwise(0.0)
-    return F.least(total, F.lit(fv.MAX_CODING_BOOST))
+        terms.append(flat(sql_any(text_lc, fv.STATED_PREFERENCE_NEEDLES), fv.STATED_PREFERENCE_BOOST))
+    terms += [
+        flat(sql_any(text_lc, [in_text]), amount)
+        for needles, in_text, amount in fv.PAIR_BOOSTS
+        if any(n in low for n in needles)
+    ]
+    terms.append(flat(sql_any(text_lc, [low]), fv.PHRASE_BOOST))
+    return f"least({' + '.join(terms)}, {fv.MAX_CODING_BOOST}D)"
 
 
-def preference_match(query: str, text: Column, room_lc: Column) -> Column:
+def preference_match(query: str, text: str, room_lc: str) -> str:
+    """SQL text of the preference bonus."""
     if q.classify(query) != "preference":
-        return F.lit(0.0)
+        return "0.0D"
     words = sorted({w for w in q.tokenize(query.lower()) if len(w.encode()) > 3})
-    span = F.lower(t.preference_span(text))
+    rooms = ", ".join(quoted(x) for x in fv.PREFERENCE_ROOMS)
+    span_hit = "false"
+    if words:
+        span = f"lower({t.sql_preference_span(text)})"
+        span_hit = f"transform(array({span}), s -> {sql_any('s', words)})[0]"
     score = (
-        F.lit(fv.PREFERENCE_BASE)
-        + F.when(room_lc.isin(fv.PREFERENCE_ROOMS), fv.PREFERENCE_ROOM_BONUS).otherwise(0.0)
-        + F.when(any_of(span.contains(w) for w in words), fv.PREFERENCE_SPAN_BONUS).otherwise(0.0)
+        f"{fv.PREFERENCE_BASE}D + IF({room_lc} IN ({rooms}), {fv.PREFERENCE_ROOM_BONUS}D, 0.0D) "
+        f"+ IF({span_hit}, {fv.PREFERENCE_SPAN_BONUS}D, 0.0D)"
     )
-    return F.when(
-        t.is_preference(text), F.least(score, F.lit(fv.MAX_PREFERENCE_MATCH))
-    ).otherwise(0.0)
+    capped = f"least({score}, {fv.MAX_PREFERENCE_MATCH}D)"
+    return f"IF({t.sql_is_preference(text)}, {capped}, 0.0D)"
 
 
-def interaction_score(query: str, text: Column) -> Column:
+def interaction_score(query: str, text: str) -> Column:
     """Share of query words in the text, plus phrase and preference bonuses."""
     low = query.lower()
     words = sorted(
@@ -73,10 +79,9 @@ def interaction_score(query: str, text: Column) -> Column:
     )
     if not words:
         return F.lit(0.0)
-    text_lc = F.lower(text)
     wanted = F.array(*[F.lit(w) for w in words])
-    shared = F.size(F.array_intersect(t.tokens(text_lc), wanted)) / F.lit(len(words))
-    score = shared * 0.75 + F.when(text_lc.contains(low), 0.25).otherwise(0.0)
+    shared = F.size(F.array_intersect(t.tokens(text), wanted)) / F.lit(len(words))
+    score = shared * 0.75 + F.when(F.lower(text).contains(low), 0.25).otherwise(0.0)
     if q.classify(query) == "preference":
         score = score + F.when(t.is_preference(text), 0.20).otherwise(0.0)
     return F.least(score, F.lit(1.0))

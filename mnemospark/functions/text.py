@@ -10,13 +10,17 @@ from mnemospark.functions import fixed_values as fv
 from mnemospark.functions.columns import WHITESPACE as WS_CHARS
 from mnemospark.functions.columns import (
     WHITESPACE_CLASS,
-    any_of,
-    best_label,
-    byte_prefix,
     col,
     contains_any,
-    count_contained,
     lines_of,
+    quoted,
+    sql_any,
+    sql_best,
+    sql_byte_prefix,
+    sql_count,
+    sql_prefix,
+    sql_squeeze,
+    sql_trim,
     squeeze_ws,
     trim_ws,
 )
@@ -25,7 +29,8 @@ from mnemospark.functions.columns import (
 # one ASCII character is no token but one accented letter is.
 WS_SPLIT = WHITESPACE_CLASS + "+"
 _ALNUM = r"\p{IsAlphabetic}\p{N}"
-TOKEN_PATTERN = rf"[{_ALNUM}]{{2,}}|[{_ALNUM}&&[^\x00-\x7F]]"
+# The ASCII range comes first and the run is possessive: both only save time.
+TOKEN_PATTERN = rf"[a-z0-9{_ALNUM}]{{2,}}+|[{_ALNUM}&&[^\x00-\x7F]]"
 SENTENCE_PATTERN = r"[^.!?\n]*[.!?\n]|[^.!?\n]+\z"
 # Non-greedy pairs of fence lines; an unclosed fence runs to the end.
 FENCED_BLOCK_PATTERN = r"(?msd)^[^\S\n]*```.*?(?:^[^\S\n]*```[^\n]*$|\z)"
@@ -36,103 +41,97 @@ def tokens(text: Column | str) -> Column:
 
 
 # ------------------------------------------------------------------- intent
-def query_intent(query: Column | str) -> Column:
-    q = squeeze_ws(F.lower(col(query)))
-    return (
-        F.when(contains_any(q, fv.INTENT_PREFERENCE), "preference")
-        .when(contains_any(q, fv.INTENT_TEMPORAL), "temporal")
-        .when(contains_any(q, fv.INTENT_DECISION), "decision")
-        .when(
-            any_of(q.startswith(p) for p in fv.INTENT_HOW_TO_PREFIXES)
-            | contains_any(q, fv.INTENT_HOW_TO),
-            "how_to",
-        )
-        .when(any_of(q.startswith(p) for p in fv.INTENT_DEFINITION_PREFIXES), "definition")
-        .otherwise("unknown")
-    )
+def query_intent(query: str) -> Column:
+    """Intent of the query in a column."""
+    tests = [
+        ("preference", sql_any("q", fv.INTENT_PREFERENCE)),
+        ("temporal", sql_any("q", fv.INTENT_TEMPORAL)),
+        ("decision", sql_any("q", fv.INTENT_DECISION)),
+        ("how_to", sql_prefix("q", fv.INTENT_HOW_TO_PREFIXES) + " OR " + sql_any("q", fv.INTENT_HOW_TO)),
+        ("definition", sql_prefix("q", fv.INTENT_DEFINITION_PREFIXES)),
+    ]
+    whens = " ".join(f"WHEN {test} THEN '{name}'" for name, test in tests)
+    flat = sql_squeeze(f"lower({query})")
+    return F.expr(f"transform(array({flat}), q -> CASE {whens} ELSE 'unknown' END)[0]")
 
 
 # --------------------------------------------------------------- preference
-def is_preference(text: Column | str) -> Column:
-    return contains_any(F.lower(col(text)), fv.PREFERENCE_NEEDLES)
+def sql_is_preference(text: str) -> str:
+    return sql_any(f"lower({text})", fv.PREFERENCE_NEEDLES)
 
 
-def preference_span(text: Column | str) -> Column:
+def is_preference(text: str) -> Column:
+    return F.expr(sql_is_preference(text))
+
+
+def sql_preference_span(text: str) -> str:
     """First sentence that states a preference, else the whole text if it does."""
-    text = col(text)
-    whole = trim_ws(text)
-    sentences = F.transform(
-        F.regexp_extract_all(text, F.lit(SENTENCE_PATTERN), F.lit(0)), trim_ws
+    whole = sql_trim(text)
+    sentences = (
+        f"transform(regexp_extract_all({text}, {quoted(SENTENCE_PATTERN)}, 0), s -> {sql_trim('s')})"
     )
-    first = F.get(F.filter(sentences, lambda s: (s != "") & is_preference(s)), 0)
-    return F.when(is_preference(whole), F.coalesce(first, whole))
+    first = f"get(filter({sentences}, s -> s <> '' AND {sql_is_preference('s')}), 0)"
+    return f"CASE WHEN {sql_is_preference(whole)} THEN coalesce({first}, {whole}) END"
+
+
+def preference_span(text: str) -> Column:
+    return F.expr(sql_preference_span(text))
 
 
 # ----------------------------------------------------------- halls and rooms
-def detect_hall(text: Column | str) -> Column:
+def detect_hall(text: str) -> Column:
     """Hall with most distinct keywords; the later hall wins a tie."""
-    lc = F.lower(col(text))
-    scores = [(hall, count_contained(lc, words)) for hall, words in fv.HALL_KEYWORDS]
-    return best_label(scores, fv.DEFAULT_HALL, last_wins=True)
+    return F.expr(_by_keywords(text, fv.HALL_KEYWORDS, fv.DEFAULT_HALL, last_wins=True))
 
 
-def detect_convo_room(text: Column | str) -> Column:
+def detect_convo_room(text: str) -> Column:
     """Topic of a transcript; ties go to the first listed topic."""
-    lc = F.lower(byte_prefix(text, fv.CONVO_ROOM_PREFIX_BYTES))
-    scores = [(room, count_contained(lc, words)) for room, words in fv.CONVO_ROOM_KEYWORDS]
-    return best_label(scores, fv.DEFAULT_ROOM, last_wins=False)
+    head = sql_byte_prefix(text, fv.CONVO_ROOM_PREFIX_BYTES)
+    return F.expr(_by_keywords(head, fv.CONVO_ROOM_KEYWORDS, fv.DEFAULT_ROOM, last_wins=False))
 
 
-def _occurrences(text: Column, word: str) -> Column:
-    cut = F.replace(text, F.lit(word), F.lit(""))
-    return F.floor((F.octet_length(text) - F.octet_length(cut)) / F.lit(len(word.encode())))
+def _by_keywords(text: str, table: list, default: str, last_wins: bool) -> str:
+    scores = [(label, sql_count("lc", words)) for label, words in table]
+    return f"transform(array(lower({text})), lc -> {sql_best(scores, default, last_wins)})[0]"
 
 
-def detect_file_room(
-    relative_path: Column | str, content: Column | str, rooms: list[dict]
-) -> Column:
+def detect_file_room(relative_path: str, content: str, rooms: list[dict]) -> Column:
     """Room of a file: by folder, then by file name, then by keyword count.
 
     ``rooms`` holds dicts with ``name`` and ``keywords``.
     """
-    path = F.lower(col(relative_path))
-    parts = F.split(path, "/")
-    folders = F.slice(parts, 1, F.size(parts) - 1)
-
-    def folder_room(part: Column) -> Column:
-        chain = F.lit(None).cast("string")
-        for room in reversed(rooms):
-            words = [room["name"].lower()] + [k.lower() for k in room.get("keywords", [])]
-            hit = any_of(F.lit(w).contains(part) | part.contains(w) for w in words)
-            chain = F.when(hit, F.lit(room["name"])).otherwise(chain)
-        return chain
-
-    by_folder = F.get(F.filter(F.transform(folders, folder_room), F.isnotnull), 0)
-    stem = F.regexp_replace(F.element_at(parts, -1), r"(?<=.)\.[^.]*\z", "")
-    by_name = F.coalesce(
-        F.lit(None).cast("string"),
-        *[
-            F.when(
-                F.lit(r["name"].lower()).contains(stem) | stem.contains(r["name"].lower()),
-                F.lit(r["name"]),
-            )
-            for r in rooms
-        ],
-    )
-    head = F.lower(byte_prefix(content, fv.ROOM_PREFIX_BYTES))
-    scores = []
-    for room in rooms:
-        total = F.lit(0)
-        for word in [room["name"], *room.get("keywords", [])]:
-            if word:
-                total = total + _occurrences(head, word.lower())
-        scores.append((room["name"], total))
-    by_words = (
-        F.lit(fv.DEFAULT_ROOM)
-        if not scores
-        else best_label(scores + [("", F.lit(0))], fv.DEFAULT_ROOM, last_wins=False)
+    if not rooms:
+        return F.lit(fv.DEFAULT_ROOM)
+    words = {r["name"]: [r["name"], *[k for k in r.get("keywords", []) if k]] for r in rooms}
+    whens = []
+    for name, ws in words.items():
+        hit = " OR ".join(
+            f"contains({quoted(w.lower())}, part) OR contains(part, {quoted(w.lower())})" for w in ws
+        )
+        whens.append(f"WHEN {hit} THEN {quoted(name)}")
+    parts = f"split(lower({relative_path}), '/')"
+    folders = f"slice({parts}, 1, size({parts}) - 1)"
+    by_folder = f"get(filter(transform({folders}, part -> CASE {' '.join(whens)} END), r -> r IS NOT NULL), 0)"
+    stem = f"regexp_replace(element_at({parts}, -1), {quoted(r'(?<=.)[.][^.]*$')}, '')"
+    names = " ".join(
+        f"WHEN contains({quoted(n.lower())}, stem) OR contains(stem, {quoted(n.lower())}) THEN {quoted(n)}"
+        for n in words
     )
-    return F.coalesce(by_folder, by_name, by_words)
+    by_name = f"transform(array({stem}), stem -> CASE {names} END)[0]"
+    counts = [
+        (
+            name,
+            " + ".join(
+                f"(octet_length(lc) - octet_length(replace(lc, {quoted(w.lower())}, ''))) "
+                f"div {len(w.lower().encode())}"
+                for w in ws
+            ),
+        )
+        for name, ws in words.items()
+    ]
+    head = f"lower({sql_byte_prefix(content, fv.ROOM_PREFIX_BYTES)})"
+    by_words = f"transform(array({head}), lc -> {sql_best(counts, fv.DEFAULT_ROOM, False)})[0]"
+    return F.expr(f"coalesce({by_folder}, {by_name}, {by_words})")
 
 
 # ----------------------------------------------------------------- entities
@@ -176,15 +175,17 @@ def entity_metadata(text: Column | str) -> Column:
     return F.to_json(F.struct(detect_entities(text).alias("entities")))
 
 
-def agent_personas(text: Column | str) -> Column:
-    lc = F.lower(col(text))
-    hits = F.array(*[F.when(lc.contains(a.lower()), F.lit(a)) for a in sorted(fv.AGENT_NAMES)])
-    return F.filter(hits, F.isnotnull)
+def agent_personas(text: str) -> Column:
+    hits = ", ".join(
+        f"IF(contains(lower({text}), {quoted(a.lower())}), {quoted(a)}, NULL)"
+        for a in sorted(fv.AGENT_NAMES)
+    )
+    return F.expr(f"filter(array({hits}), a -> a IS NOT NULL)")
 
 
-def corpus_platform(text: Column | str) -> Column:
-    lc = F.lower(col(text))
-    dialogue = contains_any(lc, fv.TURN_MARKERS) | (F.size(agent_personas(text)) > 0)
+def corpus_platform(text: str) -> Column:
+    signs = fv.TURN_MARKERS + [a.lower() for a in fv.AGENT_NAMES]
+    dialogue = F.expr(sql_any(f"lower({text})", signs))
     return F.when(dialogue, "ai_dialogue").otherwise("project_files")
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import fixed_values as fv
 from mnemospark.functions import queries as q
 from mnemospark.functions import scoring
-from mnemospark.functions.columns import round_to
+from mnemospark.functions.columns import computed, round_to
 from mnemospark.operators import bm25, vectors
 
 RESULT_COLUMNS = [
@@ -24,11 +24,11 @@ def _order(score: str = "combined") -> list[Column]:
 
 
 def _fuse(cands: DataFrame, query: str, as_of: Column, max_bm25: Column) -> DataFrame:
-    text_lc, room_lc = F.lower("content"), F.lower("room")
-    scored = cands.withColumns(
+    lowered = computed(cands, {"_text": F.lower("content"), "_room": F.lower("room")})
+    scored = lowered.withColumns(
         {
-            "coding_boost": scoring.coding_boost(query, text_lc, room_lc),
-            "preference_match": scoring.preference_match(query, F.col("content"), room_lc),
+            "coding_boost": F.expr(scoring.coding_boost(query, "_text", "_room")),
+            "preference_match": F.expr(scoring.preference_match(query, "content", "_room")),
             "_recency": scoring.recency(F.col("filed_at"), as_of),
             "_norm": F.when(max_bm25 > 0, F.col("bm25") / max_bm25).otherwise(0.0),
         }
@@ -123,7 +123,7 @@ def merge_preferences(
 def rerank(results: DataFrame, query: str) -> DataFrame:
     """Blends the interaction score into the few rows found so far."""
     blended = results.withColumn(
-        "rerank_score", scoring.interaction_score(query, F.col("content"))
+        "rerank_score", scoring.interaction_score(query, "content")
     ).withColumn(
         "combined",
         F.greatest(
@@ -165,25 +165,23 @@ def recall_check(
         "probe int, query string, expected_source string",
     )
     top = pairs.groupBy("probe").agg(F.max("bm25").alias("_max"))
-    text_lc, room_lc = F.lower("content"), F.lower("room")
-    boost = match = F.lit(0.0)
+    boost, match = [], []
     for i, c in enumerate(checks):
         query = q.sanitize(c["query"]) or c["query"]
-        mine = F.col("probe") == i
-        boost = F.when(mine, scoring.coding_boost(query, text_lc, room_lc)).otherwise(boost)
-        match = F.when(
-            mine, scoring.preference_match(query, F.col("content"), room_lc)
-        ).otherwise(match)
+        boost.append(f"WHEN {i} THEN {scoring.coding_boost(query, '_text', '_room')}")
+        match.append(f"WHEN {i} THEN {scoring.preference_match(query, 'content', '_room')}")
+    boosts = F.expr(f"CASE probe {' '.join(boost)} END + CASE probe {' '.join(match)} END")
     combined = (
         F.when(F.col("_max") > 0, F.col("bm25") / F.col("_max")).otherwise(0.0) * fv.BM25_WEIGHT
-        + boost + match + scoring.recency(F.col("filed_at"), as_of)
+        + boosts + scoring.recency(F.col("filed_at"), as_of)
     )
     # One row per probe in ``top``: bounded by the literal list of checks.
-    scored = pairs.join(F.broadcast(top), "probe").select(
-        "probe", "id", "source_file", "filed_at", combined.alias("combined")
+    lowered = computed(
+        pairs.join(F.broadcast(top), "probe"), {"_text": F.lower("content"), "_room": F.lower("room")}
+    )
+    scored = computed(lowered, {"combined": combined}).select(
+        "probe", "id", "source_file", "filed_at", "combined"
     )
-    from pyspark.sql import Window
-
     order = Window.partitionBy("probe").orderBy(*_order())
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
     found = ranked.join(F.broadcast(table), "probe").groupBy("probe").agg(

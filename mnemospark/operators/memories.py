@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +11,11 @@ from mnemospark.functions import fixed_values as fv
 from mnemospark.functions.columns import (
     WHITESPACE_CLASS,
     any_of,
-    best_label,
     computed,
     let,
     lines_of,
+    quoted,
+    sql_best,
     trim_ws,
 )
 from mnemospark.functions.text import FENCED_BLOCK_PATTERN
@@ -98,10 +99,26 @@ def sentiment(text: Column) -> Column:
     return shared(fv.POSITIVE_WORDS) - shared(fv.NEGATIVE_WORDS)
 
 
-def marker_count(low: Column, patterns: list[str]) -> Column:
-    return reduce(
-        lambda a, b: a + b, [F.regexp_count(low, F.lit(_UNICODE + p)) for p in patterns]
-    )
+def required_text(pattern: str) -> str:
+    """A literal run that every match of the pattern holds; may be empty.
+
+    Only plain runs between metacharacters count; a character before ``?`` is
+    optional, and text in groups or classes is left out.
+    """
+    flat = re.sub(r"\\.\+?", "\0", pattern)
+    flat = re.sub(r"\([^)]*\)\??|\[[^\]]*\]\+?", "\0", flat)
+    flat = re.sub(r".\?|\.\*|[+*^$]", "\0", flat)
+    return max(flat.split("\0"), key=len)
+
+
+def sql_marker_count(low: str, patterns: list[str]) -> str:
+    """Total matches.  A pattern is only run on texts that hold its literal part."""
+    parts = []
+    for p in patterns:
+        need, regex = required_text(p), quoted(_UNICODE + p)
+        count = f"regexp_count({low}, {regex})"
+        parts.append(f"IF(contains({low}, {quoted(need)}), {count}, 0)" if need else count)
+    return " + ".join(parts)
 
 
 def extract_memories(
@@ -131,15 +148,18 @@ def score_segments(rows: DataFrame, segment: str) -> DataFrame:
     lowered = computed(with_prose, {"_low": F.lower("_prose")})
     counts = computed(
         lowered,
-        {f"_{label}": marker_count(F.col("_low"), pats) for label, pats in fv.MEMORY_MARKERS},
+        {
+            f"_{label}": F.expr(sql_marker_count("_low", pats))
+            for label, pats in fv.MEMORY_MARKERS
+        },
     )
-    scores = [(label, F.col(f"_{label}")) for label, _ in fv.MEMORY_MARKERS]
+    scores = [(label, f"_{label}") for label, _ in fv.MEMORY_MARKERS]
     top = F.greatest(*[s for _, s in scores])
     size = F.octet_length(segment)
     bonus = F.when(size > 500, 2).when(size > 200, 1).otherwise(0)
     # Only problems are looked at again for a resolution and the mood.
     is_problem = F.col("_best") == "problem"
-    ranked = counts.filter(top > 0).withColumn("_best", best_label(scores, None, last_wins=True))
+    ranked = counts.filter(top > 0).withColumn("_best", F.expr(sql_best(scores, None, last_wins=True)))
     judged = computed(
         ranked,
         {

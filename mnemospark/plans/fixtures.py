@@ -85,6 +85,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SMALL_INPUT_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Uses all cores for text work on a small input.
+
+    A small Parquet file is one row group and so one task.  Inputs above the
+    size limit have enough splits and are left alone.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if size > SMALL_INPUT_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def instant(epoch: int) -> Column:
     return F.timestamp_seconds(F.lit(epoch))
 
@@ -113,7 +128,7 @@ def drawers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drawer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawers without importance and vector: no join, straight from the scan."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     file_no = F.floor(F.col("doc_id") / 5)
     return docs.select(
         F.concat(F.lit("drawer_"), F.col("doc_id").cast("string")).alias("id"),
@@ -128,7 +143,9 @@ def drawer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One remark per order, two thirds of them with a vector."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(
+        table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    )
     vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     rows = orders.select(
         "o_orderkey",
@@ -150,15 +167,17 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def note_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.expr(NOTE_TEXT).alias("content")
-    )
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"))
+    return orders.select("o_orderkey", F.expr(NOTE_TEXT).alias("content"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.expr(QUESTION_TEXT).alias("query")
-    )
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"))
+    return orders.select("o_orderkey", F.expr(QUESTION_TEXT).alias("query"))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:

@@ -400,14 +400,14 @@ def query_sanitize(spark, sf):
 @query
 def hall_route(spark, sf):
     notes = fx.note_text(spark, sf).select(F.col("o_orderkey").alias("row_no"), "content", F.lit("note").alias("origin"))
-    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("row_no"), F.col("text").alias("content"), F.lit("doc").alias("origin"))
+    docs = fx.documents(spark, sf).select(F.col("doc_id").alias("row_no"), F.col("text").alias("content"), F.lit("doc").alias("origin"))
     return notes.unionByName(docs).select("origin", "row_no", t.detect_hall("content").alias("hall"))
 
 
 @query
 def convo_room(spark, sf):
     notes = fx.note_text(spark, sf).select(F.col("o_orderkey").alias("row_no"), "content", F.lit("note").alias("origin"))
-    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("row_no"), F.col("text").alias("content"), F.lit("doc").alias("origin"))
+    docs = fx.documents(spark, sf).select(F.col("doc_id").alias("row_no"), F.col("text").alias("content"), F.lit("doc").alias("origin"))
     return notes.unionByName(docs).select("origin", "row_no", t.detect_convo_room("content").alias("room"))
 
 
@@ -431,18 +431,17 @@ def entity_extract(spark, sf):
 
 @query
 def entity_extract_documents(spark, sf):
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.documents(spark, sf)
     found = docs.select(F.inline(t.detect_entities("text")))
     return found.groupBy("name", "kind").agg(F.count(F.lit(1)).alias("texts"))
 
 
 @query
 def corpus_origin(spark, sf):
-    talk = fx.table(spark, sf, "conversations")
-    line = F.concat_ws(": ", "role", "text")
+    talk = fx.table(spark, sf, "conversations").withColumn("line", F.concat_ws(": ", "role", "text"))
     return talk.select(
-        "conv_id", "turn", t.corpus_platform(line).alias("platform"),
-        F.array_join(t.agent_personas(line), ",").alias("agents"),
+        "conv_id", "turn", t.corpus_platform("line").alias("platform"),
+        F.array_join(t.agent_personas("line"), ",").alias("agents"),
     )
 
 
@@ -809,26 +808,26 @@ def extract_memories(spark, sf):
 
 @query
 def extract_memories_documents(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    docs = fx.documents(spark, sf)
     found = memories.number_memories(memories.extract_memories(docs, "text"), "doc_id")
     return found.select("doc_id", "chunk_index", "memory_type", "content")
 
 
 @query
 def text_segments(spark, sf):
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.documents(spark, sf)
     return docs.select("doc_id", F.posexplode(memories.segments("text")).alias("pos", "segment"))
 
 
 @query
 def chunk_documents(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    docs = fx.documents(spark, sf)
     return chunking.chunk_rows(docs, "text")
 
 
 @query
 def chunk_exchanges(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    docs = fx.documents(spark, sf)
     return chunking.exchange_rows(docs, "text")
 
 
@@ -872,7 +871,7 @@ def metadata_merge(spark, sf):
     rows = fx.note_text(spark, sf).withColumn(
         "metadata", F.lit('{"topic":"x","preference":true,"preference_span":"old"}')
     )
-    merged = store.merged_metadata(F.col("metadata"), F.col("content"))
+    merged = store.merged_metadata("metadata", "content")
     return rows.select("o_orderkey", merged.alias("m")).select(
         "o_orderkey", F.get_json_object("m", "$.topic").alias("topic"),
         F.get_json_object("m", "$.preference").alias("preference"),

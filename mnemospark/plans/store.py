@@ -18,10 +18,10 @@ from mnemospark.operators import bm25
 
 
 # ------------------------------------------------------------------ row logic
-def merged_metadata(metadata: Column, content: Column) -> Column:
+def merged_metadata(metadata: str, content: str) -> Column:
     """Metadata JSON with the preference keys set from, or cleared by, the text."""
     kept = F.map_filter(
-        F.coalesce(F.from_json(metadata, "map<string,string>"), F.create_map().cast("map<string,string>")),
+        F.coalesce(F.from_json(F.col(metadata), "map<string,string>"), F.create_map().cast("map<string,string>")),
         lambda k, v: ~k.isin("preference", "preference_span"),
     )
     span = t.preference_span(content)
@@ -77,7 +77,7 @@ def enriched(rows: DataFrame, embed=None) -> DataFrame:
             "entity_metadata": t.entity_metadata("content"),
             "hall": F.coalesce(F.get_json_object("metadata", "$.hall"), t.detect_hall("content")),
             "normalize_version": F.lit(1).cast("long"),
-            "metadata": merged_metadata(F.col("metadata"), F.col("content")),
+            "metadata": merged_metadata("metadata", "content"),
             "is_preference": F.col("_span").isNotNull(),
             "pref_embedding": pref.cast("array<float>"),
         }

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture costs milliseconds per Column; plans here have hundreds.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Texts may be long: batches are bounded by bytes as well as by rows.
     "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
 }
