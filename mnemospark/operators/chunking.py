@@ -78,7 +78,7 @@ def _exchange_chunks(text: Column) -> Column:
         return let(F.transform(lines_of(part), trim_ws), exchange_of)
 
     def exchange_of(lines: Column) -> Column:
-        rest = F.slice(lines, 2, 2**31 - 1)
+        rest = F.slice(lines, 2, F.size(lines))
         rule = F.array_position(F.transform(rest, lambda s: s.startswith("---")), True)
         reply = F.when(rule > 0, F.slice(rest, 1, (rule - 1).cast("int"))).otherwise(rest)
         answer = F.array_join(F.slice(F.filter(reply, lambda s: s != ""), 1, fv.MAX_REPLY_LINES), " ")
