@@ -12,6 +12,7 @@ from mnemospark.functions.columns import (
     WHITESPACE_CLASS,
     col,
     contains_any,
+    let,
     lines_of,
     quoted,
     sql_any,
@@ -57,7 +58,8 @@ def query_intent(query: str) -> Column:
 
 # --------------------------------------------------------------- preference
 def sql_is_preference(text: str) -> str:
-    return sql_any(f"lower({text})", fv.PREFERENCE_NEEDLES)
+    # Lower-cased once, not once per needle: filters share no subexpressions.
+    return f"transform(array(lower({text})), p -> {sql_any('p', fv.PREFERENCE_NEEDLES)})[0]"
 
 
 def is_preference(text: str) -> Column:
@@ -74,6 +76,11 @@ def sql_preference_span(text: str) -> str:
     return f"CASE WHEN {sql_is_preference(whole)} THEN coalesce({first}, {whole}) END"
 
 
+def states_preference(text: str) -> Column:
+    """True exactly where ``preference_span`` finds one, without looking for it."""
+    return F.expr(sql_is_preference(sql_trim(text)))
+
+
 def preference_span(text: str) -> Column:
     return F.expr(sql_preference_span(text))
 
@@ -159,16 +166,20 @@ def detect_entities(text: Column | str) -> Column:
     speakers = matches(fv.DIALOGUE_NAME_PATTERN.replace("(?m)", "(?Umd)"), 1)
     camel = matches("(?U)" + fv.CAMEL_CASE_PATTERN, 0)
     titles = matches("(?U)" + fv.TITLE_NAME_PATTERN, 0)
-    names = F.array_sort(F.array_distinct(F.concat(speakers, camel, titles)))
-    return F.transform(
-        names,
-        lambda n: F.struct(
-            n.alias("name"),
-            F.when(F.array_contains(speakers, n), "person")
-            .otherwise(_entity_kind(n))
-            .alias("kind"),
-        ),
-    )
+
+    def with_kind(spoken: Column) -> Column:
+        names = F.array_sort(F.array_distinct(F.concat(spoken, camel, titles)))
+        return F.transform(
+            names,
+            lambda n: F.struct(
+                n.alias("name"),
+                F.when(F.array_contains(spoken, n), "person")
+                .otherwise(_entity_kind(n))
+                .alias("kind"),
+            ),
+        )
+
+    return let(speakers, with_kind)
 
 
 def entity_metadata(text: Column | str) -> Column:

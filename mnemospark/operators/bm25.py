@@ -57,8 +57,8 @@ def _with_hits(rows: DataFrame, terms: list[str], skip_misses: bool = False) ->
     """
     words = t.tokens("content")
     if skip_misses:
-        low = F.lower("content")
-        words = F.when(any_of(low.contains(w) for w in terms), words)
+        held = let(F.lower("content"), lambda low: any_of(low.contains(w) for w in terms))
+        words = F.when(held, words)
     one = let(
         words,
         lambda ws: F.struct(

@@ -76,7 +76,7 @@ def _enriched(df: DataFrame) -> DataFrame:
     """The columns that a write would add and that searches read."""
     return df.withColumns(
         {
-            "is_preference": t.preference_span("content").isNotNull(),
+            "is_preference": t.states_preference("content"),
             "pref_embedding": F.lit(None).cast("array<float>"),
         }
     )
