@@ -71,6 +71,19 @@ def preference_match(query: str, text: str, room_lc: str) -> str:
     return f"IF({t.sql_is_preference(text)}, {capped}, 0.0D)"
 
 
+def highest_bonus(query: str) -> float:
+    """No drawer can get more than this on top of its cosine and BM25 share."""
+    low = query.lower()
+    total = fv.PHRASE_BOOST
+    total += sum(r["amount"] for r in fv.BOOST_RULES if any(n in low for n in r["query"]))
+    total += sum(a for needles, _, a in fv.PAIR_BOOSTS if any(n in low for n in needles))
+    asks_preference = q.classify(query) == "preference"
+    if asks_preference:
+        total += fv.STATED_PREFERENCE_BOOST
+    match = fv.MAX_PREFERENCE_MATCH if asks_preference else 0.0
+    return min(total, fv.MAX_CODING_BOOST) + match + fv.RECENCY_WEIGHT
+
+
 def interaction_score(query: str, text: str) -> Column:
     """Share of query words in the text, plus phrase and preference bonuses."""
     low = query.lower()

@@ -176,14 +176,14 @@ def python_term_buckets(spark, terms: list[str]) -> list[int]:
     return sorted(set(row[0]))
 
 
-def score_postings(
+def contributions(
     post: DataFrame,
     stats: DataFrame,
     query: str,
     wing: str | None = None,
     room: str | None = None,
 ) -> DataFrame:
-    """(drawer_id, bm25) from the stored index.
+    """(drawer_id, part): what each query term adds to each drawer's score.
 
     Partition pruning on ``term_bucket`` and a pushed-down term filter leave only
     the postings of the query's terms; their counts give the document frequency.
@@ -203,7 +203,19 @@ def score_postings(
     score = idf(F.col("_c.n"), F.col("df").cast("double")) * term_weight(
         F.col("tf").cast("double"), F.col("doc_len"), F.col("_c.avg_len")
     )
-    return weighted.groupBy("drawer_id").agg(F.sum(score).alias("bm25"))
+    return weighted.select("drawer_id", score.alias("part"))
+
+
+def score_postings(
+    post: DataFrame,
+    stats: DataFrame,
+    query: str,
+    wing: str | None = None,
+    room: str | None = None,
+) -> DataFrame:
+    """(drawer_id, bm25) from the stored index."""
+    parts = contributions(post, stats, query, wing, room)
+    return parts.groupBy("drawer_id").agg(F.sum("part").alias("bm25"))
 
 
 def multi_query_scores(drawers: DataFrame, probes: list[dict]) -> DataFrame:

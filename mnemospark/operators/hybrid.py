@@ -59,39 +59,78 @@ def hybrid_search(
 
     Vector candidates number at most max(4n, 20), so they are broadcast and the
     BM25 side is never shuffled for the union of both candidate sets.  With an
-    ``index`` (postings, doc_stats) the text is read for candidates only.
+    ``index`` (postings, doc_stats) text is read only for candidates that can
+    still reach the first n.
     """
     query = q.sanitize(query) or query
     pool = max(n * fv.VECTOR_POOL_FACTOR, fv.VECTOR_POOL_MIN)
     keep = ["id", "wing", "room", "content", "source_file", "chunk_index", "filed_at"]
-    if index is None:
-        rows = bm25.score_text(drawers.select(*keep), query, wing, room)
-    else:
-        scores = bm25.score_postings(*index, query, wing, room)
-        rows = narrow_join(bm25.narrow(drawers.select(*keep), wing, room), scores)
-    if vector is None:
-        cands = rows.filter(F.col("bm25").isNotNull()).withColumn("cosine", F.lit(0.0))
-    else:
-        near = vectors.vector_top_k(drawers, vector, pool, wing, room)
-        near = near.select("id", F.col("similarity").alias("_sim"))
-        cands = (
-            rows.join(F.broadcast(near), "id", "left")
-            .filter(F.col("bm25").isNotNull() | F.col("_sim").isNotNull())
-            .withColumn("cosine", F.greatest(F.coalesce("_sim", F.lit(0.0)), F.lit(0.0)))
-            .drop("_sim")
+    near = None
+    if vector is not None:
+        near = vectors.vector_top_k(drawers, vector, pool, wing, room).select(
+            "id", F.col("similarity").alias("_sim")
         )
-    # Vector-only candidates have no BM25 score and cannot raise the maximum.
-    max_bm25 = rows.agg(F.coalesce(F.max("bm25"), F.lit(0.0))).scalar()
-    cands = cands.withColumns(
-        {"bm25": F.coalesce("bm25", F.lit(0.0)), "_max": max_bm25}
-    )
+    if index is not None:
+        cands = _indexed_candidates(index, near, query, n, wing, room)
+        cands = bm25.narrow(drawers.select(*keep), wing, room).join(cands, "id")
+    else:
+        rows = bm25.score_text(drawers.select(*keep), query, wing, room)
+        # Vector-only candidates have no BM25 score and cannot raise the maximum.
+        max_bm25 = rows.agg(F.coalesce(F.max("bm25"), F.lit(0.0))).scalar()
+        if near is None:
+            cands = rows.filter(F.col("bm25").isNotNull()).withColumn("cosine", F.lit(0.0))
+        else:
+            cands = (
+                rows.join(F.broadcast(near), "id", "left")
+                .filter(F.col("bm25").isNotNull() | F.col("_sim").isNotNull())
+                .withColumn("cosine", _floored(F.col("_sim")))
+                .drop("_sim")
+            )
+        cands = cands.withColumns({"bm25": F.coalesce("bm25", F.lit(0.0)), "_max": max_bm25})
     fused = _fuse(cands, query, as_of, F.col("_max"))
     return fused.select(*RESULT_COLUMNS).orderBy(*_order()).limit(n)
 
 
-def narrow_join(drawers: DataFrame, scores: DataFrame) -> DataFrame:
-    """Drawers with their index score; the planner sizes both sides at run time."""
-    return drawers.join(scores.withColumnRenamed("drawer_id", "id"), "id", "left")
+def _floored(similarity: Column) -> Column:
+    return F.greatest(F.coalesce(similarity, F.lit(0.0)), F.lit(0.0))
+
+
+def _indexed_candidates(
+    index: tuple[DataFrame, DataFrame],
+    near: DataFrame | None,
+    query: str,
+    n: int,
+    wing: str | None,
+    room: str | None,
+) -> DataFrame:
+    """(id, cosine, bm25, _max) of drawers that can still be among the n best.
+
+    Bonuses need the text but never exceed a bound the query fixes.  A drawer
+    whose base plus that bound stays below the n-th best base is out, exactly.
+    """
+    parts = bm25.contributions(*index, query, wing, room).select(
+        F.col("drawer_id").alias("id"), "part", F.lit(None).cast("double").alias("_sim")
+    )
+    if near is not None:
+        parts = parts.unionByName(
+            near.select("id", F.lit(None).cast("double").alias("part"), "_sim")
+        )
+    cands = parts.groupBy("id").agg(
+        F.coalesce(F.sum("part"), F.lit(0.0)).alias("bm25"), _floored(F.max("_sim")).alias("cosine")
+    )
+    max_bm25 = cands.agg(F.coalesce(F.max("bm25"), F.lit(0.0))).scalar()
+    based = cands.withColumn("_max", max_bm25).withColumn(
+        "_base",
+        F.col("cosine") * fv.COSINE_WEIGHT
+        + F.when(F.col("_max") > 0, F.col("bm25") / F.col("_max")).otherwise(0.0) * fv.BM25_WEIGHT,
+    )
+    best = based.select("_base").orderBy(F.desc("_base")).limit(n)
+    # With fewer than n candidates nothing is ruled out.
+    floor = best.agg(
+        F.when(F.count(F.lit(1)) >= n, F.min("_base")).otherwise(F.lit(0.0))
+    ).scalar()
+    slack = scoring.highest_bonus(query) + 1e-9
+    return based.filter(F.col("_base") + F.lit(slack) >= floor).drop("_base")
 
 
 def merge_preferences(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import fixed_values as fv
 from mnemospark.functions import text as t
+from mnemospark.session import can_checkpoint
 
 
 def _usable(drawers: DataFrame) -> DataFrame:
@@ -139,8 +140,7 @@ def traverse(
         "room", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via_room")
     )
     frontier = seen
-    spark = drawers.sparkSession
-    can_checkpoint = spark.sparkContext.getCheckpointDir() is not None
+    cut = can_checkpoint(drawers.sparkSession)
     for hop in range(1, max_hops + 1):
         reach = edges.join(frontier.select("room"), "room").groupBy("wing").agg(
             F.min("room").alias("via_room")
@@ -152,7 +152,7 @@ def traverse(
             .join(seen.select("room"), "room", "left_anti")
         )
         frontier = found.select("room", F.lit(hop).alias("hop"), "via_room")
-        if can_checkpoint and hop % checkpoint_every == 0:
+        if cut and hop % checkpoint_every == 0:
             frontier = frontier.checkpoint()
             if frontier.isEmpty():
                 break

@@ -33,3 +33,13 @@ def local_session(cores: int = 8, name: str = "mnemospark", memory: str = "8g")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def can_checkpoint(spark: SparkSession) -> bool:
+    """Whether ``checkpoint()`` works; the folder is the one the cluster names."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named:
+            context.setCheckpointDir(named)
+    return context.getCheckpointDir() is not None

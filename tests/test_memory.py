@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.functions.embedding import HashingEmbedder
-from mnemospark.operators import bm25, kg, ordered, rooms, usage, vectors
+from mnemospark.operators import bm25, hybrid, kg, ordered, rooms, usage, vectors
 from mnemospark.plans import search, tools
 from mnemospark.plans.memory import Memory
 from mnemospark.plans.store import Store
@@ -47,6 +47,18 @@ def test_index_and_text_rank_alike(memory):
     assert {r[0]: r[1] for r in plain} == stored
 
 
+@pytest.mark.parametrize("query", ["rail cost", "what do i prefer", "why database chose", "printer", "zzz"])
+@pytest.mark.parametrize("n", [1, 2, 10])
+def test_indexed_hybrid_equals_the_scan(memory, query, n):
+    vec, rows = memory.embedder.one(query), memory.drawers()
+    found = [
+        [(r["id"], round(r["combined"], 9)) for r in hybrid.hybrid_search(
+            rows, query, v, n, memory.now(), index=i).collect()]
+        for v in (vec, None) for i in (None, memory.store.index())
+    ]
+    assert found[0] == found[1] and found[2] == found[3]
+
+
 def test_search_stages(memory):
     top = memory.search("why did we ship by rail", 2).collect()
     assert top[0]["id"] == "d0"
@@ -157,6 +169,14 @@ def test_walk_is_bounded_and_finds_parents(spark):
     assert rooms.traverse(seen, "zz", 2).count() == 0
 
 
+def test_deep_walk_with_checkpoints(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rows = [(f"r{i}", f"w{j}", "2024-01-01") for i in range(9) for j in (i, i + 1)]
+    seen = spark.createDataFrame(rows, "room string, wing string, day string")
+    walk = {r["room"]: r["hop"] for r in rooms.traverse(seen, "r0", 20).collect()}
+    assert walk == {f"r{i}": i for i in range(9)}
+
+
 def test_damaged_vectors(spark):
     df = spark.createDataFrame(
         [("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", [1.0]), ("d", None), ("e", [1.0, 1.0])], "id string, embedding array<float>"
