@@ -326,3 +326,16 @@ def drawer_references(text: Column | str) -> Column:
 def canonical_language(code: Column | str) -> Column:
     clean = F.replace(F.lower(trim_ws(code)), F.lit("_"), F.lit("-"))
     return F.when(clean.isin([c for c, _, _ in fv.LOCALES]), clean)
+
+
+def supported_languages() -> list[str]:
+    return [code for code, _, _ in fv.LOCALES]
+
+
+def locale(code: str) -> dict | None:
+    """Letter class and boundary rule of a language code, in any spelling."""
+    clean = code.strip().lower().replace("_", "-")
+    for known, pattern, boundary in fv.LOCALES:
+        if known == clean:
+            return {"code": known, "candidate_pattern": pattern, "boundary_chars": boundary}
+    return None

@@ -71,6 +71,9 @@ def hybrid_search(
             "id", F.col("similarity").alias("_sim")
         )
     if index is not None:
+        if near is not None:
+            # A few rows that three branches below use: one vector scan, not three.
+            near = drawers.sparkSession.createDataFrame(near.collect(), near.schema)
         cands = _indexed_candidates(index, near, query, n, wing, room)
         cands = bm25.narrow(drawers.select(*keep), wing, room).join(cands, "id")
     else:

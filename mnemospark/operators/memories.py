@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import fixed_values as fv
@@ -124,10 +124,9 @@ def sql_marker_count(low: str, patterns: list[str]) -> str:
 def extract_memories(
     texts: DataFrame, text: str, min_confidence: float = fv.EXTRACT_MIN_CONFIDENCE
 ) -> DataFrame:
-    """Typed memories: the input's other columns, memory_type, chunk_index, content.
+    """Typed memories: the input's other columns, _pos, memory_type, confidence, content.
 
-    ``chunk_index`` counts the memories kept from one text, so it is assigned
-    over the text's own array of segments and needs no shuffle.
+    Segments are cut and judged inside the row of their text, without a shuffle.
     """
     keep = [c for c in texts.columns if c != text]
     rows = texts.select(*keep, F.posexplode(segments(text)).alias("_pos", "_seg")).filter(
@@ -193,8 +192,6 @@ def number_memories(memories: DataFrame, key: str) -> DataFrame:
 
     All segments of one text sit in one input row, so a group is one text.
     """
-    from pyspark.sql import Window
-
     order = Window.partitionBy(key).orderBy("_pos")
     return memories.withColumn("chunk_index", F.row_number().over(order) - 1).drop("_pos")
 

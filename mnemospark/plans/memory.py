@@ -243,6 +243,16 @@ class Memory:
         inserted = self.store.read("triples").count() - before
         return {"inserted": inserted, "unchanged": len(facts) - inserted, "invalidated": 0}
 
+    def replace_fact(self, subject: str, predicate: str, old: str, new: str) -> dict:
+        """Ends the old fact if it is active and adds the new one if it is not."""
+        active = self.kg_query(subject, None, "outgoing").filter(F.col("current"))
+        pred = predicate.lower().replace(" ", "_")
+        held = {r["object"] for r in active.filter(F.col("predicate") == pred).select("object").collect()}
+        ended = old != new and old in held
+        if ended:
+            self.kg_invalidate(subject, predicate, old)
+        return {**self.seed_facts([(subject, predicate, new)]), "invalidated": int(ended)}
+
     def sightings(self) -> DataFrame:
         """Drawers as the room graph sees them: room, wing, day of filing."""
         return self.drawers().select("room", "wing", F.date_format("filed_at", "yyyy-MM-dd").alias("day"))

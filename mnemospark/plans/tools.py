@@ -156,6 +156,40 @@ def gain(m, args):
     }
 
 
+def _percent(value: float | None) -> str:
+    return "n/a" if value is None else f"{value * 100:.0f}%"
+
+
+def render_gain(report: dict) -> str:
+    """The usage report as text."""
+    tools = ", ".join(
+        f"{r['tool']}(p50 {r['p50_latency_ms']} ms, p95 {r['p95_latency_ms']} ms)"
+        for r in report["per_tool_latency"][:5]
+    )
+    wings = ", ".join(f"{r['name']}({r['count']})" for r in report["top_wings"])
+    projects = ", ".join(
+        f"{r['project']}({r['tool_calls']} calls, ~{r['tokens_saved_est']:,} tok)"
+        for r in report["per_project"][:5]
+    )
+    lines = [
+        ("Tool calls", f"{report['tool_calls']:,}   (sessions: {report['sessions']})"),
+        ("Hit rate", f"{_percent(report['hit_rate'])}   (search hits {report['search_hits']}/{report['search_calls']})"),
+        ("Precision@1", _percent(report["precision_at_1"])),
+        ("Precision@5", _percent(report["precision_at_5"])),
+        ("Tokens saved (est)", f"~{report['tokens_saved_est']:,}"),
+        ("Re-index skipped", f"{report['duplicate_skips']}    (duplicate drawers avoided)"),
+        ("KG facts recalled", report["kg_facts_recalled"]),
+        ("Diary recalls", report["diary_recalls"]),
+        ("Repeat Qs avoided", report["repeat_questions_avoided"]),
+        ("p95 latency", f"{report.get('p95_latency_ms', 0)} ms"),
+        ("Tool latency", tools or "none"),
+        ("Top wings", wings or "none"),
+        ("Top projects", projects or "none"),
+    ]
+    head = f"Gain - {report['window']} ({report['project'] or 'all projects'})"
+    return "\n".join([head, *[f"  {name:<19}: {value}" for name, value in lines]]) + "\n"
+
+
 # ---------------------------------------------------------------------- search
 @tool
 def search_(m, args):
