@@ -94,6 +94,8 @@ def spread(df: DataFrame) -> DataFrame:
     A small Parquet file is one row group and so one task.  Inputs above the
     size limit have enough splits and are left alone.
     """
+    if not hasattr(df, "_jdf"):  # a remote session does not tell
+        return df
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     if size > SMALL_INPUT_BYTES:
         return df
@@ -186,17 +188,21 @@ def query_vector(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
 
 
 # ---------------------------------------------------------- knowledge graph
-def kg_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def kg_facts(spark: SparkSession, sf_dir: str, dated: bool = True) -> DataFrame:
+    """Facts by name; without dates the orders need not be put in order."""
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     none = F.lit(None).cast("string")
-    dated = orders.withColumns({"_day": day, "_year": F.year("o_orderdate")})
-    following = neighbour(
-        dated, ["o_custkey"], "_year", ["o_orderdate", "o_orderkey"], ["_day"], +1
-    )
+    following = orders.withColumns({"_day": day, "_year": F.year("o_orderdate")})
+    if dated:
+        following = neighbour(
+            following, ["o_custkey"], "_year", ["o_orderdate", "o_orderkey"], ["_day"], +1
+        )
+    else:
+        following = following.withColumn("_day_near", none)
     priority = following.select(
         F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")).alias("subject"),
         F.lit("has_priority").alias("predicate"),
@@ -221,7 +227,7 @@ def kg(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
     facts = kg_facts(spark, sf_dir)
     triples = ops.with_ids(facts, F.col("valid_from")).withColumn("confidence", F.lit(1.0))
-    return triples, ops.entities_of(facts)
+    return triples, ops.entities_of(kg_facts(spark, sf_dir, dated=False))
 
 
 # --------------------------------------------------------------- room graph
