@@ -525,11 +525,14 @@ def diary_search(m, args):
     limit, project = int_arg(args, "limit", 5), text_arg(args, "project_path")
     wing = None if flag_arg(args, "all_agents") else fv.DIARY_WING_PREFIX + agent.lower().replace(" ", "_")
     found = m.search(query, limit * 4 if project else limit, wing, fv.DIARY_ROOM, search.TOOL)
+    hits = rows(found)
     if project:
-        here = m.diary().filter(F.col("project_path") == project).select("id")
-        found = found.join(here, "id", "left_semi")
-    best = found.orderBy(F.desc("combined"), F.desc("filed_at"), "id").limit(limit)
-    return {"agent": agent, "query": query, "results": rows(best)}
+        # At most four times the limit: looked up by id among the project's entries.
+        ids = [h["id"] for h in hits]
+        here = m.diary().filter(F.col("id").isin(ids) & (F.col("project_path") == project))
+        kept = {r["id"] for r in here.select("id").collect()}
+        hits = [h for h in hits if h["id"] in kept]
+    return {"agent": agent, "query": query, "results": hits[:limit]}
 
 
 @tool
