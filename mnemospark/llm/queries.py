@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from mnemospark.llm import jaccard_join as jj
+from mnemospark.llm import toxicity as tox
 from mnemospark.llm.common import table
 
 
@@ -10,7 +11,12 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return jj.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op9_subword_toxicity(spark, sf_dir):
+    return tox.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 REGISTRY = {
+    "op9_subword_toxicity": op9_subword_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 SQL: dict[str, str] = {}
