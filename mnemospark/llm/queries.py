@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from mnemospark.llm import jaccard_join as jj
+from mnemospark.llm import pii, suffix_dedup
 from mnemospark.llm import toxicity as tox
 from mnemospark.llm.common import table
 
@@ -11,11 +12,21 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return jj.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op1_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op9_subword_toxicity(spark, sf_dir):
     return tox.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 REGISTRY = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op8_pii": op8_pii,
     "op9_subword_toxicity": op9_subword_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
