@@ -7,11 +7,15 @@ k = floor(2 r (1 - t) / (1 + t)) elements.  The domain of shingles is dealt into
 every non-empty part is one enumerated subset: its content is a signature.  At most k parts can
 differ, so a set with m non-empty parts shares m - k signatures with every similar set.
 
-The spare parts make hot signatures (common lines, boilerplate) harmless without losing a link: a
-set that has fewer hot signatures than m - k shares a signature that is not hot with each similar
-set, so only sets that consist of hot signatures are compared inside hot groups.  There, each
-member is first compared with the group's smallest member; pairs are formed later only between
-members that those links have not brought together yet.
+That number is used twice.  A pair is compared only if it shares as many signatures; and signatures
+of large groups (common lines, large groups of copies) can be left aside: if q shared signatures
+are sure and h of a set's are hot, q - h others are shared, so only sets with h >= q need hot groups.
+
+Inside a hot group each set is compared with the group's smallest member, its leader, and described
+by what it lacks or has besides the leader's set.  Two sets that are not both linked to the leader
+can be similar only if these differences overlap, by a number that follows from their sizes; so a
+prefix of each difference (what it has besides first) finds the remaining candidates.  Groups of
+many near copies thus give one comparison for each member and few others.
 
 Defined results: null, empty and blank texts have an empty set, are linked with nothing and are
 their own component; a text with fewer words than a shingle is one shingle; repeated texts are
@@ -34,6 +38,8 @@ from mnemospark.llm.common import CACHE_WORDS, MIX, column, components, mix64, p
 
 #: Members of a signature group up to which all its pairs are compared at once.
 SMALL_GROUP = 12
+#: A tag is a band times TAG, plus the signatures shared at least.
+TAG = 1 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -87,7 +93,7 @@ def scheme(size: int, threshold: float) -> list[tuple[int, int, int]]:
 
 
 def signatures(codes: np.ndarray, threshold: float) -> list[tuple[np.ndarray, int]]:
-    """For each band of the set: its signatures, and how many of them may be hot without losing a link."""
+    """For each band of the set: its signatures, and a tag: the band, and how many of them a similar set shares at least."""
     found = []
     for number, k, n in scheme(len(codes), threshold):
         seed = np.uint64((number + 1) * MIX[2] & (2**64 - 1))
@@ -98,11 +104,11 @@ def signatures(codes: np.ndarray, threshold: float) -> list[tuple[np.ndarray, in
         sums = np.add.reduceat(mix64(codes[order] * np.uint64(MIX[0])), starts)
         place = ranked[starts].astype(np.uint64) + seed
         signs = mix64(sums ^ mix64(place))
-        spare = len(starts) - k - 1
-        if spare < 0:  # so few parts have elements: then empty parts count among such sets
+        shared = max(0, len(starts) - k)
+        if not shared:  # so few parts have elements: then empty parts count among such sets
             empty = np.setdiff1d(np.arange(n, dtype=np.uint64), ranked[starts].astype(np.uint64))
             signs = np.r_[signs, mix64(mix64(empty + seed) * np.uint64(MIX[1]))]
-        found.append((signs, max(spare, -1)))
+        found.append((signs, number * TAG + shared))
     return found
 
 
@@ -128,12 +134,12 @@ def profiles(df: DataFrame, n: int) -> DataFrame:
 
 
 def signature_rows(df: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(sig, doc_id, spare) of each document; copies within a batch sign once."""
+    """(sig, doc_id, tag) of each document; copies within a batch sign once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in pieces(batches):
-            signs, ids, spares = [], [], []
+            signs, ids, tags = [], [], []
             seen: set[int] = set()
             for doc_id, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist()):
                 codes = shingle_set(words_of(text), n, known)
@@ -143,85 +149,77 @@ def signature_rows(df: DataFrame, n: int, threshold: float) -> DataFrame:
                 if name in seen:
                     continue
                 seen.add(name)
-                for values, spare in signatures(codes, threshold):
+                for values, tag in signatures(codes, threshold):
                     signs.append(values)
                     ids.append(np.full(len(values), doc_id, np.int64))
-                    spares.append(np.full(len(values), spare, np.int32))
+                    tags.append(np.full(len(values), tag, np.int32))
             if signs:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in ([s.view(np.int64) for s in signs], ids, spares)],
-                    ["sig", "doc_id", "spare"],
+                    [pa.array(np.concatenate(x)) for x in ([s.view(np.int64) for s in signs], ids, tags)],
+                    ["sig", "doc_id", "tag"],
                 )
 
-    return df.select("doc_id", "text").mapInArrow(run, "sig long, doc_id long, spare int")
+    return df.select("doc_id", "text").mapInArrow(run, "sig long, doc_id long, tag int")
 
 
 def scan_groups(rows: DataFrame) -> DataFrame:
-    """From rows sorted by signature: (a, b, sig, spare); sig is null for pairs, b is null for members of hot groups.
+    """From rows sorted by signature: (a, b, ta, tb, sig).
 
-    Groups of up to SMALL_GROUP members give their pairs.  Larger ones give each member's pair with
-    the first member, and the members themselves.  A task holds one small group and one batch.
+    Groups of up to SMALL_GROUP members give their pairs with both tags (sig is null); larger ones
+    give their members (b is null).  A task holds one small group and one batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig_held, held, spares, hot = None, [], [], False  # the open group
+        sig_held, held, hot = None, [], False  # the open group
+        out: list[list] = [[], [], [], [], []]
+
+        def put(*row) -> None:
+            for value, column_ in zip(row, out):
+                column_.append(value)
+
+        def close() -> None:
+            if not hot:
+                for i, (b, tb) in enumerate(held):
+                    for a, ta in held[:i]:
+                        put(a, b, ta, tb, None)
+
+        def full() -> pa.RecordBatch:
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["a", "b", "ta", "tb", "sig"])
+            for x in out:
+                x.clear()
+            return batch
+
         for batch in batches:
-            sig = column(batch, "sig").to_numpy()
-            doc = column(batch, "doc_id").to_numpy()
-            spare = column(batch, "spare").to_numpy()
+            sig, doc, tag = (column(batch, x).to_numpy() for x in ("sig", "doc_id", "tag"))
             if not len(sig):
                 continue
-            a, b, s, p = [], [], [], []
-
-            def close() -> None:
-                if not hot and len(held) > 1:
-                    for i in range(1, len(held)):
-                        for j in range(i):
-                            if held[i] != held[j]:
-                                a.append(held[j]), b.append(held[i]), s.append(None), p.append(None)
-
             starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
             ends = np.r_[starts[1:], len(sig)]
-            # Groups of one row inside the batch need no look.
-            look = (ends - starts > 1) | (np.arange(len(starts)) == len(starts) - 1)
-            look[0] = True
+            look = ends - starts > 1  # others are complete groups of one, but for the first and last
+            look[[0, -1]] = True
             for start, end in zip(starts[look].tolist(), ends[look].tolist()):
                 if sig[start] != sig_held:
                     close()
-                    sig_held, held, spares, hot = sig[start], [], [], False
-                for d, w in zip(doc[start:end].tolist(), spare[start:end].tolist()):
-                    if held and d == held[-1]:
+                    sig_held, held, hot = sig[start], [], False
+                for d, t in zip(doc[start:end].tolist(), tag[start:end].tolist()):
+                    if held and d == held[-1][0]:
                         continue
-                    if not hot and len(held) == SMALL_GROUP:
-                        hot = True
-                        for h, hw in zip(held, spares):
-                            if h != held[0]:
-                                a.append(held[0]), b.append(h), s.append(None), p.append(None)
-                            a.append(h), b.append(None), s.append(int(sig_held)), p.append(hw)
-                        held = held[:1]
+                    held.append((d, t))
                     if hot:
-                        a.append(held[0]), b.append(d), s.append(None), p.append(None)
-                        a.append(d), b.append(None), s.append(int(sig_held)), p.append(w)
-                        continue
-                    held.append(d), spares.append(w)
-            if a:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.int64()), pa.array(p, pa.int32())],
-                    ["a", "b", "sig", "spare"],
-                )
-        a, b, s, p = [], [], [], []
-        if not hot:
-            for i in range(1, len(held)):
-                for j in range(i):
-                    if held[i] != held[j]:
-                        a.append(held[j]), b.append(held[i])
-        if a:
-            none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), none, pa.nulls(len(a), pa.int32())], ["a", "b", "sig", "spare"]
-            )
+                        put(d, None, t, None, int(sig_held))
+                        held = held[-1:]
+                    elif len(held) > SMALL_GROUP:
+                        hot = True
+                        for h, w in held:
+                            put(h, None, w, None, int(sig_held))
+            if out[0]:
+                yield full()
+        close()
+        if out[0]:
+            yield full()
 
-    return rows.mapInArrow(run, "a long, b long, sig long, spare int")
+    return rows.mapInArrow(run, "a long, b long, ta int, tb int, sig long")
 
 
 def set_rows(df: DataFrame, n: int) -> DataFrame:
@@ -236,33 +234,71 @@ def set_rows(df: DataFrame, n: int) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, "id long, codes array<long>")
 
 
-def verified(pairs: DataFrame, df: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets satisfy 100 * intersection >= percent * union."""
+def with_sets(pairs: DataFrame, df: DataFrame, n: int) -> DataFrame:
+    """The pairs (a, b) with their sets x and y."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = written(set_rows(df.join(wanted, "doc_id", "left_semi"), n).dropDuplicates(["id"]))
     left = sets.select(F.col("id").alias("a"), F.col("codes").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("codes").alias("y"))
-    joined = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("x", "y"))
+    return pairs.join(right, "b").join(left, "a")
+
+
+def similar(percent: int, shared: str = "shared") -> F.Column:
+    """100 * intersection >= percent * union."""
+    return 100 * F.col(shared) >= percent * (F.size("x") + F.size("y") - F.col(shared))
+
+
+def verified(pairs: DataFrame, df: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
     return (
-        joined.where(100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y")))
-        .withColumn("shared", shared)
-        .where(100 * F.col("shared") >= percent * (F.size("x") + F.size("y") - F.col("shared")))
+        with_sets(pairs, df, n)
+        .where(100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y")))
+        .withColumn("shared", F.size(F.array_intersect("x", "y")))
+        .where(similar(percent))
         .select("a", "b")
     )
 
 
+def led(pairs: DataFrame, df: DataFrame, n: int, percent: int) -> DataFrame:
+    """For pairs of a leader a and a member b: whether they are linked, and the prefix of their difference.
+
+    For a set of size s, similar sets differ from it in at most s (1 - t) / t elements.  ``short``
+    is the prefix that must meet the prefix of a member whose difference is as large or larger.
+    """
+    most = F.floor(F.col("s") * (100 - percent) / percent + 1e-9)
+    size = F.col("size")
+    return (
+        with_sets(pairs, df, n)
+        .withColumn("more", F.array_except("y", "x"))
+        .withColumn("less", F.array_except("x", "y"))
+        .withColumn("s", F.size("y"))
+        .withColumn("shared", F.col("s") - F.size("more"))
+        .withColumn("size", F.size("more") + F.size("less"))
+        .withColumn("linked", similar(percent))
+        .withColumn("short", (size - F.greatest(F.lit(1), size - F.floor(most / 2)) + 1).cast("int"))
+        .withColumn("long", (size - F.greatest(F.lit(1), size - most) + 1).cast("int"))
+        .select("a", "b", "linked", "size", "short",
+                F.slice(F.concat(F.array_sort("more"), F.array_sort("less")), 1, F.greatest("long", F.lit(0))).alias("prefix"))
+    )
+
+
+def overlapping(leaders: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of members of one leader whose differences can overlap enough."""
+    parts = leaders.select("a", "b", "linked", "size", "short", F.posexplode("prefix").alias("at", "e"))
+    x = parts.where("at < short").select("a", "e", F.col("b").alias("xb"), F.col("linked").alias("xl"), F.col("size").alias("xs"))
+    y = parts.select("a", "e", F.col("b").alias("yb"), F.col("linked").alias("yl"), F.col("size").alias("ys"))
+    return x.join(y, ["a", "e"]).where("(xs < ys or xs = ys and xb < yb) and not (xl and yl)").select(
+        F.least("xb", "yb").alias("a"), F.greatest("xb", "yb").alias("b")
+    )
+
+
 def jaccard_components(df: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of df (doc_id, text, ...)."""
     df = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    threshold = percent / 100
     base = written(profiles(df, n))
-    named = base.where("n_shingles > 0 and doc_id is not null")
-    copies = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    copy_of = written(named.join(copies, ["k1", "k2"]).where("doc_id <> rep").select("doc_id", "rep").distinct())
-
-    rows = signature_rows(df, n, threshold).repartition("sig").sortWithinPartitions("sig", "doc_id")
-    found = written(scan_groups(rows).distinct())
+    ids_of = base.where("n_shingles > 0 and doc_id is not null")
+    copies = ids_of.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    copy_of = written(ids_of.join(copies, ["k1", "k2"]).where("doc_id <> rep").select("doc_id", "rep").distinct())
 
     def to_reps(pairs: DataFrame, *names: str) -> DataFrame:
         """The ids replaced by the smallest id with the same set."""
@@ -274,25 +310,28 @@ def jaccard_components(df: DataFrame, n: int = 4, percent: int = 85) -> DataFram
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
-    pairs = written(ordered(to_reps(found.where("sig is null").select("a", "b"), "a", "b")))
-    links = written(verified(pairs, df, n, percent))
-
-    hot = found.where("sig is not null")
-    # The hot signatures of a document and band: spare tells bands of a document apart well enough,
-    # as a mix-up only keeps more members.
-    per = hot.groupBy("a", "spare").agg(F.count(F.lit(1)).alias("c")).where("c > spare").select("a").distinct()
-    members = to_reps(hot.join(per, "a", "left_semi").select("a", "sig"), "a").distinct()
-    linked = components(links)
-    members = written(
-        members.join(linked.withColumnRenamed("node", "a"), "a", "left").select("sig", "a", F.coalesce("component", "a").alias("c"))
-    )
-    x, y = (members.select("sig", F.col("a").alias(name), F.col("c").alias(f"c{name}")) for name in "ab")
-    more = x.join(y, "sig").where("ca < cb").select("a", "b")
-    more = written(ordered(more).join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.union(verified(more, df, n, percent))
-        linked = components(written(links))
-    linked = linked.withColumnRenamed("node", "rep")
+    rows = signature_rows(df, n, percent / 100).repartition("sig").sortWithinPartitions("sig", "doc_id")
+    found = written(scan_groups(rows))
+
+    hot = found.where("b is null")
+    hot_of = written(hot.groupBy("a", "ta").agg(F.count(F.lit(1)).alias("h")))
+    met = found.where("b is not null").groupBy("a", "b", "ta", "tb").agg(F.count(F.lit(1)).alias("c"))
+    for name in "ab":
+        other = hot_of.select(F.col("a").alias(name), F.col("ta").alias(f"t{name}"), F.col("h").alias(f"h{name}"))
+        met = met.join(other, [name, f"t{name}"], "left")
+    sure = [F.pmod(f"t{x}", F.lit(TAG)) - F.coalesce(f"h{x}", F.lit(0)) for x in "ab"]
+    pairs = written(ordered(to_reps(met.where(F.col("c") >= F.greatest(*sure)).select("a", "b"), "a", "b")))
+
+    in_hot = hot_of.where(F.col("h") >= F.pmod("ta", F.lit(TAG))).select("a", "ta")
+    members = written(to_reps(hot.join(in_hot, ["a", "ta"], "left_semi").select("sig", "a"), "a").distinct())
+    leader = members.groupBy("sig").agg(F.min("a").alias("l"))
+    stars = members.join(leader, "sig").where("a <> l").select(F.col("l").alias("a"), F.col("a").alias("b")).distinct()
+    leaders = written(led(written(stars), df, n, percent))
+    done = pairs.union(leaders.select("a", "b"))
+    more = ordered(overlapping(leaders)).join(done, ["a", "b"], "left_anti")
+    links = written(verified(written(pairs.union(more)), df, n, percent).union(leaders.where("linked").select("a", "b")))
+
+    linked = components(links).withColumnRenamed("node", "rep")
     ids = base.join(copy_of.withColumnRenamed("doc_id", "_d"), F.col("doc_id") == F.col("_d"), "left").drop("_d")
     ids = ids.withColumn("rep", F.coalesce("rep", "doc_id"))
     return ids.join(linked, "rep", "left").select(
