@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from mnemospark.llm import jaccard_join as jj
-from mnemospark.llm import pii, suffix_dedup
+from mnemospark.llm import lang_id, pii, suffix_dedup
 from mnemospark.llm import toxicity as tox
 from mnemospark.llm.common import table
 
@@ -16,6 +16,10 @@ def op1_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark, sf_dir):
+    return lang_id.languages(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,7 @@ def op9_subword_toxicity(spark, sf_dir):
 
 REGISTRY = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_language_id": op2_language_id,
     "op8_pii": op8_pii,
     "op9_subword_toxicity": op9_subword_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
