@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from mnemospark.llm import jaccard_join as jj
-from mnemospark.llm import lang_id, pii, suffix_dedup
+from mnemospark.llm import lang_id, pii, spot_signatures, suffix_dedup
 from mnemospark.llm import toxicity as tox
 from mnemospark.llm.common import table
 
@@ -20,6 +20,10 @@ def op2_language_id(spark, sf_dir):
     return lang_id.languages(table(spark, sf_dir, "documents"))
 
 
+def op7_spot_signatures(spark, sf_dir):
+    return spot_signatures.edited(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op9_subword_toxicity(spark, sf_dir):
 REGISTRY = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_language_id": op2_language_id,
+    "op7_spot_signatures": op7_spot_signatures,
     "op8_pii": op8_pii,
     "op9_subword_toxicity": op9_subword_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
