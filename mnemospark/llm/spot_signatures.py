@@ -8,9 +8,8 @@ signatures; likeness is the Jaccard similarity of two sets, pruned by their leng
 All expressions run on the JVM.  Defined results: null texts count as empty; a text without common
 words uses every word as an anchor, followed by the next words; a text without words has an empty
 fingerprint; two empty fingerprints have likeness 1, an empty and another one 0; equal texts have
-equal fingerprints.  The next document of an id is the next smaller id (after the smallest: the
-largest); of rows that repeat an id the smallest text is taken; a row without an id has no next
-document, which counts as an empty text.
+equal fingerprints.  The next document is the next row by descending id, then by text; rows without
+an id come last, and after the last row comes the first; a single row is its own next one.
 """
 
 from __future__ import annotations
@@ -21,6 +20,9 @@ from pyspark.sql import functions as F
 from mnemospark.llm.common import written
 
 CHAIN = 2
+#: Rows of one bucket when neighbours are looked for, and the most buckets (their bounds are numbers on the driver).
+BUCKET_ROWS = 1000
+MOST_BUCKETS = 1 << 14
 # Common words of four languages.
 COMMON = (
     "the of and to in is a that it for was on be with as by at this from are or an he his not but had have were which they "
@@ -76,33 +78,40 @@ def likeness(a: str, b: str, least: float = 0.0) -> Column:
     )
 
 
-def next_ids(df: DataFrame) -> DataFrame:
-    """(doc_id, next_id): the next smaller id of each; after the smallest, the largest.
+def with_next(df: DataFrame) -> DataFrame:
+    """(doc_id, text, next_text) of each row of df.
 
-    Ids alone are dealt by range and numbered by partition; only one row for each partition meets
-    in one task.
+    Rows are dealt once, to buckets of neighbouring ids between at most MOST_BUCKETS bounds.  The
+    first row of a bucket also goes to the bucket before it, where it comes last: so each row finds
+    its next one inside its bucket.  Bounds and first ids are numbers on the driver.
     """
-    ranged = written(
-        df.where("doc_id is not null").select("doc_id").distinct()
-        .repartitionByRange(F.desc("doc_id")).withColumn("part", F.spark_partition_id())
-    )
-    down = Window.partitionBy("part").orderBy(F.desc("doc_id"))
-    heads = ranged.groupBy("part").agg(F.max("doc_id").alias("head"))
-    over = Window.orderBy("part")
-    first = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select("part", F.coalesce(F.lead("head").over(over), F.first("head").over(first)).alias("head"))
-    inside = ranged.withColumn("next_id", F.lead("doc_id").over(down))
-    return inside.join(heads, "part").select("doc_id", F.coalesce("next_id", "head").alias("next_id"))
-
-
-def with_next(df: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text) of each row of df."""
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    one = Window.partitionBy("doc_id").orderBy("text")
-    texts = rows.withColumn("r", F.row_number().over(one)).where("r = 1 and doc_id is not null")
-    linked = rows.join(next_ids(rows), "doc_id", "left")
-    texts = texts.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"))
-    return linked.join(texts, "next_id", "left").select("doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    wanted = min(MOST_BUCKETS, rows.count() // BUCKET_ROWS)
+    bounds: list[int] = []
+    if wanted > 1:
+        shares = [i / wanted for i in range(1, wanted)]
+        bounds = sorted(set(rows.select(F.percentile_approx("k", shares, 20 * wanted)).first()[0]))
+    rows = rows.withColumn("bucket", _bucket(F.col("k"), bounds))
+    heads = {r["bucket"]: r["head"] for r in rows.groupBy("bucket").agg(F.max("k").alias("head")).collect()}
+    filled = sorted(heads)
+    before = dict(zip(filled, [*filled[1:], *filled[:1]]))  # ids descend, so a bucket follows the one above it
+    every = range(len(bounds) + 1)
+    head, above = (F.array(*(F.lit(x.get(i)).cast("long") for i in every)) for x in (heads, before))
+    own = F.struct(F.col("bucket").cast("long").alias("b"), F.lit(False).alias("guest"))
+    guest = F.struct(F.get(above, F.col("bucket")).alias("b"), F.lit(True).alias("guest"))
+    placed = rows.withColumn("at", F.explode(F.when(F.get(head, F.col("bucket")) == F.col("k"), F.array(own, guest)).otherwise(F.array(own))))
+    down = Window.partitionBy("at.b").orderBy("at.guest", F.desc("k"), "text")
+    return placed.withColumn("next_text", F.lead("text").over(down)).where(~F.col("at.guest")).select("doc_id", "text", "next_text")
+
+
+def _bucket(key: Column, bounds: list[int]) -> Column:
+    """How many bounds are at most the key, by binary search in the expression."""
+    if not bounds:
+        return F.lit(0)
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))))
+    known = F.array(*(F.lit(x).cast("long") for x in bounds))
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(known, low + step - 1) <= key, low + step).otherwise(low))
 
 
 def with_fingerprints(df: DataFrame) -> DataFrame:
