@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from mnemospark.llm import jaccard_join as jj
-from mnemospark.llm import lang_id, pii, spot_signatures, suffix_dedup
+from mnemospark.llm import decontamination, lang_id, pii, spot_signatures, suffix_dedup
 from mnemospark.llm import toxicity as tox
 from mnemospark.llm.common import table
 
@@ -20,6 +20,10 @@ def op2_language_id(spark, sf_dir):
     return lang_id.languages(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash_decontamination(spark, sf_dir):
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_spot_signatures(spark, sf_dir):
     return spot_signatures.edited(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op9_subword_toxicity(spark, sf_dir):
 REGISTRY = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_language_id": op2_language_id,
+    "op3_simhash_decontamination": op3_simhash_decontamination,
     "op7_spot_signatures": op7_spot_signatures,
     "op8_pii": op8_pii,
     "op9_subword_toxicity": op9_subword_toxicity,
