@@ -11,10 +11,11 @@ That number is used twice.  A pair is compared only if it shares as many signatu
 of large groups (common lines, large groups of copies) can be left aside: if q shared signatures
 are sure and h of a set's are hot, q - h others are shared, so only sets with h >= q need hot groups.
 
-Inside a hot group each set is compared with the group's smallest member, its leader, and described
-by what it lacks or has besides the leader's set.  Two sets that are not both linked to the leader
-can be similar only if these differences overlap, by a number that follows from their sizes; so a
-prefix of each difference (what it has besides first) finds the remaining candidates.  Groups of
+Inside a hot group each set is compared with one member, the leader (the one with most hot
+signatures, which is near the group's middle), and described by its difference to the leader's set.
+Two sets that are not both linked to the leader can be similar only if these differences overlap, by
+a number that follows from their sizes; so a prefix of each difference (its elements that are rarest
+in the group first) finds the remaining candidates.  Groups of
 many near copies thus give one comparison for each member and few others.
 
 Defined results: null, empty and blank texts have an empty set, are linked with nothing and are
@@ -260,33 +261,43 @@ def verified(pairs: DataFrame, df: DataFrame, n: int, percent: int) -> DataFrame
 
 
 def led(pairs: DataFrame, df: DataFrame, n: int, percent: int) -> DataFrame:
-    """For pairs of a leader a and a member b: whether they are linked, and the prefix of their difference.
+    """For pairs of a leader a and a member b: whether they are linked, and the difference of their sets.
 
-    For a set of size s, similar sets differ from it in at most s (1 - t) / t elements.  ``short``
-    is the prefix that must meet the prefix of a member whose difference is as large or larger.
+    For a set of size s, similar sets differ from it in at most s (1 - t) / t elements.  Of the
+    difference, ``long`` elements are the prefix, and ``short`` ones the prefix that must meet the
+    prefix of a member whose difference is as large or larger.
     """
-    most = F.floor(F.col("s") * (100 - percent) / percent + 1e-9)
+    most = F.floor(F.size("y") * (100 - percent) / percent + 1e-9)
     size = F.col("size")
     return (
         with_sets(pairs, df, n)
-        .withColumn("more", F.array_except("y", "x"))
-        .withColumn("less", F.array_except("x", "y"))
-        .withColumn("s", F.size("y"))
-        .withColumn("shared", F.col("s") - F.size("more"))
-        .withColumn("size", F.size("more") + F.size("less"))
-        .withColumn("linked", similar(percent))
-        .withColumn("short", (size - F.greatest(F.lit(1), size - F.floor(most / 2)) + 1).cast("int"))
-        .withColumn("long", (size - F.greatest(F.lit(1), size - most) + 1).cast("int"))
-        .select("a", "b", "linked", "size", "short",
-                F.slice(F.concat(F.array_sort("more"), F.array_sort("less")), 1, F.greatest("long", F.lit(0))).alias("prefix"))
+        .withColumn("apart", F.concat(F.array_except("y", "x"), F.array_except("x", "y")))
+        .withColumn("size", F.size("apart"))
+        .withColumn("shared", ((F.size("x") + F.size("y") - size) / 2).cast("int"))
+        .select("a", "b", similar(percent).alias("linked"), "size", "apart",
+                (size - F.greatest(F.lit(1), size - F.floor(most / 2)) + 1).alias("short"),
+                (size - F.greatest(F.lit(1), size - most) + 1).alias("long"))
     )
 
 
 def overlapping(leaders: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of members of one leader whose differences can overlap enough."""
-    parts = leaders.select("a", "b", "linked", "size", "short", F.posexplode("prefix").alias("at", "e"))
-    x = parts.where("at < short").select("a", "e", F.col("b").alias("xb"), F.col("linked").alias("xl"), F.col("size").alias("xs"))
-    y = parts.select("a", "e", F.col("b").alias("yb"), F.col("linked").alias("yl"), F.col("size").alias("ys"))
+    """Candidate pairs (a, b) of members of one leader whose differences can overlap enough.
+
+    An element that one member alone has cannot meet another: such elements come first in the order
+    and are only counted.
+    """
+    parts = leaders.select("a", "b", F.explode("apart").alias("e"))
+    often = parts.groupBy("a", "e").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    common = parts.join(often, ["a", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("es"))
+    rows = (
+        leaders.drop("apart").join(common, ["a", "b"])
+        .select("*", F.posexplode("es").alias("at", "m"), (F.col("size") - F.size("es")).alias("alone"))
+        .withColumn("at", F.col("at") + F.col("alone")).where("at < long")
+        .select("a", "m.e", "b", "linked", "size", (F.col("at") < F.col("short")).alias("first"))
+    )
+    rows = written(rows)
+    x = rows.where("first").select("a", "e", F.col("b").alias("xb"), F.col("linked").alias("xl"), F.col("size").alias("xs"))
+    y = rows.select("a", "e", F.col("b").alias("yb"), F.col("linked").alias("yl"), F.col("size").alias("ys"))
     return x.join(y, ["a", "e"]).where("(xs < ys or xs = ys and xb < yb) and not (xl and yl)").select(
         F.least("xb", "yb").alias("a"), F.greatest("xb", "yb").alias("b")
     )
@@ -322,12 +333,13 @@ def jaccard_components(df: DataFrame, n: int = 4, percent: int = 85) -> DataFram
     sure = [F.pmod(f"t{x}", F.lit(TAG)) - F.coalesce(f"h{x}", F.lit(0)) for x in "ab"]
     pairs = written(ordered(to_reps(met.where(F.col("c") >= F.greatest(*sure)).select("a", "b"), "a", "b")))
 
-    in_hot = hot_of.where(F.col("h") >= F.pmod("ta", F.lit(TAG))).select("a", "ta")
-    members = written(to_reps(hot.join(in_hot, ["a", "ta"], "left_semi").select("sig", "a"), "a").distinct())
-    leader = members.groupBy("sig").agg(F.min("a").alias("l"))
+    in_hot = hot_of.where(F.col("h") >= F.pmod("ta", F.lit(TAG)))
+    members = to_reps(hot.join(in_hot, ["a", "ta"]).select("sig", "a", "h"), "a")
+    members = written(members.groupBy("sig", "a").agg(F.max("h").alias("h")))
+    leader = members.groupBy("sig").agg(F.max_by("a", F.struct("h", -F.col("a"))).alias("l"))
     stars = members.join(leader, "sig").where("a <> l").select(F.col("l").alias("a"), F.col("a").alias("b")).distinct()
     leaders = written(led(written(stars), df, n, percent))
-    done = pairs.union(leaders.select("a", "b"))
+    done = pairs.union(ordered(leaders.select("a", "b")))
     more = ordered(overlapping(leaders)).join(done, ["a", "b"], "left_anti")
     links = written(verified(written(pairs.union(more)), df, n, percent).union(leaders.where("linked").select("a", "b")))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from mnemospark.llm import jaccard_join as jj
-from mnemospark.llm import decontamination, lang_id, pii, spot_signatures, suffix_dedup
+from mnemospark.llm import decontamination, lang_id, licence_scan, pii, spot_signatures, suffix_dedup
 from mnemospark.llm import toxicity as tox
 from mnemospark.llm.common import table
 
@@ -24,6 +24,10 @@ def op3_simhash_decontamination(spark, sf_dir):
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_licence_scan(spark, sf_dir):
+    return licence_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_spot_signatures(spark, sf_dir):
     return spot_signatures.edited(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ REGISTRY = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_language_id": op2_language_id,
     "op3_simhash_decontamination": op3_simhash_decontamination,
+    "op5_licence_scan": op5_licence_scan,
     "op7_spot_signatures": op7_spot_signatures,
     "op8_pii": op8_pii,
     "op9_subword_toxicity": op9_subword_toxicity,
