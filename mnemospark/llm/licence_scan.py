@@ -133,7 +133,7 @@ class Model:
 def train(lines: list[str], seed: int = 11) -> Model:
     """The classifier from the templates and lines that hold no licence."""
     random = np.random.default_rng(seed)
-    foreign = [w for line in [*lines, *PLAIN] for w in words_of(line)] or ["x"]
+    foreign = np.array([w for line in [*lines, *PLAIN] for w in words_of(line)], object)
 
     def around(words: list[str]) -> list[str]:
         before, after = (list(random.choice(foreign, random.integers(0, 9))) for _ in range(2))

@@ -206,36 +206,56 @@ def fingerprints(content: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return names[0], names[1]
 
 
-def shard_results(contents: DataFrame) -> DataFrame:
-    """From each shard's suffix array: spans of repeated strings (x is null), and of split anchors
-    the fingerprints x, y of each distinct string (lo is its start, hi is null)."""
-    names = ["d", "t", "lo", "hi", "x", "y", "run"]
+def sorted_run(parts: list[tuple[np.ndarray, ...]], ranges: int) -> Iterator[tuple[int, bytes]]:
+    """The strings (x, y, d, t, start) of a shard as one sorted run, cut into the ranges."""
+    x, y, d, t, s = (np.concatenate(v) for v in zip(*parts))
+    place = x.view(np.uint64) % np.uint64(ranges)
+    order = np.lexsort((y, x, place))
+    cuts = np.searchsorted(place[order], np.arange(ranges + 1, dtype=np.uint64))
+    for number, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if b > a:
+            yield number, np.stack([v[order[a:b]] for v in (x, y, d, t, s)]).tobytes()
+
+
+def shard_results(contents: DataFrame, ranges: int) -> DataFrame:
+    """From each shard's suffix array: spans of repeated strings (body is null), and the sorted run
+    of its distinct strings of split anchors, one row for each range."""
 
     def run(shard: pa.Table) -> pa.Table:
         counts = shard["n"].to_numpy().astype(np.int64)
         bodies = shard["content"].to_pylist()
         hit = marked(bodies, counts)
-        found: list[list] = [[] for _ in names]
-        known: set[tuple[int, int]] = set()
+        found: list[list] = [[], [], [], []]
+        strings = []
         at = 0
-        keys = zip(*(shard[x].to_pylist() for x in ("shard", "split", "d", "t", "a")), counts.tolist(), bodies)
-        for number, split, d, t, a, n, body in keys:
+        keys = zip(*(shard[x].to_pylist() for x in ("split", "d", "t", "a")), counts.tolist(), bodies)
+        for split, d, t, a, n, body in keys:
             own = hit[at : at + n]
             for first, last in zip(*(x.tolist() for x in runs(own))):
-                for value, held in zip((d, t, a + first, a + last + WIDTH, None, None, None), found):
+                for value, held in zip((d, t, a + first, a + last + WIDTH), found):
                     held.append(value)
             if split:
-                for s, (x, y) in enumerate(zip(*(v.tolist() for v in fingerprints(body, n)))):
-                    if own[s]:  # repeated in this shard: one stands for all
-                        if (x, y) in known:
-                            continue
-                        known.add((x, y))
-                    for value, held in zip((d, t, a + s, None, x, y, number), found):
-                        held.append(value)
+                x, y = fingerprints(body, n)
+                strings.append((x, y, np.full(n, d, np.int64), np.full(n, t, np.int64), a + np.arange(n, dtype=np.int64), own))
             at += n
-        return pa.table([pa.array(x, pa.int64()) for x in found], names=names)
-
-    return contents.groupBy("shard").applyInArrow(run, f"{SPANS}, x long, y long, run long")
+        cut = []
+        if strings:
+            # A string that repeats in this shard is marked already: one stands for all.
+            x, y, own = (np.concatenate([s[k] for s in strings]) for k in (0, 1, 5))
+            again = np.lexsort((y, x))
+            same = np.r_[False, (x[again][1:] == x[again][:-1]) & (y[again][1:] == y[again][:-1])]
+            keep = np.ones(len(x), bool)
+            keep[again[same & own[again]]] = False
+            cut = list(sorted_run([tuple(np.concatenate([s[k] for s in strings])[keep] for k in range(5))], ranges))
+        n_cut = len(cut)
+        columns = [pa.array([*values, *[None] * n_cut], pa.int64()) for values in found]
+        blank = [None] * len(found[0])
+        return pa.table(
+            [*columns, pa.array([*blank, *(c[0] for c in cut)], pa.int64()), pa.array([*blank, *(c[1] for c in cut)], pa.binary())],
+            names=["d", "t", "lo", "hi", "range", "body"],
+        )
+
+    return contents.groupBy("shard").applyInArrow(run, f"{SPANS}, range long, body binary")
 
 
 def looked_up(x: np.ndarray, y: np.ndarray, in_x: np.ndarray, in_y: np.ndarray) -> np.ndarray:
@@ -252,29 +272,29 @@ def looked_up(x: np.ndarray, y: np.ndarray, in_x: np.ndarray, in_y: np.ndarray)
     return place
 
 
-def merged_spans(strings: DataFrame, ranges: int) -> DataFrame:
-    """(d, t, lo, hi) of strings that two shards of a split anchor share: their sorted runs are
-    merged one after another, range by range."""
+def merged_spans(sorted_runs: DataFrame) -> DataFrame:
+    """(d, t, lo, hi) of strings that two shards of a split anchor share: the sorted runs of a range
+    are merged one after another."""
 
     def run(part: pa.Table) -> pa.Table:
-        x, y, of = (part[k].to_numpy() for k in ("x", "y", "run"))
-        order = np.lexsort((y, x, of))
-        x, y, of = x[order], y[order], of[order]
-        all_x, all_y, twice = x[:0], y[:0], np.zeros(0, bool)
-        cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])
-        for a, b in zip(cuts, cuts[1:]):
-            place = looked_up(x[a:b], y[a:b], all_x, all_y)
+        every = [np.frombuffer(b, np.int64).reshape(5, -1) for b in part["body"].to_pylist()]
+        x, y, twice = every[0][0][:0], every[0][1][:0], np.zeros(0, bool)
+        for one in every:
+            place = looked_up(one[0], one[1], x, y)
             twice[place[place >= 0]] = True
-            new = np.flatnonzero(place < 0) + a
-            all_x, all_y, twice = np.r_[all_x, x[new]], np.r_[all_y, y[new]], np.r_[twice, np.zeros(len(new), bool)]
-            again = np.lexsort((all_y, all_x))
-            all_x, all_y, twice = all_x[again], all_y[again], twice[again]
-        rows = order[twice[looked_up(x, y, all_x, all_y)]] if len(x) else order
-        d, t, lo = (part[k].to_numpy()[rows] for k in ("d", "t", "lo"))
-        return pa.table([pa.array(v) for v in (d, t, lo, lo + WIDTH)], names=["d", "t", "lo", "hi"])
+            new = place < 0
+            x, y, twice = np.r_[x, one[0][new]], np.r_[y, one[1][new]], np.r_[twice, np.zeros(int(new.sum()), bool)]
+            order = np.lexsort((y, x))
+            x, y, twice = x[order], y[order], twice[order]
+        whole = np.concatenate(every, axis=1)
+        d, t, s = whole[2:, twice[looked_up(whole[0], whole[1], x, y)]]
+        order = np.lexsort((s, t, d))
+        d, t, s = d[order], t[order], s[order]
+        first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1] + 1)]) if len(s) else np.empty(0, np.int64)
+        last = np.r_[first[1:] - 1, len(s) - 1] if len(s) else first
+        return pa.table([pa.array(v) for v in (d[first], t[first], s[first], s[last] + WIDTH)], names=["d", "t", "lo", "hi"])
 
-    dealt = strings.select(F.pmod("x", F.lit(ranges)).alias("range"), "x", "y", "run", "d", "t", "lo")
-    return dealt.groupBy("range").applyInArrow(run, SPANS)
+    return sorted_runs.groupBy("range").applyInArrow(run, SPANS)
 
 
 def repeated_spans(df: DataFrame) -> DataFrame:
@@ -308,10 +328,10 @@ def repeated_spans(df: DataFrame) -> DataFrame:
     )
     listed = reps.groupBy("d", "t").agg(F.collect_list("r").alias("rs"))  # at most the segments of one text
     contents = written(segment_contents(df.join(listed, ["d", "t"])))
-    results = written(shard_results(contents))
-    spans = spans.union(results.where("x is null").select("d", "t", "lo", "hi"))
-    strings = results.where("x is not null")
-    return spans.union(merged_spans(strings, max(1, math.ceil(strings.count() / RANGE_STRINGS))))
+    ranges = max(1, math.ceil((contents.where("split").agg(F.sum("n")).first()[0] or 0) / RANGE_STRINGS))
+    results = written(shard_results(contents, ranges))
+    spans = spans.union(results.where("body is null").select("d", "t", "lo", "hi"))
+    return spans.union(merged_spans(results.where("body is not null").select("range", "body")))
 
 
 def segment_contents(df: DataFrame) -> DataFrame:
