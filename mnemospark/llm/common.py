@@ -36,10 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine; executors have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: computed once, and readable after any executor is lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

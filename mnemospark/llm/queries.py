@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from mnemospark.llm import jaccard_join as jj
-from mnemospark.llm import decontamination, lang_id, licence_scan, pii, spot_signatures, suffix_dedup
+from mnemospark.llm import decontamination, lang_id, licence_scan, pii, piece_sampling, spot_signatures, suffix_dedup, token_files
 from mnemospark.llm import toxicity as tox
-from mnemospark.llm.common import table
+from mnemospark.llm.common import new_path, table, tokenizer_file
 
 
 def op10_ngram_jaccard_join(spark, sf_dir):
@@ -24,10 +24,20 @@ def op3_simhash_decontamination(spark, sf_dir):
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_token_files(spark, sf_dir):
+    path = new_path(spark)
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"))
+    return token_files.read_tokens(spark, path, digests=True)
+
+
 def op5_licence_scan(spark, sf_dir):
     return licence_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece_sampling(spark, sf_dir):
+    return piece_sampling.report(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op7_spot_signatures(spark, sf_dir):
     return spot_signatures.edited(table(spark, sf_dir, "documents"))
 
@@ -44,7 +54,9 @@ REGISTRY = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_language_id": op2_language_id,
     "op3_simhash_decontamination": op3_simhash_decontamination,
+    "op4_token_files": op4_token_files,
     "op5_licence_scan": op5_licence_scan,
+    "op6_sentencepiece_sampling": op6_sentencepiece_sampling,
     "op7_spot_signatures": op7_spot_signatures,
     "op8_pii": op8_pii,
     "op9_subword_toxicity": op9_subword_toxicity,
