@@ -223,41 +223,84 @@ def scan_groups(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, ta int, tb int, sig long")
 
 
+def parity_sketch(codes: np.ndarray) -> np.ndarray:
+    """Bits that are the parities of the elements that fall on them.
+
+    Each element in which two sets differ turns one bit, so the sketches of two sets differ in no
+    more bits than the sets do in elements.  Sizes are powers of two; halves may be folded.
+    """
+    bits = 64 << max(0, len(codes).bit_length() - 5)
+    place = (codes % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(place, minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def set_rows(df: DataFrame, n: int) -> DataFrame:
-    """(id, codes): the whole set of each document."""
+    """(id, codes, size, sketch): the whole set of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in pieces(batches):
-            sets = [shingle_set(words_of(t), n, known).view(np.int64) for t in column(batch, "text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "codes"])
+            sets = [shingle_set(words_of(t), n, known) for t in column(batch, "text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    column(batch, "doc_id"), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
+                    pa.array([len(x) for x in sets], pa.int32()), pa.array([parity_sketch(x) for x in sets], pa.list_(pa.int64())),
+                ],
+                ["id", "codes", "size", "sketch"],
+            )
 
-    return df.select("doc_id", "text").mapInArrow(run, "id long, codes array<long>")
+    return df.select("doc_id", "text").mapInArrow(run, "id long, codes array<long>, size int, sketch array<long>")
 
 
-def with_sets(pairs: DataFrame, df: DataFrame, n: int) -> DataFrame:
-    """The pairs (a, b) with their sets x and y."""
+def sets_of(pairs: DataFrame, df: DataFrame, n: int) -> DataFrame:
+    """The sets of the documents in pairs (a, b)."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(set_rows(df.join(wanted, "doc_id", "left_semi"), n).dropDuplicates(["id"]))
+    return written(set_rows(df.join(wanted, "doc_id", "left_semi"), n).dropDuplicates(["id"]))
+
+
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their sets x and y."""
     left = sets.select(F.col("id").alias("a"), F.col("codes").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("codes").alias("y"))
     return pairs.join(right, "b").join(left, "a")
 
 
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and sketches do not rule out a link."""
+    left = sets.select(F.col("id").alias("a"), F.col("size").alias("sx"), F.col("sketch").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("size").alias("sy"), F.col("sketch").alias("y"))
+
+    def folded(of: str, other: str) -> F.Column:
+        half = F.size(of) / 2
+        halves = F.zip_with(F.slice(of, F.lit(1), half.cast("int")), F.slice(of, (half + 1).cast("int"), half.cast("int")), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(of) > F.size(other), halves).otherwise(F.col(of))
+
+    # Sizes that allow a link are less than a factor of two apart from 60 percent on: one fold is enough.
+    apart = F.zip_with(folded("x", "y"), folded("y", "x"), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    differ = F.aggregate(apart, F.lit(0), lambda total, c: total + F.coalesce(c, F.lit(0)).cast("int"))
+    return (
+        pairs.join(right, "b").join(left, "a")
+        .where(100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy"))
+        .where((100 + percent) * differ <= (100 - percent) * (F.col("sx") + F.col("sy")))
+        .select("a", "b")
+    )
+
+
 def similar(percent: int, shared: str = "shared") -> F.Column:
     """100 * intersection >= percent * union."""
     return 100 * F.col(shared) >= percent * (F.size("x") + F.size("y") - F.col(shared))
 
 
 def verified(pairs: DataFrame, df: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    return (
-        with_sets(pairs, df, n)
-        .where(100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y")))
-        .withColumn("shared", F.size(F.array_intersect("x", "y")))
-        .where(similar(percent))
-        .select("a", "b")
-    )
+    """The pairs (a, b) whose sets are similar; whole sets travel only for pairs that sketches leave."""
+    sets = sets_of(pairs, df, n)
+    left = written(possible(pairs, sets, percent))
+    return with_sets(left, sets).withColumn("shared", F.size(F.array_intersect("x", "y"))).where(similar(percent)).select("a", "b")
+
+
+#: Words of the sketch of a difference.
+SKETCH = 4
 
 
 def led(pairs: DataFrame, df: DataFrame, n: int, percent: int) -> DataFrame:
@@ -265,22 +308,28 @@ def led(pairs: DataFrame, df: DataFrame, n: int, percent: int) -> DataFrame:
 
     For a set of size s, similar sets differ from it in at most s (1 - t) / t elements.  Of the
     difference, ``long`` elements are the prefix, and ``short`` ones the prefix that must meet the
-    prefix of a member whose difference is as large or larger.
+    prefix of a member whose difference is as large or larger.  k0, k1, ... are its parity sketch.
     """
     most = F.floor(F.size("y") * (100 - percent) / percent + 1e-9)
     size = F.col("size")
+    sketch = (
+        F.expr(
+            f"aggregate(filter(apart, e -> (shiftright(e, 6) & {SKETCH - 1}L) = {k}L), 0L, (acc, e) -> acc ^ shiftleft(1L, int(e & 63L)))"
+        ).alias(f"k{k}")
+        for k in range(SKETCH)
+    )
     return (
-        with_sets(pairs, df, n)
+        with_sets(pairs, sets_of(pairs, df, n))
         .withColumn("apart", F.concat(F.array_except("y", "x"), F.array_except("x", "y")))
         .withColumn("size", F.size("apart"))
         .withColumn("shared", ((F.size("x") + F.size("y") - size) / 2).cast("int"))
-        .select("a", "b", similar(percent).alias("linked"), "size", "apart",
-                (size - F.greatest(F.lit(1), size - F.floor(most / 2)) + 1).alias("short"),
-                (size - F.greatest(F.lit(1), size - most) + 1).alias("long"))
+        .select("a", "b", similar(percent).alias("linked"), "size", "apart", F.size("y").alias("s"),
+                (size - F.greatest(F.lit(1), size - F.floor(most / 2)) + 1).cast("int").alias("short"),
+                (size - F.greatest(F.lit(1), size - most) + 1).cast("int").alias("long"), *sketch)
     )
 
 
-def overlapping(leaders: DataFrame) -> DataFrame:
+def overlapping(leaders: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) of members of one leader whose differences can overlap enough.
 
     An element that one member alone has cannot meet another: such elements come first in the order
@@ -289,17 +338,26 @@ def overlapping(leaders: DataFrame) -> DataFrame:
     parts = leaders.select("a", "b", F.explode("apart").alias("e"))
     often = parts.groupBy("a", "e").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     common = parts.join(often, ["a", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("es"))
-    rows = (
+    sketch = [f"k{k}" for k in range(SKETCH)]
+    rows = written(
         leaders.drop("apart").join(common, ["a", "b"])
-        .select("*", F.posexplode("es").alias("at", "m"), (F.col("size") - F.size("es")).alias("alone"))
-        .withColumn("at", F.col("at") + F.col("alone")).where("at < long")
-        .select("a", "m.e", "b", "linked", "size", (F.col("at") < F.col("short")).alias("first"))
+        .withColumn("alone", F.col("size") - F.size("es"))
+        .withColumn("es", F.slice("es", F.lit(1), F.greatest(F.lit(0), F.col("long") - F.col("alone"))))
+        .select("a", "b", "linked", "size", "s", "short", "alone", *sketch, F.posexplode("es").alias("at", "m"))
+        .select("a", "m.e", "b", "linked", "size", "s", *sketch, (F.col("at") + F.col("alone") < F.col("short")).alias("first"))
     )
-    rows = written(rows)
-    x = rows.where("first").select("a", "e", F.col("b").alias("xb"), F.col("linked").alias("xl"), F.col("size").alias("xs"))
-    y = rows.select("a", "e", F.col("b").alias("yb"), F.col("linked").alias("yl"), F.col("size").alias("ys"))
-    return x.join(y, ["a", "e"]).where("(xs < ys or xs = ys and xb < yb) and not (xl and yl)").select(
-        F.least("xb", "yb").alias("a"), F.greatest("xb", "yb").alias("b")
+
+    def side(name: str) -> list:
+        return [F.col(c).alias(f"{name}_{c}") for c in ("b", "linked", "size", "s", *sketch)]
+
+    x, y = rows.where("first").select("a", "e", *side("x")), rows.select("a", "e", *side("y"))
+    differ = sum((F.bit_count(F.col(f"x_{k}").bitwiseXOR(F.col(f"y_{k}"))) for k in sketch), F.lit(0))
+    allowed = (100 - percent) * (F.col("x_s") + F.col("y_s"))
+    return (
+        x.join(y, ["a", "e"])
+        .where("(x_size < y_size or x_size = y_size and x_b < y_b) and not (x_linked and y_linked)")
+        .where(((100 + percent) * (F.col("y_size") - F.col("x_size")) <= allowed) & ((100 + percent) * differ <= allowed))
+        .select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b"))
     )
 
 
@@ -340,7 +398,7 @@ def jaccard_components(df: DataFrame, n: int = 4, percent: int = 85) -> DataFram
     stars = members.join(leader, "sig").where("a <> l").select(F.col("l").alias("a"), F.col("a").alias("b")).distinct()
     leaders = written(led(written(stars), df, n, percent))
     done = pairs.union(ordered(leaders.select("a", "b")))
-    more = ordered(overlapping(leaders)).join(done, ["a", "b"], "left_anti")
+    more = ordered(overlapping(leaders, percent)).join(done, ["a", "b"], "left_anti")
     links = written(verified(written(pairs.union(more)), df, n, percent).union(leaders.where("linked").select("a", "b")))
 
     linked = components(links).withColumnRenamed("node", "rep")
