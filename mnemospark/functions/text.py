@@ -91,9 +91,12 @@ def detect_hall(text: str) -> Column:
     return F.expr(_by_keywords(text, fv.HALL_KEYWORDS, fv.DEFAULT_HALL, last_wins=True))
 
 
-def detect_convo_room(text: str) -> Column:
-    """Topic of a transcript; ties go to the first listed topic."""
-    head = sql_byte_prefix(text, fv.CONVO_ROOM_PREFIX_BYTES)
+def detect_convo_room(text: str, prefix_bytes: int | None = None) -> Column:
+    """Topic of a transcript; ties go to the first listed topic.
+
+    The whole text counts, or its first ``prefix_bytes`` if they are given.
+    """
+    head = text if prefix_bytes is None else sql_byte_prefix(text, prefix_bytes)
     return F.expr(_by_keywords(head, fv.CONVO_ROOM_KEYWORDS, fv.DEFAULT_ROOM, last_wins=False))
 
 
@@ -102,9 +105,11 @@ def _by_keywords(text: str, table: list, default: str, last_wins: bool) -> str:
     return f"transform(array(lower({text})), lc -> {sql_best(scores, default, last_wins)})[0]"
 
 
-def detect_file_room(relative_path: str, content: str, rooms: list[dict]) -> Column:
+def detect_file_room(relative_path: str, content: str, rooms: list[dict], prefix_bytes: int | None = None) -> Column:
     """Room of a file: by folder, then by file name, then by keyword count.
 
+    Keywords are counted in the whole content, or in its first ``prefix_bytes``.
+
     ``rooms`` holds dicts with ``name`` and ``keywords``.
     """
     if not rooms:
@@ -136,7 +141,7 @@ def detect_file_room(relative_path: str, content: str, rooms: list[dict]) -> Col
         )
         for name, ws in words.items()
     ]
-    head = f"lower({sql_byte_prefix(content, fv.ROOM_PREFIX_BYTES)})"
+    head = f"lower({content if prefix_bytes is None else sql_byte_prefix(content, prefix_bytes)})"
     by_words = f"transform(array({head}), lc -> {sql_best(counts, fv.DEFAULT_ROOM, False)})[0]"
     return F.expr(f"coalesce({by_folder}, {by_name}, {by_words})")
 

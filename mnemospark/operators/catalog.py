@@ -76,14 +76,13 @@ def not_yet_mined(files: DataFrame, drawers: DataFrame) -> DataFrame:
     return files.join(known, "source_file", "left_anti")
 
 
-def story_rows(drawers: DataFrame, wing: str | None = None) -> DataFrame:
+def story_rows(drawers: DataFrame, wing: str | None = None, pool: int | None = None) -> DataFrame:
     """Lines of the wake-up story: rank, room, text, cut at the byte budget.
 
-    The wing filter comes after the global pool on purpose.  At most 15 rows
-    reach the unpartitioned window.
+    The best drawers of the wing are told; with ``pool`` only those among so many of all wings.
+    At most 15 rows reach the unpartitioned window.
     """
-    pool = list_by_importance(drawers, fv.STORY_POOL)
-    chosen = narrow(pool, wing, None)
+    chosen = narrow(drawers if pool is None else list_by_importance(drawers, pool), wing, None)
     picked = chosen.orderBy(F.desc("importance"), F.desc("filed_at"), "id").limit(fv.STORY_LIMIT)
     by_rank = Window.orderBy(F.desc("importance"), F.desc("filed_at"), "id")
     by_room = Window.orderBy("room", "rank")

@@ -16,7 +16,6 @@ AS_OF_DRAWERS = 1_735_689_600  # 2025-01-01
 AS_OF_NOTES = 1_009_843_200  # 2002-01-01
 AS_OF_DIARY = 1_704_067_200 + 30 * 3600
 AS_OF_USAGE = 1_706_659_200  # 2024-01-31
-VECTOR_COUNT = 500
 
 # Ten kinds of remark about an order; plain SQL that Spark and the oracle share.
 NOTE_TEXT = """
@@ -85,30 +84,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-SMALL_INPUT_BYTES = 1 << 30
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Uses all cores for text work on a small input.
-
-    A small Parquet file is one row group and so one task.  Inputs above the
-    size limit have enough splits and are left alone.
-    """
-    if not hasattr(df, "_jdf"):  # a remote session does not tell
-        return df
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if size > SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def instant(epoch: int) -> Column:
     return F.timestamp_seconds(F.lit(epoch))
 
 
 def drawers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One drawer per document; a vector where one has the same number."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     labels = table(spark, sf_dir, "labels")
     vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     file_no = F.floor(F.col("doc_id") / 5)
@@ -130,7 +112,7 @@ def drawers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drawer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawers without importance and vector: no join, straight from the scan."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     file_no = F.floor(F.col("doc_id") / 5)
     return docs.select(
         F.concat(F.lit("drawer_"), F.col("doc_id").cast("string")).alias("id"),
@@ -145,9 +127,7 @@ def drawer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One remark per order, two thirds of them with a vector."""
-    orders = spread(
-        table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    )
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     rows = orders.select(
         "o_orderkey",
@@ -163,23 +143,23 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(1.0) + F.col("o_orderkey") % 5).alias("importance"),
     ).withColumn(
         "vec_id",
-        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") * 7 % VECTOR_COUNT),
+        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") * 7 % vecs.count()),
     )
     return rows.join(vecs, "vec_id", "left").drop("vec_id")
 
 
 def note_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     return orders.select("o_orderkey", F.expr(NOTE_TEXT).alias("content"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     return orders.select("o_orderkey", F.expr(QUESTION_TEXT).alias("query"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:

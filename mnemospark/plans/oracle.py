@@ -49,7 +49,7 @@ NOTES = f"""notes AS (
   {TEXT} AS content, 'desk_' || (o_orderkey // 4) AS source_file, o_orderkey % 4 AS chunk_index,
   epoch(o_orderdate)::BIGINT AS filed, 1.0e0 + o_orderkey % 5 AS importance, e.embedding AS embedding
  FROM orders LEFT JOIN embeddings e
-  ON e.vec_id = CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey * 7 % {fx.VECTOR_COUNT} END)"""
+  ON e.vec_id = CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey * 7 % (SELECT count(*) FROM embeddings) END)"""
 
 
 def terms_of(query: str) -> str:
@@ -191,8 +191,7 @@ def story(wing: str) -> str:
     flat = f"replace(trim(content, {WS}), chr(10), ' ')"
     header = len("## L1 — ESSENTIAL STORY".encode())
     return f"""WITH {NOTES},
- pool AS (SELECT * FROM notes ORDER BY importance DESC, filed DESC, id LIMIT 200),
- pick AS (SELECT *, row_number() OVER (ORDER BY importance DESC, filed DESC, id) AS rank FROM pool
+ pick AS (SELECT *, row_number() OVER (ORDER BY importance DESC, filed DESC, id) AS rank FROM notes
    WHERE {wing} QUALIFY rank <= 15),
  lines AS (SELECT rank, room, id, '  - ' || (CASE WHEN length({flat}) > 200 THEN substr({flat}, 1, 197) || '...' ELSE {flat} END)
    || '  (' || source_file || ')' AS line FROM pick),
@@ -396,7 +395,7 @@ def label_sql(table, text: str, default: str, last: bool, name: str) -> str:
 
 
 SQL["hall_route"] = label_sql(fv.HALL_KEYWORDS, "lower(content)", "memory", True, "hall")
-_HEAD = "lower(CASE WHEN strlen(content) <= 3000 THEN content ELSE coalesce(TRY(decode(encode(content)[1:3000])), content) END)"
+_HEAD = "lower(content)"
 SQL["convo_room"] = label_sql(fv.CONVO_ROOM_KEYWORDS, _HEAD, "general", False, "room")
 SQL["preference_tag"] = f"WITH {NOTES} SELECT o_orderkey FROM notes WHERE {is_pref('content')}"
 SQL["preference_span"] = f"""WITH {NOTES}, s AS (SELECT o_orderkey, {pref_span('content')} AS span FROM notes)
@@ -760,5 +759,8 @@ SQL["dedupe_append"] = f"""WITH {DRAWERS}, i AS (SELECT 'drawer_' || page_id AS
  UNION ALL SELECT 'page_' || (page_id % 40), url FROM pages)
  SELECT id, min(content) AS content FROM i WHERE id NOT IN (SELECT id FROM drawers) GROUP BY 1"""
 SQL["export_rows"] = f"""WITH {DRAWERS} SELECT id, wing, room, content, source_file, chunk_index, filed AS filed_at, importance FROM drawers"""
+SQL["import_rows"] = f"""WITH {DRAWERS} SELECT id, wing, room, content, source_file, chunk_index, importance,
+ '{{"session":"007","n":' || (chunk_index % 7) || ',"list":["[a]",1]}}' AS metadata FROM drawers"""
 SQL["metadata_merge"] = f"""WITH {NOTES}, s AS (SELECT o_orderkey, {pref_span('content')} AS span FROM notes)
- SELECT o_orderkey, 'x' AS topic, CASE WHEN span IS NOT NULL THEN 'true' END AS preference, span FROM s"""
+ SELECT o_orderkey, '[draft] ' || o_orderkey AS topic, CASE WHEN span IS NOT NULL THEN 'true' END AS preference, span,
+  '"007"' AS code, '{{"a":[1,"2"],"b":null}}' AS nested FROM s"""

@@ -863,17 +863,36 @@ def export_rows(spark, sf):
     return rows.select("id", "wing", "room", "content", "source_file", "chunk_index", "filed_at", "importance")
 
 
+@query
+def import_rows(spark, sf):
+    """Exported rows read back: ids and metadata as they were, whatever the place."""
+    from mnemospark.sources import exchange
+
+    metadata = F.concat(F.lit('{"session":"007","n":'), (F.col("chunk_index") % 7), F.lit(',"list":["[a]",1]}'))
+    exported = exchange.export_rows(
+        fx.drawers(spark, sf).withColumn("added_by", F.lit("me")).withColumn("metadata", metadata)
+    )
+    back = exchange.import_rows(exported, fx.instant(fx.AS_OF_DRAWERS))
+    return back.select("id", "wing", "room", "content", "source_file", "chunk_index", "importance", "metadata")
+
+
 @query
 def metadata_merge(spark, sf):
     """Preference keys set or removed in stored metadata."""
     from mnemospark.plans import store
 
     rows = fx.note_text(spark, sf).withColumn(
-        "metadata", F.lit('{"topic":"x","preference":true,"preference_span":"old"}')
+        "metadata",
+        F.concat(
+            F.lit('{"code":"007","nested":{"a":[1,"2"],"b":null},"preference":true,"preference_span":"old","topic":"[draft] '),
+            F.col("o_orderkey"), F.lit('"}'),
+        ),
     )
     merged = store.merged_metadata("metadata", "content")
     return rows.select("o_orderkey", merged.alias("m")).select(
         "o_orderkey", F.get_json_object("m", "$.topic").alias("topic"),
         F.get_json_object("m", "$.preference").alias("preference"),
         F.get_json_object("m", "$.preference_span").alias("span"),
+        F.to_json(F.variant_get(F.parse_json("m"), "$.code", "variant")).alias("code"),
+        F.get_json_object("m", "$.nested").alias("nested"),
     )

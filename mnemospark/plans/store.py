@@ -18,37 +18,35 @@ from mnemospark.operators import bm25
 
 
 # ------------------------------------------------------------------ row logic
+def json_fields(metadata: str, dropped: tuple[str, ...]) -> Column:
+    """The members of a JSON object but for some keys, as texts ``"key":value`` in their order.
+
+    Values keep their types and nesting; text that is no JSON object has no members.
+    """
+    values = F.expr(f"CAST(try_parse_json({metadata}) AS MAP<STRING, VARIANT>)")
+    keys = F.coalesce(F.map_keys(F.from_json(F.col(metadata), "map<string,string>")), F.array().cast("array<string>"))
+    return F.transform(
+        F.filter(keys, lambda k: ~k.isin(*dropped)),
+        lambda k: F.concat(json_text(k), F.lit(":"), F.coalesce(F.to_json(F.element_at(values, k)), F.lit("null"))),
+    )
+
+
+def json_text(value: Column) -> Column:
+    """A string as a JSON string."""
+    listed = F.to_json(F.array(value))
+    return listed.substr(F.lit(2), F.length(listed) - 2)
+
+
+def json_object(fields: Column) -> Column:
+    return F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}"))
+
+
 def merged_metadata(metadata: str, content: str) -> Column:
     """Metadata JSON with the preference keys set from, or cleared by, the text."""
-    kept = F.map_filter(
-        F.coalesce(F.from_json(F.col(metadata), "map<string,string>"), F.create_map().cast("map<string,string>")),
-        lambda k, v: ~k.isin("preference", "preference_span"),
-    )
+    kept = json_fields(metadata, ("preference", "preference_span"))
     span = t.preference_span(content)
-    extra = F.create_map(
-        F.lit("preference"), F.lit("true"), F.lit("preference_span"), span
-    )
-    merged = F.when(span.isNull(), kept).otherwise(F.map_concat(kept, extra))
-    # Only whole JSON values may stay unquoted; everything else is a string.
-    return F.concat(
-        F.lit("{"),
-        F.array_join(
-            F.transform(
-                F.map_entries(merged),
-                lambda e: F.concat(
-                    F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2),
-                    F.lit(":"),
-                    F.when(
-                        e["value"].rlike(r'^(?:true|false|null|-?\d+(?:\.\d+)?|\[.*\]|\{.*\})$'), e["value"]
-                    ).otherwise(
-                        F.to_json(F.array(e["value"])).substr(F.lit(2), F.length(F.to_json(F.array(e["value"]))) - 2)
-                    ),
-                ),
-            ),
-            ",",
-        ),
-        F.lit("}"),
-    )
+    extra = F.array(F.lit('"preference":true'), F.concat(F.lit('"preference_span":'), json_text(span)))
+    return json_object(F.when(span.isNull(), kept).otherwise(F.concat(kept, extra)))
 
 
 def enriched(rows: DataFrame, embed=None) -> DataFrame:
@@ -228,9 +226,7 @@ class Store:
             "id", "wing", "room", F.lit(content).alias("content"), "source_file", "chunk_index",
             "added_by", "filed_at", "importance",
             # The hall is routed anew from the new text.
-            F.to_json(
-                F.map_filter(F.from_json("metadata", "map<string,string>"), lambda k, v: k != "hall")
-            ).alias("metadata"),
+            json_object(json_fields("metadata", ("hall",))).alias("metadata"),
         )
         fresh = enriched(base, embed)
         self.replace("drawers", rows.filter(F.col("id") != drawer_id).unionByName(fresh))

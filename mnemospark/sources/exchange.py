@@ -9,7 +9,7 @@ from mnemospark.functions import text as t
 
 EXPORTED = [
     "id", "wing", "room", "content", "source_file", "chunk_index", "added_by", "filed_at",
-    "created_at", "importance",
+    "created_at", "importance", "metadata",
 ]
 
 
@@ -17,6 +17,8 @@ def export_rows(drawers: DataFrame) -> DataFrame:
     """Portable rows: no vectors, they are made anew on import."""
     if "created_at" not in drawers.columns:
         drawers = drawers.withColumn("created_at", F.col("filed_at"))
+    if "metadata" not in drawers.columns:
+        drawers = drawers.withColumn("metadata", F.lit("{}"))
     return drawers.select(*EXPORTED)
 
 
@@ -31,17 +33,21 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     schema = (
         "id string, wing string, room string, content string, source_file string, "
         "chunk_index long, added_by string, filed_at timestamp, created_at timestamp, "
-        "importance double"
+        "importance double, metadata string"
     )
     return spark.read.schema(schema).json(path)
 
 
 def import_rows(exported: DataFrame, filed_at: Column) -> DataFrame:
-    """Drawer rows to add.  Ids are derived again from place and position."""
+    """Drawer rows to add, under their exported ids and with their metadata.
+
+    Only a row without an id gets one from its place and position.
+    """
+    metadata = F.col("metadata") if "metadata" in exported.columns else F.lit(None).cast("string")
     return exported.select(
-        t.drawer_id("wing", "room", "source_file", "chunk_index").alias("id"),
+        F.coalesce("id", t.drawer_id("wing", "room", "source_file", "chunk_index")).alias("id"),
         "wing", "room", "content", "source_file", "chunk_index", "added_by",
-        filed_at.alias("filed_at"), "importance",
+        filed_at.alias("filed_at"), "importance", F.coalesce(metadata, F.lit("{}")).alias("metadata"),
     )
 
 
