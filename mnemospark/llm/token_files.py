@@ -3,7 +3,7 @@
 File format.  A data set is a Parquet table of segments in document order (part, seq); the body of
 a segment is little-endian: magic ``TKS1``, the numbers of documents and blocks (uint32 each), then
 each document's id (int64) and number of ids (uint64), then each block's number of ids, number of
-16-bit code words and CRC-32 of its ids as uint32 (all uint32), then the blocks' code words.  Blocks
+16-bit code words and CRC-32 of its ids (as uint32) and code words (all uint32), then the blocks' code words.  Blocks
 hold BLOCK ids (the last one fewer), start from an empty model, and can be decoded alone.
 
 Coding an id: the last two ids predict one id each (order 2 and order 1, the id that last followed
@@ -265,10 +265,14 @@ def packed(doc_ids: list[int | None], documents: list[np.ndarray]) -> bytes:
     words = encode(blocks)
     parts = [MAGIC, struct.pack("<II", len(documents), len(blocks))]
     parts += [struct.pack("<qQ", -(2**63) if d is None else d, len(x)) for d, x in zip(doc_ids, documents)]
-    parts += [struct.pack("<III", len(b), len(w), zlib.crc32(b.astype("<u4").tobytes())) for b, w in zip(blocks, words)]
+    parts += [struct.pack("<III", len(b), len(w), _checksum(b, w)) for b, w in zip(blocks, words)]
     return b"".join([*parts, *(w.tobytes() for w in words)])
 
 
+def _checksum(ids: np.ndarray, words: np.ndarray) -> int:
+    return zlib.crc32(words.astype("<u2").tobytes(), zlib.crc32(ids.astype("<u4").tobytes()))
+
+
 def unpacked(body: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     """The document ids and token ids of a segment; a ValueError if a block is damaged."""
     if body[:4] != MAGIC:
@@ -283,8 +287,8 @@ def unpacked(body: bytes) -> tuple[list[int | None], list[np.ndarray]]:
         words.append(np.frombuffer(body, "<u2", n, at).astype(np.int64))
         at += 2 * n
     blocks = decode(words, [h[0] for h in heads])
-    for number, (block, head) in enumerate(zip(blocks, heads)):
-        if zlib.crc32(block.astype("<u4").tobytes()) != head[2]:
+    for number, (block, head, code) in enumerate(zip(blocks, heads, words)):
+        if _checksum(block, code) != head[2]:
             raise ValueError(f"block {number} is damaged")
     ids = np.concatenate(blocks) if blocks else np.empty(0, np.int64)
     cuts = np.cumsum([n for _, n in docs])
