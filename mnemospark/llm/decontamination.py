@@ -34,8 +34,13 @@ def words(text: str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def hashed(of: str) -> Column:
+    """The hashes of an array of words; a column of its own, so that each word is hashed once."""
+    return F.transform(of, lambda w: F.xxhash64(w))
+
+
 def shingles(of: str) -> Column:
-    """Hashes of the SHINGLE-word shingles of an array of words, in order."""
+    """Hashes of the SHINGLE-word shingles of an array of word hashes, in order."""
     last = F.size(of) - SHINGLE
     at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.xxhash64(*(F.get(F.col(of), i + k) for k in range(SHINGLE))))
@@ -51,7 +56,7 @@ def simhash(of: str) -> Column:
 
 def numbered(of: str) -> Column:
     """Shingles with their occurrence numbers: sets of these compare as weighted shingles do."""
-    return F.expr(f"transform(array_sort({of}), (x, i) -> struct(x, i - array_position(array_sort({of}), x) AS k))")
+    return F.expr(f"transform(sort_array({of}), (x, i) -> struct(x, i - array_position(sort_array({of}), x) AS k))")
 
 
 def block(of: Column, number: Column) -> Column:
@@ -61,6 +66,7 @@ def block(of: Column, number: Column) -> Column:
 def items_of(benchmark: DataFrame) -> DataFrame:
     """(item_id, size, shingles) of the items that can be searched."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words("text").alias("w"))
+    rows = rows.select("item_id", hashed("w").alias("w"))
     return rows.select("item_id", F.size("w").alias("size"), shingles("w").alias("shingles")).where(F.col("size") >= SHINGLE)
 
 
@@ -76,7 +82,7 @@ def _key(df: DataFrame) -> tuple[Column, Column]:
 def windows(rows: DataFrame, items: DataFrame) -> DataFrame:
     """(_d, _t, start, size): item-sized windows where a shingle of a document lies as in an item."""
     known = items.select("size", F.posexplode("shingles").alias("at", "h")).distinct()
-    own = rows.select("_d", "_t", words("text").alias("w")).select(
+    own = rows.select("_d", "_t", words("text").alias("w")).select("_d", "_t", hashed("w").alias("w")).select(
         "_d", "_t", F.size("w").alias("n"), F.posexplode(shingles("w")).alias("place", "h")
     )
     start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("at"), F.col("n") - F.col("size")))
@@ -88,19 +94,21 @@ def matches(documents: DataFrame, benchmark: DataFrame, least: float = 0.8) -> D
     items = written(items_of(benchmark))
     rows = keyed(documents)
     found = written(windows(rows, items)).groupBy("_d", "_t").agg(F.collect_list(F.struct("start", "size")).alias("windows"))
-    hashed = (
+    # Written, so that no later condition repeats the work of these columns.
+    of_windows = written(
         rows.dropDuplicates(["_d", "_t"]).join(found, ["_d", "_t"])
         .withColumn("w", words("text"))
+        .withColumn("w", hashed("w"))
         .select("_d", "_t", "w", F.explode("windows").alias("at"))
         .select("_d", "_t", "at.start", "at.size", F.slice("w", F.col("at.start") + 1, F.col("at.size")).alias("part"))
         .select("_d", "_t", "start", "size", shingles("part").alias("h"))
         .select("_d", "_t", "start", "size", simhash("h").alias("sim"), numbered("h").alias("x"))
     )
-    of_items = items.select("item_id", "size", simhash("shingles").alias("item_sim"))
+    of_items = written(items.select("item_id", "size", simhash("shingles").alias("item_sim"), numbered("shingles").alias("y")))
     numbers = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("number")
-    left = hashed.select("*", numbers).withColumn("value", block("sim", "number"))
+    left = of_windows.select("*", numbers).withColumn("value", block("sim", "number"))
     right = (
-        of_items.select("*", numbers)
+        of_items.drop("y").select("*", numbers)
         .withColumn("value", F.explode(F.array(*(F.lit(m).cast("long") for m in MASKS))))
         .withColumn("value", F.col("value").bitwiseXOR(block("item_sim", "number")))
     )
@@ -114,7 +122,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, least: float = 0.8) -> D
         .where((F.bit_count("apart") <= RADIUS) & (F.col("number") == first))
         .select("_d", "_t", "start", "size", "x", "item_id")
     )
-    sets = items.select("item_id", numbered("shingles").alias("y"))
+    sets = of_items.select("item_id", "y")
     both = F.size(F.array_intersect("x", "y"))
     return (
         near.join(sets, "item_id")
