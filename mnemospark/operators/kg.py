@@ -72,8 +72,10 @@ def query_relationship(
     return _facts(_both_names(rows, entities), "outgoing", F.col("_s"), F.col("_o"))
 
 
-def timeline(triples: DataFrame, entities: DataFrame, name: str | None = None) -> DataFrame:
-    """The earliest 100 facts, undated ones last.
+def timeline(
+    triples: DataFrame, entities: DataFrame, name: str | None = None, limit: int | None = fv.TIMELINE_LIMIT
+) -> DataFrame:
+    """The ``limit`` earliest facts (None: all), undated ones last.
 
     Names are joined after the limit: every triple has both entities.
     """
@@ -81,7 +83,8 @@ def timeline(triples: DataFrame, entities: DataFrame, name: str | None = None) -
     if name is not None:
         rows = rows.filter((F.col("subject") == _id(name)) | (F.col("object") == _id(name)))
     tie = ["subject", "predicate", "object", "valid_to"]
-    first = rows.orderBy(F.asc_nulls_last("valid_from"), *tie).limit(fv.TIMELINE_LIMIT)
+    first = rows.orderBy(F.asc_nulls_last("valid_from"), *tie)
+    first = first if limit is None else first.limit(limit)
     return _facts(_both_names(first, entities), "outgoing", F.col("_s"), F.col("_o"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import fixed_values as fv
 from mnemospark.functions import text as t
-from mnemospark.session import can_checkpoint
+from mnemospark.session import set_checkpoints
 
 
 def _usable(drawers: DataFrame) -> DataFrame:
@@ -68,9 +68,10 @@ def edges_of_wing(drawers: DataFrame, wing: str) -> DataFrame:
 
 
 def find_tunnels(
-    drawers: DataFrame, wing_a: str | None = None, wing_b: str | None = None
+    drawers: DataFrame, wing_a: str | None = None, wing_b: str | None = None,
+    limit: int | None = fv.GRAPH_RESULT_LIMIT,
 ) -> DataFrame:
-    """The 50 fullest rooms that join at least two wings, one row per wing of each."""
+    """The ``limit`` fullest rooms (None: all) that join at least two wings, one row per wing of each."""
     rw = room_wings(drawers)
     totals = rw.groupBy("room").agg(
         F.count(F.lit(1)).alias("wings"),
@@ -85,18 +86,14 @@ def find_tunnels(
     for i, w in enumerate([wing_a, wing_b]):
         if w is not None:
             keep = keep & F.col(f"_has{i}")
-    top = (
-        totals.filter(keep)
-        .select("room", "wings", "drawers")
-        .orderBy(F.desc("drawers"), "room")
-        .limit(fv.GRAPH_RESULT_LIMIT)
-    )
-    # 50 rooms at most, so both joins broadcast a bounded side.
-    dated = room_dates(drawers.join(F.broadcast(top.select("room")), "room", "left_semi"))
+    top = totals.filter(keep).select("room", "wings", "drawers")
+    if limit is not None:
+        top = top.orderBy(F.desc("drawers"), "room").limit(limit)
+    dated = room_dates(drawers.join(top.select("room"), "room", "left_semi"))
     return (
         rw.select("room", "wing")
-        .join(F.broadcast(top), "room")
-        .join(F.broadcast(dated.select("room", "recent")), "room")
+        .join(top, "room")
+        .join(dated.select("room", "recent"), "room")
     )
 
 
@@ -125,22 +122,24 @@ def top_tunnels(drawers: DataFrame) -> DataFrame:
 
 
 def traverse(
-    drawers: DataFrame, start: str, max_hops: int = 2, checkpoint_every: int = 3
+    drawers: DataFrame, start: str, max_hops: int = 2, limit: int | None = fv.GRAPH_RESULT_LIMIT
 ) -> DataFrame:
     """Breadth-first walk over rooms that share a wing.
 
     A hop goes frontier -> wings -> rooms.  Each wing first keeps only its
     smallest frontier room, so a wing with many rooms meets one row and no room
     pairs appear.  The smallest frontier room sharing a wing is the discoverer.
-    Deep walks cut their lineage with ``checkpoint`` where a directory is set.
+    The room graph and each frontier are written once, so a hop reads them and plans nothing
+    of the hops before; the walk ends with the first empty frontier.  ``limit`` rooms are
+    returned, all of them if it is None.
     """
-    rw = room_wings(drawers)
+    set_checkpoints(drawers.sparkSession)
+    rw = room_wings(drawers).checkpoint()
     edges = rw.select("room", "wing")
     seen = edges.filter(F.col("room") == start).select("room").distinct().select(
         "room", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via_room")
     )
     frontier = seen
-    cut = can_checkpoint(drawers.sparkSession)
     for hop in range(1, max_hops + 1):
         reach = edges.join(frontier.select("room"), "room").groupBy("wing").agg(
             F.min("room").alias("via_room")
@@ -151,24 +150,19 @@ def traverse(
             .agg(F.min("via_room").alias("via_room"))
             .join(seen.select("room"), "room", "left_anti")
         )
-        frontier = found.select("room", F.lit(hop).alias("hop"), "via_room")
-        if cut and hop % checkpoint_every == 0:
-            frontier = frontier.checkpoint()
-            if frontier.isEmpty():
-                break
+        frontier = found.select("room", F.lit(hop).alias("hop"), "via_room").checkpoint()
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     totals = rw.groupBy("room").agg(F.sum("drawers").alias("drawers"))
-    return (
-        totals.join(seen, "room")
-        .orderBy("hop", F.desc("drawers"), "room")
-        .limit(fv.GRAPH_RESULT_LIMIT)
-    )
+    walked = totals.join(seen, "room").orderBy("hop", F.desc("drawers"), "room")
+    return walked if limit is None else walked.limit(limit)
 
 
 def connecting_wings(drawers: DataFrame, walk: DataFrame) -> DataFrame:
     """Wings a walked room shares with its discoverer, one row per wing."""
     edges = room_wings(drawers).select("room", "wing")
-    steps = F.broadcast(walk.filter(F.col("hop") > 0).select("room", "via_room"))
+    steps = walk.filter(F.col("hop") > 0).select("room", "via_room")
     mine = edges.join(steps, "room").select("room", "via_room", "wing")
     theirs = edges.select(F.col("room").alias("via_room"), "wing")
     return mine.join(theirs, ["via_room", "wing"]).select("room", "via_room", "wing")

@@ -510,6 +510,7 @@ def timeline(where: str) -> str:
 
 
 SQL["kg_timeline"] = timeline("TRUE")
+SQL["kg_timeline_all"] = timeline("TRUE").replace(" LIMIT 100", "")
 SQL["kg_timeline_entity"] = timeline("subject = 'customer_11' OR object = 'customer_11'")
 SQL["kg_stats"] = f"""WITH {KG} SELECT (SELECT count(*) FROM entities) AS entities, count(*) AS triples,
  count(*) FILTER (valid_to IS NULL) AS current_facts, count(*) FILTER (valid_to IS NOT NULL) AS expired_facts,
@@ -542,6 +543,7 @@ SQL["room_edges_of_wing"] = f"""WITH {PRICE}, {RW} SELECT a.room, least(a.wing,
  FROM rw a JOIN rw b ON a.room = b.room AND a.wing = 'customer_7' AND b.wing <> 'customer_7'"""
 SQL["find_tunnels"] = f"""WITH {PRICE}, {RW}, {NODES}, {DATES}, top AS (SELECT * FROM nodes WHERE wings >= 2 ORDER BY drawers DESC, room LIMIT 50)
  SELECT room, wing, wings, drawers, recent FROM rw JOIN top USING (room) JOIN dates USING (room)"""
+SQL["find_tunnels_all"] = SQL["find_tunnels"].replace(" LIMIT 50", "")
 SQL["find_tunnels_between"] = f"""WITH {SIGHT}, {RW}, {NODES}, {DATES}, top AS (SELECT * FROM nodes n WHERE wings >= 2
  AND EXISTS (SELECT 1 FROM rw WHERE rw.room = n.room AND wing = (SELECT n_name FROM nation WHERE n_nationkey = 2))
  AND EXISTS (SELECT 1 FROM rw WHERE rw.room = n.room AND wing = {_NATION3}) ORDER BY drawers DESC, room LIMIT 50)
@@ -569,6 +571,7 @@ def walk(hops: int) -> str:
 
 
 SQL["traverse"] = f"WITH {PRICE}, {RW}, {NODES}, {walk(2)} SELECT * FROM walk"
+SQL["traverse_all"] = f"WITH {PRICE}, {RW}, {NODES}, {walk(4)} SELECT * FROM walk".replace(" LIMIT 50", "")
 SQL["traverse_links"] = f"""WITH {PRICE}, {RW}, {NODES}, {walk(1)} SELECT w.room, w.via_room, a.wing FROM walk w
  JOIN rw a ON a.room = w.room JOIN rw b ON b.room = w.via_room AND b.wing = a.wing WHERE hop > 0"""
 SQL["room_suggestions"] = f"""WITH {PRICE}, r AS (SELECT DISTINCT room FROM sight), s AS (SELECT room,

@@ -492,6 +492,11 @@ def kg_timeline(spark, sf):
     return kg.timeline(*fx.kg(spark, sf)).select(*_FACT)
 
 
+@query
+def kg_timeline_all(spark, sf):
+    return kg.timeline(*fx.kg(spark, sf), limit=None).select(*_FACT)
+
+
 @query
 def kg_timeline_entity(spark, sf):
     return kg.timeline(*fx.kg(spark, sf), "Customer 11").select(*_FACT)
@@ -563,6 +568,11 @@ def find_tunnels(spark, sf):
     return rooms.find_tunnels(fx.price_rooms(spark, sf))
 
 
+@query
+def find_tunnels_all(spark, sf):
+    return rooms.find_tunnels(fx.price_rooms(spark, sf), limit=None)
+
+
 @query
 def find_tunnels_between(spark, sf):
     return rooms.find_tunnels(fx.room_drawers(spark, sf), *_two_nations(spark, sf))
@@ -593,6 +603,12 @@ def traverse(spark, sf):
     return rooms.traverse(fx.price_rooms(spark, sf), "price-1000", 2)
 
 
+@query
+def traverse_all(spark, sf):
+    """Every room within four hops."""
+    return rooms.traverse(fx.price_rooms(spark, sf), "price-1000", 4, limit=None)
+
+
 @query
 def traverse_links(spark, sf):
     sightings = fx.price_rooms(spark, sf)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Settings that hold at any size.  Partition counts stay with the cluster: AQE
@@ -35,11 +37,9 @@ def local_session(cores: int = 8, name: str = "mnemospark", memory: str = "8g")
     return spark
 
 
-def can_checkpoint(spark: SparkSession) -> bool:
-    """Whether ``checkpoint()`` works; the folder is the one the cluster names."""
+def set_checkpoints(spark: SparkSession) -> None:
+    """Makes ``checkpoint()`` write to the folder the cluster names, or to a local one where none is named."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named:
-            context.setCheckpointDir(named)
-    return context.getCheckpointDir() is not None
+        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
