@@ -7,6 +7,7 @@ JSON tools on top of them.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,7 @@ class Memory:
     ):
         self.spark, self.store, self.embedder = spark, Store(spark, root), embedder
         self.label, self.clock, self.identity = label.strip() or "memory", clock, identity
+        self.session_id = uuid.uuid4().hex
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     # ---------------------------------------------------------------- helpers

@@ -7,6 +7,10 @@ are for small stores, and the ``Memory`` methods give the same as DataFrames.
 from __future__ import annotations
 
 import datetime as dt
+import json
+import os
+import time
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +22,8 @@ from mnemospark.operators import catalog, diary, hybrid, kg, rooms, usage, vecto
 from mnemospark.plans import search
 
 TOOLS = {}
+#: Reports about usage are no usage.
+UNRECORDED = {"gain"}
 
 
 class MissingArgument(ValueError):
@@ -62,12 +68,33 @@ def flag_arg(args: dict, key: str) -> bool:
 
 
 def call(memory, name: str, args: dict | None = None) -> dict:
+    """Runs a tool and records the call, so that ``gain`` and the hooks see it."""
     if name not in TOOLS:
         return {"error": f"unknown tool: {name}"}
+    began = time.monotonic()
     try:
-        return TOOLS[name](memory, args or {})
+        result = TOOLS[name](memory, args or {})
     except (MissingArgument, ValueError) as e:
-        return {"error": str(e)}
+        result = {"error": str(e)}
+    if name not in UNRECORDED:
+        record_call(memory, name, args or {}, result, int((time.monotonic() - began) * 1000))
+    return result
+
+
+def record_call(m, name: str, args: dict, result: dict, duration_ms: int) -> None:
+    """One usage event: outcome and counts from the answer, repeats from the last day."""
+    project = text_arg(args, "project") or os.path.basename((text_arg(args, "project_path") or "").rstrip("/")) or m.label
+    # The average is only asked for by events that a duplicate saved.
+    saves = result.get("is_duplicate") or result.get("reason") == "duplicate"
+    average = m.drawers().agg(F.avg(F.octet_length("content") / 4)).first()[0] if saves else None
+    raw = m.spark.createDataFrame(
+        [((time.time_ns() >> 10 << 10) + uuid.uuid4().int % 1024, m.session_id, project, name, json.dumps(args, default=str), json.dumps(result, default=str), duration_ms)],
+        "id long, session_id string, project string, tool string, args string, result string, duration_ms long",
+    ).withColumn("ts", m.now())
+    event = usage.classify_calls(raw, F.lit(int(average or 0)))
+    known = m.store.read("usage_events")
+    recent = known.filter(F.col("ts") >= m.now() - F.make_dt_interval(hours=F.lit(fv.REPEAT_WINDOW_HOURS)))
+    m.store.append("usage_events", usage.mark_repeats(event, recent).select(*known.columns))
 
 
 def place(args: dict) -> dict:

@@ -69,6 +69,17 @@ def test_search_stages(memory):
     assert near == ["d0", "d1"]
 
 
+def test_tool_calls_are_recorded(memory):
+    before = tools.call(memory, "gain")["tool_calls"]
+    tools.call(memory, "search", {"query": "which cable did the printer need?"})
+    tools.call(memory, "search", {"query": "which cable did the printer need?"})
+    tools.call(memory, "search", {})
+    after = tools.call(memory, "gain")
+    assert after["tool_calls"] == before + 3
+    seen = memory.store.read("usage_events").filter("tool = 'search' and outcome in ('hit', 'miss')")
+    assert seen.filter("get_json_object(meta, '$.is_repeat') = 'true'").count() >= 1
+
+
 def test_tools(memory):
     out = tools.call(memory, "search", {"query": "why did we ship by rail?", "limit": 2, "rerank": True})
     # The rewrite strips "why did", so the intent is no longer a decision.
