@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Odd multipliers of the 64-bit hashes.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-#: Rows of an Arrow batch handed to Python; long texts are also bounded by bytes.
-BATCH_BYTES = 16 << 20
+#: Bytes of text that a task takes apart at once: word lists take several times as much memory.
+BATCH_BYTES = 4 << 20
 #: Words whose derived values a task keeps; beyond, the store is emptied.
 CACHE_WORDS = 300_000
 

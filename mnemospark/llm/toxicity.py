@@ -269,9 +269,8 @@ def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         words = Words(model.weights.astype(np.float64))
-        for batch in batches:
-            for piece in pieces(iter([batch])):
-                raw = worst(words, model.bias, [words_of(t) for t in piece.column(at).to_pylist()])
-                yield piece.filter(pa.array(model.slope * raw + model.shift < 0))
+        for piece in pieces(batches):
+            raw = worst(words, model.bias, [words_of(t) for t in piece.column(at).to_pylist()])
+            yield piece.filter(pa.array(model.slope * raw + model.shift < 0))
 
     return documents.mapInArrow(run, documents.schema)
