@@ -57,7 +57,7 @@ def hybrid_search(
 ) -> DataFrame:
     """The n best drawers of the filter.
 
-    Vector candidates number at most max(4n, 20), so they are broadcast and the
+    Vector candidates number at most max(4n, 20), so the planner can broadcast them and the
     BM25 side is never shuffled for the union of both candidate sets.  With an
     ``index`` (postings, doc_stats) text is read only for candidates that can
     still reach the first n.
@@ -84,7 +84,7 @@ def hybrid_search(
             cands = rows.filter(F.col("bm25").isNotNull()).withColumn("cosine", F.lit(0.0))
         else:
             cands = (
-                rows.join(F.broadcast(near), "id", "left")
+                rows.join(near, "id", "left")
                 .filter(F.col("bm25").isNotNull() | F.col("_sim").isNotNull())
                 .withColumn("cosine", _floored(F.col("_sim")))
                 .drop("_sim")
@@ -150,7 +150,7 @@ def merge_preferences(
         results.select("id"), "id", "left_anti"
     )
     text = drawers.select("id", "content", "chunk_index")
-    added = text.join(F.broadcast(extra), "id").select(
+    added = text.join(extra, "id").select(
         "id", "wing", "room", "content", "source_file", "chunk_index", "filed_at",
         F.col("similarity").alias("cosine"),
         F.lit(0.0).alias("bm25"),
@@ -188,7 +188,7 @@ def with_source_context(results: DataFrame, drawers: DataFrame, radius: int = 1)
     )
     near = F.col("chunk_index").between(F.col("_at") - radius, F.col("_at") + radius)
     rows = drawers.select("id", "wing", "room", "content", "source_file", "chunk_index", "filed_at")
-    return rows.join(F.broadcast(hits), (F.col("source_file") == F.col("_file")) & near).drop(
+    return rows.join(hits, (F.col("source_file") == F.col("_file")) & near).drop(
         "_file", "_at"
     )
 
@@ -219,14 +219,14 @@ def recall_check(
     )
     # One row per probe in ``top``: bounded by the literal list of checks.
     lowered = computed(
-        pairs.join(F.broadcast(top), "probe"), {"_text": F.lower("content"), "_room": F.lower("room")}
+        pairs.join(top, "probe"), {"_text": F.lower("content"), "_room": F.lower("room")}
     )
     scored = computed(lowered, {"combined": combined}).select(
         "probe", "id", "source_file", "filed_at", "combined"
     )
     order = Window.partitionBy("probe").orderBy(*_order())
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-    found = ranked.join(F.broadcast(table), "probe").groupBy("probe").agg(
+    found = ranked.join(table, "probe").groupBy("probe").agg(
         F.min(F.when(F.col("source_file") == F.col("expected_source"), F.col("rank"))).alias("rank"),
         F.min_by("source_file", "rank").alias("top_source"),
         F.min_by("combined", "rank").alias("top_similarity"),
