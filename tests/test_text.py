@@ -98,8 +98,12 @@ def test_hall_tie_goes_to_the_later_hall(spark):
 
 def test_convo_room_cut_inside_a_character_reads_the_whole_text(spark):
     text = "a" * 2999 + "é" + " roadmap"
-    assert one(spark, text, t.detect_convo_room("s")) == "planning"
-    assert one(spark, "a" * 3000 + " roadmap", t.detect_convo_room("s")) == "general"
+    assert one(spark, text, t.detect_convo_room("s", 3000)) == "planning"
+    assert one(spark, "a" * 3000 + " roadmap", t.detect_convo_room("s", 3000)) == "general"
+
+
+def test_convo_room_reads_whole_texts_by_default(spark):
+    assert one(spark, "a" * 3000 + " roadmap", t.detect_convo_room("s")) == "planning"
 
 
 def test_entities(spark):
