@@ -51,6 +51,16 @@ def _ranked(rows: DataFrame, k: int) -> DataFrame:
     return rows.orderBy(F.desc("similarity"), F.desc("filed_at"), "id").limit(k)
 
 
+def _scored(
+    drawers: DataFrame, vector: Sequence[float], wing: str | None, room: str | None
+) -> DataFrame:
+    rows = narrow(drawers, wing, room).filter(F.col("embedding").isNotNull())
+    keep = ["id", "wing", "room", "source_file", "filed_at"]
+    return rows.select(
+        *keep, round_to(cosine_to(vector, F.col("embedding")), 3).alias("similarity")
+    )
+
+
 def vector_top_k(
     drawers: DataFrame,
     vector: Sequence[float],
@@ -62,12 +72,7 @@ def vector_top_k(
 
     Text stays out of the scan; callers join it to the k rows.
     """
-    rows = narrow(drawers, wing, room).filter(F.col("embedding").isNotNull())
-    keep = ["id", "wing", "room", "source_file", "filed_at"]
-    scored = rows.select(
-        *keep, round_to(cosine_to(vector, F.col("embedding")), 3).alias("similarity")
-    )
-    return _ranked(scored, k)
+    return _ranked(_scored(drawers, vector, wing, room), k)
 
 
 def preference_top_k(
@@ -93,10 +98,11 @@ def check_duplicate(
     threshold: float = fv.DUPLICATE_THRESHOLD,
     wing: str | None = None,
     room: str | None = None,
+    limit: int | None = fv.DUPLICATE_POOL,
 ) -> DataFrame:
-    """Nearest drawers first, then the threshold."""
-    near = vector_top_k(drawers, vector, fv.DUPLICATE_POOL, wing, room)
-    return near.filter(F.col("similarity") >= threshold)
+    """Drawers at or over the threshold: the ``limit`` nearest of them (None: all, in no order)."""
+    same = _scored(drawers, vector, wing, room).filter(F.col("similarity") >= threshold)
+    return same if limit is None else _ranked(same, limit)
 
 
 def unembedded(drawers: DataFrame) -> DataFrame:

@@ -139,10 +139,10 @@ class Memory:
 
     def check_duplicate(
         self, content: str, threshold: float = fv.DUPLICATE_THRESHOLD,
-        wing: str | None = None, room: str | None = None,
+        wing: str | None = None, room: str | None = None, limit: int | None = fv.DUPLICATE_POOL,
     ) -> DataFrame:
         return vectors.check_duplicate(
-            self.drawers(), self.embedder.one(content), threshold, wing, room
+            self.drawers(), self.embedder.one(content), threshold, wing, room, limit
         )
 
     # ----------------------------------------------------------------- layers

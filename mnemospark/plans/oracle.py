@@ -274,6 +274,7 @@ SQL["vector_topk_filtered"] = (
 SQL["check_duplicate"] = (
     f"SELECT id, similarity FROM ({nearest(NOTES, 'notes', 7, 5)}) WHERE similarity >= 0.9"
 )
+SQL["check_duplicate_all"] = SQL["check_duplicate"].replace(" LIMIT 5", "")
 SQL["preference_search"] = (
     f"SELECT id, wing, similarity FROM ({nearest(NOTES, 'notes', 11, 10, is_pref('content'))})"
 )

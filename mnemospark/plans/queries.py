@@ -308,6 +308,13 @@ def check_duplicate(spark, sf):
     return vectors.check_duplicate(fx.notes(spark, sf), vec, 0.9).select("id", "similarity")
 
 
+@query
+def check_duplicate_all(spark, sf):
+    """Every note at or over the threshold."""
+    vec = fx.query_vector(spark, sf, 7)
+    return vectors.check_duplicate(fx.notes(spark, sf), vec, 0.9, limit=None).select("id", "similarity")
+
+
 @query
 def preference_search(spark, sf):
     vec = fx.query_vector(spark, sf, 11)
