@@ -6,7 +6,8 @@ from: look-alike letters and digits of other alphabets, digits spelled as words,
 brackets that stand for the at sign and the dot.  Identifiers found in the rewritten text are
 mapped back; one that no plain span of its kind overlaps is added.  A rewriting counts only where
 it makes a whole identifier: a spelled at sign needs a spelled or plain dot and an ending of
-letters behind it, and spelled digits need a run as long as the identifier.
+letters behind it, and a run of spelled digits and dots, however few, must pass the plain pattern
+and check of its kind (parts of an address, Luhn, number of digits).
 
 Defined results: null and empty texts have no spans; offsets are code points, ends exclusive;
 kinds are listed as email, ip, card, phone, and spans of a kind by start.  Rows stay rows: repeated
@@ -19,6 +20,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,9 +66,20 @@ SIGN_AT = rf"(?:[ \t]?@[ \t]?|{AT.pattern})"
 SIGN_DOT = rf"(?:\.|{DOT.pattern})"
 SPELLED = re.compile(rf"(?<![A-Za-z0-9._%+-]){PART}(?:{SIGN_DOT}{PART}){{0,4}}{SIGN_AT}[A-Za-z0-9-]+(?:{SIGN_DOT}[A-Za-z0-9-]+){{0,4}}{SIGN_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9])", re.I)
 NUMBER_WORD = "|".join(sorted(DIGIT_WORDS, key=lambda w: (-len(w), w)))
-#: Runs of digits and digit words with single separators; a run needs four digit words to be rewritten.
-SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus[ \t]+|\+[ \t]?)?(?:(?:{NUMBER_WORD})|[0-9]+)(?:[ \t]*[-.,()][ \t]*|[ \t]+)(?:(?:(?:{NUMBER_WORD})|[0-9]+|dot|punkt|point|punto)(?:[ \t]*[-.,()][ \t]*|[ \t]+)?)+(?!\w)", re.I)
-RUN_TOKEN = re.compile(rf"(plus|dot|punkt|point|punto|{NUMBER_WORD})|([0-9]+)|([ \t]*\.[ \t]*)|([^\w]+)", re.I)
+DOT_WORD = "dot|punkt|point|punto"
+DOT_BRACKET = rf"[\[({{<][ \t]*(?:{DOT_WORD}|\.)[ \t]*[\])}}>]"
+BREAK = r"(?:[ \t]*+[-.,()][ \t]*+|[ \t]++)"
+
+
+def spelled_run(dots: str, gap: str) -> re.Pattern:
+    """Runs of digits, digit words and the given dots with single separators."""
+    return re.compile(rf"(?<!\w)(?:plus[ \t]+|\+[ \t]?)?(?:{NUMBER_WORD}|[0-9]++)(?:{gap}|(?=[\[({{<]))(?:(?:{NUMBER_WORD}|[0-9]++|{dots}){gap}?)+(?!\w)", re.I)
+
+
+SPELLED_RUN = spelled_run(f"{DOT_WORD}|{DOT_BRACKET}", rf"(?:(?![ \t]*{DOT_BRACKET})[ \t]*+[-.,()][ \t]*+|[ \t]++)")
+#: The same, ended by square, curly and angle brackets: an identifier may stand before them.
+UNBRACKETED_RUN = spelled_run(DOT_WORD, BREAK)
+RUN_TOKEN = re.compile(rf"(plus[ \t]+)|({NUMBER_WORD})|([ \t]*(?:{DOT_WORD}|{DOT_BRACKET})[ \t]*)|([0-9]+)|([ \t]*\.[ \t]*)|((?:(?!{DOT_BRACKET})[^\w])+)", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -191,43 +204,58 @@ def signs(text: Rewritten) -> Rewritten:
     return text.replaced(edits) if edits else text
 
 
-def digits(text: Rewritten) -> Rewritten:
-    """Runs with at least four digit words, as digits without the spaces between the words."""
+def digits(text: Rewritten, joined: bool, run: re.Pattern = SPELLED_RUN) -> Rewritten:
+    """Runs with a spelled part, in digits and dots.
+
+    Joined: runs with digit words, without the separators inside them.  Else the separators stay, so
+    that they end identifiers as in plain text.
+    """
     edits = []
-    for m in SPELLED_RUN.finditer(text.text):
-        parts, words = [], 0
+    for m in run.finditer(text.text):
+        parts, words, spelled = [], 0, 0
         for x in RUN_TOKEN.finditer(text.text, m.start(), m.end()):
-            word = (x.group(1) or "").lower()
-            if word in DIGIT_WORDS:
-                parts.append((x.start(), x.end(), DIGIT_WORDS[word]))
+            plus, word, dot, number, point, _ = x.groups()
+            new = x.group()
+            if word:
+                new = DIGIT_WORDS[word.lower()]
                 words += 1
-            elif word:
-                parts.append((x.start(), x.end(), "+" if word == "plus" else "."))
-            elif x.group(2):
-                parts.append((x.start(), x.end(), x.group(2)))
-            elif x.group(3):
-                parts.append((x.start(), x.end(), "."))
-            elif "+" in x.group():
-                parts.append((x.start(), x.end(), "+"))
-            elif x.end() < m.end():
-                parts.append((x.start(), x.end(), ""))
-        if words >= 4:
-            edits += parts
+            elif plus or dot:
+                new = "+" if plus else "."
+                spelled += 1
+            elif "+" in new:
+                new = "+"
+            elif joined and point:
+                new = "."
+            elif joined and not number and x.end() < m.end():
+                new = ""
+            parts.append((x.start(), x.end(), new))
+        if words or (spelled and not joined):
+            edits += [x for x in parts if text.text[x[0] : x[1]] != x[2]]
     return text.replaced(edits) if edits else text
 
 
-LETTERS = re.compile(r"[^\W\d_]+")
-DOT_WORDS = {"dot", "punkt", "point", "punto"}
+TOKENS = re.compile(r"[^\W\d_]+|[0-9]+")
 BRACKETED = re.compile(r"[\[({<][ \t]*(?:at|@|ät|arroba|arobase|dot|punkt|point|punto|\.)[ \t]*[\])}>]", re.I)
-FOUR_DIGITS = re.compile("1(?:[.]*1){3}")
-MARKS = dict.fromkeys(DIGIT_WORDS, "1") | dict.fromkeys(DOT_WORDS | {"plus"}, ".")
+#: Two neighbours of a run, one of them spelled.
+NEIGHBOURS = re.compile("[1.+][1d.]|[1d][1.]")
+WORDS = re.compile(rf"(?:{NUMBER_WORD}|{DOT_WORD})+")
+
+
+@lru_cache(1 << 16)
+def mark(token: str) -> str:
+    """1 for digit words, also several in one, . and + for words of these signs, d for digits, else 0."""
+    if token in DIGIT_WORDS:
+        return "1"
+    if WORDS.fullmatch(token):
+        return "." if token in ("dot", "punkt", "point", "punto") else "1.1"
+    return "+" if token == "plus" else "d" if "0" <= token[0] <= "9" else "0"
 
 
 def cues(text: str) -> tuple[bool, bool]:
     """Whether an address, and whether a number, can be spelled out in the text."""
-    mark = MARKS.get
-    marks = "".join([mark(w, "0") for w in LETTERS.findall(text.lower())])
-    return "." in marks or BRACKETED.search(text) is not None, FOUR_DIGITS.search(marks) is not None
+    marks = "".join(map(mark, TOKENS.findall(text.lower())))
+    bracketed = BRACKETED.search(text) is not None
+    return "." in marks or bracketed, bracketed or NEIGHBOURS.search(marks) is not None
 
 
 def added_spans(text: str, plain: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
@@ -236,11 +264,11 @@ def added_spans(text: str, plain: dict[str, list[tuple[int, int]]]) -> dict[str,
     signed, worded = cues(base.text)
     found: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
     versions = []
-    for use, wanted in ((signs, signed), (digits, worded)):
-        if wanted:
-            new = use(base)
-            if new is not base:
-                versions.append(new)
+    if signed:
+        versions.append(signs(base))
+    if worded:
+        versions += [digits(base, False), digits(base, True), digits(base, True, UNBRACKETED_RUN)]
+    versions = [v for v in versions if v is not base]
     if base.text != text:
         versions.append(base)
     for version in versions:

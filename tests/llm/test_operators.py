@@ -229,6 +229,23 @@ def test_disguised_identifiers_map_back(text, found):
     assert added == ([found] if found else []) and not any(plain.values())
 
 
+@pytest.mark.parametrize("text", [
+    "192[.]168[.]1[.]1", "192 (dot) 168 (dot) 1 (dot) 1", "192 dot 168 dot 1 dot 1", "192(.)168(.)1(.)1", "192.168.one.1", "10 [dot] zero {.} 0 point one",
+    "4111 1111 1111 one one one 1", "4111 1111 1111 111one", "+1 555 five 551234", "plus 1 555 one 23 4567", "+1 dot 555 dot 123 dot 4567",
+])
+@pytest.mark.parametrize("frame", ["{}", "so {} ok", "12, {}, 7 of one point two"])
+def test_numbers_with_few_spelled_signs(text, frame):
+    whole = frame.format(text)
+    assert text not in pii.masked(whole)
+    added = pii.added_spans(whole, pii.plain_spans(whole))
+    assert text in [whole[a:b] for spans in added.values() for a, b in spans]
+
+
+@pytest.mark.parametrize("text", ["192 dot 168 dot 1 dot 256", "4111 1111 1111 one one one 2", "one 1999", "1999, 2000, 2001, 2002 point 5", "5 " + "1" * 200 + "x one two"])
+def test_numbers_that_fail_their_check_stay(text):
+    assert pii.masked(text) == text
+
+
 def test_token_blocks_round_trip_and_damage():
     rng = np.random.default_rng(1)
     blocks = [rng.choice([3, 50, 49407, 7], int(rng.integers(1, 300))) if k % 2 else rng.integers(0, 65536, int(rng.integers(1, 300))) for k in range(9)]
