@@ -251,11 +251,14 @@ def mark(token: str) -> str:
     return "+" if token == "plus" else "d" if "0" <= token[0] <= "9" else "0"
 
 
+AT_BLANK = re.compile(r"[ \t]@|@[ \t]")
+
+
 def cues(text: str) -> tuple[bool, bool]:
-    """Whether an address, and whether a number, can be spelled out in the text."""
+    """Whether an address, and whether a number, can be spelled out in the text: False only where signs() or digits() change nothing."""
     marks = "".join(map(mark, TOKENS.findall(text.lower())))
     bracketed = BRACKETED.search(text) is not None
-    return "." in marks or bracketed, bracketed or NEIGHBOURS.search(marks) is not None
+    return "." in marks or bracketed or AT_BLANK.search(text) is not None, bracketed or NEIGHBOURS.search(marks) is not None
 
 
 def added_spans(text: str, plain: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:

@@ -241,6 +241,12 @@ def test_numbers_with_few_spelled_signs(text, frame):
     assert text in [whole[a:b] for spans in added.values() for a, b in spans]
 
 
+@pytest.mark.parametrize("address", ["john @ example.com", "john @example.com", "john@ example.com", "john.doe\t@\tmail.example.com", "john\u00a0@\u00a0example.com"])
+@pytest.mark.parametrize("rest", ["", " to the point"])
+def test_loose_at_signs_need_no_other_cue(address, rest):
+    assert pii.masked(f"write to {address}{rest}") == f"write to <EMAIL>{rest}"
+
+
 @pytest.mark.parametrize("text", ["192 dot 168 dot 1 dot 256", "4111 1111 1111 one one one 2", "one 1999", "1999, 2000, 2001, 2002 point 5", "5 " + "1" * 200 + "x one two"])
 def test_numbers_that_fail_their_check_stay(text):
     assert pii.masked(text) == text
