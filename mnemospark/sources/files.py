@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import codecs
 import re
+from collections.abc import Iterator
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,17 +24,73 @@ def local_path(uri: Column) -> Column:
 def whole_texts(spark: SparkSession, root: str) -> DataFrame:
     """(path, relative, content) of every readable text below a folder.
 
-    Names that start with a dot or an underscore are skipped by the reader.
+    Spark's reader skips names that start with a dot or an underscore and all below such folders;
+    these files are listed on the driver and read in tasks.  Hidden names in ``SKIP_FILENAMES``
+    (ignore rules) are no texts.
     """
     rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     path = local_path(F.col("_metadata.file_path"))
     base = root.rstrip("/") + "/"
     found = rows.select(path.alias("path"), F.col("value").alias("content"))
+    hidden = hidden_files(spark, root)
+    if hidden:
+        tasks = min(len(hidden), 4 * spark.sparkContext.defaultParallelism)
+        listed = spark.createDataFrame([(uri,) for uri in hidden], "uri string").repartition(tasks)
+        read = listed.mapInArrow(read_texts, "uri string, content string")
+        found = found.union(read.select(local_path(F.col("uri")), "content"))
     return found.filter(F.is_valid_utf8("content")).select(
         "path", F.substring("path", len(base) + 1, 2**31 - 1).alias("relative"), "content"
     )
 
 
+def skipped_by_spark(name: str) -> bool:
+    """Spark's rule for names that its readers leave out."""
+    if name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def hidden_files(spark: SparkSession, root: str) -> list[str]:
+    """URIs of the files below a folder that Spark's readers leave out."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.makeQualified(hpath).toUri().getPath().rstrip("/") + "/"
+    found, entries = [], fs.listFiles(hpath, True)
+    while entries.hasNext():
+        uri = entries.next().getPath().toUri()
+        parts = uri.getPath()[len(base) :].split("/")
+        control = parts[-1] in fv.SKIP_FILENAMES and skipped_by_spark(parts[-1])
+        if any(map(skipped_by_spark, parts)) and not control:
+            found.append(uri.toString())
+    return found
+
+
+def read_text(uri: str) -> str | None:
+    """The text of one file; None, without reading on, where it is not UTF-8."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        store, path = fs.LocalFileSystem(), unquote(re.sub("^file:/+", "/", uri))
+    else:
+        store, path = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+    decoder, parts = codecs.getincrementaldecoder("utf-8")(), []
+    try:
+        with store.open_input_stream(path) as stream:
+            while block := stream.read(1 << 20):
+                parts.append(decoder.decode(block))
+        return "".join([*parts, decoder.decode(b"", True)])
+    except UnicodeDecodeError:
+        return None
+
+
+def read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for uri in batch.column("uri").to_pylist():
+            text = read_text(uri)
+            if text is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([text])], ["uri", "content"])
+
+
 def name_of(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -41,10 +41,12 @@ def _boundaries(lines: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), opens)
 
 
-def session_parts(files: DataFrame) -> DataFrame:
+def session_parts(
+    files: DataFrame, stamp_lines: int | None = None, people_lines: int | None = None
+) -> DataFrame:
     """Sessions of logs with two or more: path, part number, lines, file name.
 
-    A log is one row, so its sessions are cut inside the row without a shuffle.
+    The name's stamp and people come from so many first lines of a session (None: all).  A log is one row, so its sessions are cut inside the row without a shuffle.
     """
     def cut(lines: Column) -> Column:
         return let(
@@ -65,12 +67,16 @@ def session_parts(files: DataFrame) -> DataFrame:
     kept = parts.filter(
         (F.col("sessions") >= 2) & (F.size("lines") >= fv.MIN_SESSION_LINES)
     )
-    return kept.withColumn("file_name", file_name(F.col("path"), F.col("part"), F.col("lines")))
+    return kept.withColumn("file_name", file_name(F.col("path"), F.col("part"), F.col("lines"), stamp_lines, people_lines))
 
 
-def session_stamp(lines: Column) -> Column:
-    """``YYYY-MM-DD_HHMMAM`` of the first dated line among the first fifty."""
-    head = F.slice(lines, 1, 50)
+def first_lines(lines: Column, first: int | None) -> Column:
+    return lines if first is None else F.slice(lines, 1, first)
+
+
+def session_stamp(lines: Column, first: int | None = None) -> Column:
+    """``YYYY-MM-DD_HHMMAM`` of the first dated line among the ``first`` lines (None: all)."""
+    head = first_lines(lines, first)
     dated = F.get(F.filter(head, lambda s: s.rlike(fv.SESSION_TIMESTAMP_PATTERN)), 0)
 
     def group(n: int) -> Column:
@@ -86,8 +92,10 @@ def session_stamp(lines: Column) -> Column:
     )
 
 
-def session_people(lines: Column, known: list[str] = fv.KNOWN_PEOPLE) -> Column:
-    text = F.array_join(F.slice(lines, 1, 100), "\n")
+def session_people(
+    lines: Column, known: list[str] = fv.KNOWN_PEOPLE, first: int | None = None
+) -> Column:
+    text = F.array_join(first_lines(lines, first), "\n")
     names = F.array(*[F.when(text.rlike(rf"(?iU)\b{n}\b"), F.lit(n)) for n in sorted(known)])
     return F.filter(names, F.isnotnull)
 
@@ -114,12 +122,15 @@ def clean_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, r"[^\p{IsAlphabetic}\p{N}.-]", "_"), "_+", "_")
 
 
-def file_name(path: Column, part: Column, lines: Column) -> Column:
+def file_name(
+    path: Column, part: Column, lines: Column,
+    stamp_lines: int | None = None, people_lines: int | None = None,
+) -> Column:
     stem = F.substring(clean_name(F.regexp_replace(t.base_name(path), r"(?<=.)\.[^.]*$", "")), 1, 40)
     stamp = F.coalesce(
-        session_stamp(lines), F.concat(F.lit("part"), F.lpad(part.cast("string"), 2, "0"))
+        session_stamp(lines, stamp_lines), F.concat(F.lit("part"), F.lpad(part.cast("string"), 2, "0"))
     )
-    people = F.array_join(F.slice(session_people(lines), 1, 3), "-")
+    people = F.array_join(F.slice(session_people(lines, first=people_lines), 1, 3), "-")
     who = F.when(people == "", "unknown").otherwise(people)
     return clean_name(
         F.concat(stem, F.lit("__"), stamp, F.lit("_"), who, F.lit("_"), session_subject(lines), F.lit(".txt"))
