@@ -48,11 +48,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, and readable after any executor is lost."""
+def written(df: DataFrame, *parts: str) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, and readable after any executor is lost.
+
+    parts: columns whose values each get a folder of their own.
+    """
     spark = df.sparkSession
     path = new_path(spark)
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

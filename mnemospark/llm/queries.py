@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from mnemospark.llm import jaccard_join as jj
-from mnemospark.llm import decontamination, lang_id, licence_scan, pii, piece_sampling, spot_signatures, suffix_dedup, token_files
+from mnemospark.llm import decontamination, filter_audit, hard_negatives, lang_id, licence_scan, pii, piece_sampling, spot_signatures, suffix_dedup, token_files
 from mnemospark.llm import toxicity as tox
 from mnemospark.llm.common import new_path, table, tokenizer_file
 
@@ -50,6 +50,14 @@ def op9_subword_toxicity(spark, sf_dir):
     return tox.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 REGISTRY = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_language_id": op2_language_id,
@@ -61,5 +69,10 @@ REGISTRY = {
     "op8_pii": op8_pii,
     "op9_subword_toxicity": op9_subword_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_filter_audit": op13_filter_audit,
+}
+SQL = {
+    "op11_hard_negatives": hard_negatives.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }
-SQL: dict[str, str] = {}
