@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from mnemospark.llm import jaccard_join as jj
-from mnemospark.llm import decontamination, filter_audit, hard_negatives, lang_id, licence_scan, pii, piece_sampling, spot_signatures, suffix_dedup, token_files
+from mnemospark.llm import context_trees, decontamination, filter_audit, hard_negatives, lang_id, licence_scan, pii, piece_sampling
+from mnemospark.llm import spot_signatures, suffix_dedup, token_files
 from mnemospark.llm import toxicity as tox
 from mnemospark.llm.common import new_path, table, tokenizer_file
 
@@ -54,6 +55,10 @@ def op11_hard_negatives(spark, sf_dir):
     return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
 
 
+def op12_context_tree_scores(spark, sf_dir):
+    return context_trees.document_scores(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark, sf_dir):
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -70,6 +75,7 @@ REGISTRY = {
     "op9_subword_toxicity": op9_subword_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_context_tree_scores": op12_context_tree_scores,
     "op13_filter_audit": op13_filter_audit,
 }
 SQL = {
