@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: Bytes of text that a task takes apart at once: word lists take several times as much memory.
 BATCH_BYTES = 4 << 20
+#: Spark's setting by which a finished query removes its shuffle files.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words whose derived values a task keeps; beyond, the store is emptied.
 CACHE_WORDS = 300_000
 
@@ -51,11 +53,17 @@ def tokenizer_file(name: str) -> str:
 def written(df: DataFrame, *parts: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, and readable after any executor is lost.
 
-    parts: columns whose values each get a folder of their own.
+    parts: columns whose values each get a folder of their own.  Shuffle files of the computation go as soon
+    as the table is there: nothing reads them again.
     """
     spark = df.sparkSession
     path = new_path(spark)
-    df.write.partitionBy(*parts).parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.partitionBy(*parts).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -41,7 +41,7 @@ from mnemospark.llm.common import MIX, mix64, written
 #: Bytes of context, and how many of them the subtrees of a bucket share.
 DEPTH, TOP = 5, 3
 MARK = 0xFF
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 64 << 20
 #: Bytes of text that are taken apart at once.
 PIECE = 2 << 20
 STRING, WORD = 0, 1
@@ -111,10 +111,11 @@ def word_key(word: bytes) -> int:
     return int(Piece([(0, b"", word, False)], 0).words[0])
 
 
-def pieces_of(texts: list, depth: int) -> Iterator[Piece]:
+def pieces_of(table: pa.Table, depth: int) -> Iterator[Piece]:
     held, size = [], 0
-    for number, text in enumerate(texts):
-        for context, part, last in segments((text or b"").lower(), depth):
+    for number, text in enumerate(table["text"].cast(pa.binary())):
+        text = text.as_buffer().to_pybytes() if text.is_valid else b""
+        for context, part, last in segments(text.lower(), depth):
             held.append((number, context, part, last))
             size += len(part) + depth + 1
             if size >= PIECE:
@@ -133,7 +134,7 @@ def counts_of(table: pa.Table, depth: int) -> pa.Table:
     """(g, kind, key, n) of one group of texts: its distinct strings and words, and how often training texts have them."""
     trains = table["trains"].to_numpy().astype(np.int64)
     found: dict[int, list] = {STRING: [], WORD: [(np.array([END]), np.array([trains.sum()]))]}
-    for piece in pieces_of(table["text"].cast(pa.large_binary()).to_pylist(), depth):
+    for piece in pieces_of(table, depth):
         found[STRING].append(summed(piece.strings, trains[piece.string_of]))
         found[WORD].append(summed(piece.words, trains[piece.word_of]))
     out = []
@@ -262,7 +263,7 @@ def scores_of(texts: pa.Table, values: pa.Table, depth: int, words: int, distinc
 
     score, base = np.zeros(rows), np.zeros(rows)
     tokens, known, sizes = (np.zeros(rows, np.int64) for _ in range(3))
-    for piece in pieces_of(texts["text"].cast(pa.large_binary()).to_pylist(), depth):
+    for piece in pieces_of(texts, depth):
         score += np.bincount(piece.string_of, look(STRING, piece.strings), rows)
         sizes += np.bincount(piece.string_of, minlength=rows)
         count = look(WORD, piece.words)
