@@ -7,7 +7,7 @@ from row to row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.functions import fixed_values as fv
@@ -84,6 +84,62 @@ def highest_bonus(query: str) -> float:
     return min(total, fv.MAX_CODING_BOOST) + match + fv.RECENCY_WEIGHT
 
 
+# ------------------------------------------------------ a table of questions
+def asked(questions: DataFrame) -> DataFrame:
+    """(qid, query, _low, _rules, _pairs, _prefers, _words, bonus) of questions (qid, query).
+
+    What depends on a question alone, once per question: which rules and pairs its text calls, and the
+    most that boost and preference bonus can come to.
+    """
+    low = F.lower("query")
+    rules = [sql_any("_low", r["query"]) for r in fv.BOOST_RULES]
+    pairs = [sql_any("_low", needles) for needles, _, _ in fv.PAIR_BOOSTS]
+    rows = questions.select("qid", "query", low.alias("_low"), (t.query_intent("query") == "preference").alias("_prefers")).withColumns(
+        {
+            "_rules": F.expr(f"array({', '.join(rules)})"),
+            "_pairs": F.expr(f"array({', '.join(pairs)})"),
+            "_words": F.filter(F.array_distinct(t.tokens("query")), lambda w: F.octet_length(w) > 3),
+        }
+    )
+    amounts = [f"IF(_rules[{i}], {r['amount']}D, 0.0D)" for i, r in enumerate(fv.BOOST_RULES)]
+    amounts += [f"IF(_pairs[{i}], {amount}D, 0.0D)" for i, (_, _, amount) in enumerate(fv.PAIR_BOOSTS)]
+    amounts += [f"IF(_prefers, {fv.STATED_PREFERENCE_BOOST}D, 0.0D)", f"{fv.PHRASE_BOOST}D"]
+    bonus = f"least({' + '.join(amounts)}, {fv.MAX_CODING_BOOST}D) + IF(_prefers, {fv.MAX_PREFERENCE_MATCH}D, 0.0D)"
+    return rows.withColumn("bonus", F.expr(bonus))
+
+
+def asked_boost(text_lc: str, room_lc: str) -> str:
+    """The boost of a row that carries its question's columns."""
+    terms = []
+    for i, r in enumerate(fv.BOOST_RULES):
+        rooms = f"{room_lc} IN ({', '.join(quoted(x) for x in r['rooms'])})"
+        amount = r["amount"]
+        terms.append(
+            f"CASE WHEN NOT _rules[{i}] THEN 0.0D WHEN {sql_any(text_lc, r['text'])} "
+            f"THEN IF({rooms}, {amount}D, {amount * fv.BOOST_TEXT_ONLY}D) "
+            f"WHEN {rooms} THEN {amount * fv.BOOST_ROOM_ONLY}D ELSE 0.0D END"
+        )
+    stated = sql_any(text_lc, fv.STATED_PREFERENCE_NEEDLES)
+    terms.append(f"IF(_prefers AND {stated}, {fv.STATED_PREFERENCE_BOOST}D, 0.0D)")
+    terms += [
+        f"IF(_pairs[{i}] AND {sql_any(text_lc, [in_text])}, {amount}D, 0.0D)"
+        for i, (_, in_text, amount) in enumerate(fv.PAIR_BOOSTS)
+    ]
+    terms.append(f"IF(contains({text_lc}, _low), {fv.PHRASE_BOOST}D, 0.0D)")
+    return f"least({' + '.join(terms)}, {fv.MAX_CODING_BOOST}D)"
+
+
+def asked_preference(text: str, room_lc: str) -> str:
+    """The preference bonus of a row that carries its question's columns."""
+    rooms = ", ".join(quoted(x) for x in fv.PREFERENCE_ROOMS)
+    span = f"transform(array(lower({t.sql_preference_span(text)})), s -> exists(_words, w -> contains(s, w)))[0]"
+    score = (
+        f"{fv.PREFERENCE_BASE}D + IF({room_lc} IN ({rooms}), {fv.PREFERENCE_ROOM_BONUS}D, 0.0D) "
+        f"+ IF({span}, {fv.PREFERENCE_SPAN_BONUS}D, 0.0D)"
+    )
+    return f"IF(_prefers AND {t.sql_is_preference(text)}, least({score}, {fv.MAX_PREFERENCE_MATCH}D), 0.0D)"
+
+
 def interaction_score(query: str, text: str) -> Column:
     """Share of query words in the text, plus phrase and preference bonuses."""
     low = query.lower()

@@ -116,14 +116,13 @@ def bm25_search(
 
 
 # -------------------------------------------------------------- stored index
-def postings(drawers: DataFrame) -> DataFrame:
-    """(drawer_id, wing, room, term, tf, doc_len), built without a shuffle.
+def term_runs(rows: DataFrame) -> DataFrame:
+    """The rows without ``content``, with doc_len and runs: each of its terms and how often it occurs.
 
     A drawer is one row, so its term counts are run lengths in its own sorted
     token array; grouping exploded tokens would shuffle every one of them.
     """
-    keyed = drawers.select(F.col("id").alias("drawer_id"), "wing", "room", "content")
-    ordered = computed(keyed, {"s": F.array_sort(t.tokens("content"))}).drop("content")
+    ordered = computed(rows, {"s": F.array_sort(t.tokens("content"))}).drop("content")
     starts = computed(
         ordered,
         {
@@ -135,22 +134,21 @@ def postings(drawers: DataFrame) -> DataFrame:
             )
         },
     )
-    runs = starts.withColumn(
-        "r",
-        F.explode(
-            F.transform(
-                "p",
-                lambda at, j: F.struct(
-                    F.get("s", at).alias("term"),
-                    (F.coalesce(F.get("p", j + 1), F.size("s")) - at).alias("tf"),
-                ),
-            )
+    runs = F.transform(
+        "p",
+        lambda at, j: F.struct(
+            F.get("s", at).alias("term"),
+            (F.coalesce(F.get("p", j + 1), F.size("s")) - at).cast("long").alias("tf"),
         ),
     )
-    return runs.select(
-        "drawer_id", "wing", "room", "r.term", F.col("r.tf").cast("long").alias("tf"),
-        F.size("s").cast("long").alias("doc_len"),
-    )
+    return starts.select(*ordered.drop("s").columns, F.size("s").cast("long").alias("doc_len"), runs.alias("runs"))
+
+
+def postings(drawers: DataFrame) -> DataFrame:
+    """(drawer_id, wing, room, term, tf, doc_len), built without a shuffle."""
+    keyed = drawers.select(F.col("id").alias("drawer_id"), "wing", "room", "content")
+    rows = term_runs(keyed).select("*", F.explode("runs").alias("r"))
+    return rows.select("drawer_id", "wing", "room", "r.term", "r.tf", "doc_len")
 
 
 def doc_stats(drawers: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from mnemospark.functions import fixed_values as fv
 from mnemospark.functions import queries as q
 from mnemospark.functions import scoring
 from mnemospark.functions.columns import computed, round_to
-from mnemospark.operators import bm25, vectors
+from mnemospark.operators import block_index, bm25, vectors
 
 RESULT_COLUMNS = [
     "id", "wing", "room", "content", "source_file", "chunk_index", "filed_at", "cosine", "bm25",
@@ -53,13 +53,13 @@ def hybrid_search(
     as_of: Column,
     wing: str | None = None,
     room: str | None = None,
-    index: tuple[DataFrame, DataFrame] | None = None,
+    index: tuple[DataFrame, DataFrame] | block_index.BlockIndex | None = None,
 ) -> DataFrame:
     """The n best drawers of the filter.
 
     Vector candidates number at most max(4n, 20), so the planner can broadcast them and the
     BM25 side is never shuffled for the union of both candidate sets.  With an
-    ``index`` (postings, doc_stats) text is read only for candidates that can
+    ``index`` (postings and doc_stats, or blocks) text is read only for candidates that can
     still reach the first n.
     """
     query = q.sanitize(query) or query
@@ -74,7 +74,8 @@ def hybrid_search(
         if near is not None:
             # A few rows that three branches below use: one vector scan, not three.
             near = drawers.sparkSession.createDataFrame(near.collect(), near.schema)
-        cands = _indexed_candidates(index, near, query, n, wing, room)
+        find = _block_candidates if isinstance(index, block_index.BlockIndex) else _indexed_candidates
+        cands = find(index, near, query, n, wing, room)
         cands = bm25.narrow(drawers.select(*keep), wing, room).join(cands, "id")
     else:
         rows = bm25.score_text(drawers.select(*keep), query, wing, room)
@@ -136,6 +137,47 @@ def _indexed_candidates(
     return based.filter(F.col("_base") + F.lit(slack) >= floor).drop("_base")
 
 
+def _block_candidates(
+    index: block_index.BlockIndex,
+    near: DataFrame | None,
+    query: str,
+    n: int,
+    wing: str | None,
+    room: str | None,
+) -> DataFrame:
+    """(id, cosine, bm25, _max) as above, from blocks.
+
+    The n best by BM25 and the few near rows fix the maximum and a base that the n best reach; from
+    these follows the BM25 score that a drawer which is not near must have, and so which slots are read.
+    """
+    spark = index.docs.sparkSession
+    asked = block_index.Search(index, query)
+    sims = {r["id"]: max(0.0, r["_sim"]) for r in near.collect()} if near is not None else {}
+    best = {r["id"]: r["bm25"] for r in asked.top(n, wing, room).collect()}
+    highest = max(best.values(), default=0.0)
+
+    def base(key: str) -> float:
+        share = best.get(key, 0.0) / highest if highest > 0 else 0.0
+        return sims.get(key, 0.0) * fv.COSINE_WEIGHT + share * fv.BM25_WEIGHT
+
+    bases = sorted((base(key) for key in sims.keys() | best.keys()), reverse=True)
+    spare = (bases[n - 1] if len(bases) >= n else 0.0) - scoring.highest_bonus(query) - 1e-9
+    least = max(0.0, spare) / fv.BM25_WEIGHT * highest
+    known = spark.createDataFrame([(key, value) for key, value in sims.items()], "id string, cosine double")
+    here = index.docs.where(F.col("id").isin(list(sims))).select("doc", "slot").collect() if sims else []
+    if not asked.idf:
+        scored = spark.createDataFrame([], "id string, bm25 double")
+    else:
+        scores = asked.scores(least, sorted({r["slot"] for r in here}))
+        if least > 0:
+            scores = scores.where((F.col("bm25") >= least) | F.col("doc").isin([r["doc"] for r in here]))
+        scored = asked.named(scores, wing, room).select("id", "bm25")
+    return scored.join(known, "id", "full").select(
+        "id", F.coalesce("cosine", F.lit(0.0)).alias("cosine"), F.coalesce("bm25", F.lit(0.0)).alias("bm25"),
+        F.lit(highest).alias("_max"),
+    )
+
+
 def merge_preferences(
     results: DataFrame,
     drawers: DataFrame,

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemospark.operators.block_index import BlockIndex
 from mnemospark.operators.ordered import neighbour
+from mnemospark.session import new_path
 
 EPOCH_2024 = 1_704_067_200
 AS_OF_DRAWERS = 1_735_689_600  # 2025-01-01
@@ -44,6 +46,14 @@ NOTE_ROOM = """
 CASE o_orderkey % 10 WHEN 0 THEN 'preferences' WHEN 1 THEN 'decisions' WHEN 2 THEN 'problems'
  WHEN 3 THEN 'commands' WHEN 4 THEN 'general' WHEN 5 THEN 'support' WHEN 6 THEN 'current'
  WHEN 7 THEN 'conventions' WHEN 8 THEN 'questions' ELSE 'memory' END"""
+# Questions of customers; plain SQL that Spark and the oracle share.
+CUSTOMER_QUESTION = """
+CASE c_custkey % 5
+ WHEN 0 THEN concat('what do i prefer for order ', cast(c_custkey AS string), ' handling?')
+ WHEN 1 THEN concat('why did we decide to ship order ', cast(c_custkey AS string), ' by rail')
+ WHEN 2 THEN concat('run cargo test before order ', cast(c_custkey AS string))
+ WHEN 3 THEN concat('what failed, the root cause of bug ', cast(c_custkey AS string))
+ ELSE concat('database design of order ', cast(c_custkey AS string), ', as of the last session') END"""
 # Questions an agent might ask about an order.
 QUESTION_TEXT = """
 CASE o_orderkey % 8
@@ -125,10 +135,9 @@ def drawer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def notes(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
     """One remark per order, two thirds of them with a vector."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     rows = orders.select(
         "o_orderkey",
         F.concat(F.lit("note_"), F.col("o_orderkey").cast("string")).alias("id"),
@@ -141,11 +150,27 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_orderkey") % 4).alias("chunk_index"),
         F.col("o_orderdate").cast("timestamp").alias("filed_at"),
         (F.lit(1.0) + F.col("o_orderkey") % 5).alias("importance"),
-    ).withColumn(
-        "vec_id",
-        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") * 7 % vecs.count()),
     )
-    return rows.join(vecs, "vec_id", "left").drop("vec_id")
+    if not vectors:
+        return rows
+    vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    size = vecs.agg(F.count(F.lit(1))).scalar()
+    # Rows without a vector take no part in the join: a null key would bring them all to one task.
+    with_vec = (F.col("o_orderkey") % 3 != 0) & (size > 0)
+    joined = rows.where(with_vec).withColumn("vec_id", F.col("o_orderkey") * 7 % size).join(vecs, "vec_id", "left").drop("vec_id")
+    return joined.unionByName(rows.where(~with_vec).withColumn("embedding", F.lit(None).cast("array<float>")))
+
+
+_INDEXES: dict[tuple[str, str, str], BlockIndex] = {}
+
+
+def block_index(spark: SparkSession, sf_dir: str, of: str) -> BlockIndex:
+    """The stored index of all drawers or notes: written at the first use in a session, read afterwards."""
+    key = (spark.sparkContext.applicationId, sf_dir, of)
+    if key not in _INDEXES:
+        rows = drawer_text(spark, sf_dir) if of == "drawers" else notes(spark, sf_dir, vectors=False)
+        _INDEXES[key] = BlockIndex.write(rows, new_path(spark, "index"))
+    return _INDEXES[key]
 
 
 def note_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,10 +256,14 @@ SQL["bm25_postings"] = f"""WITH t AS (SELECT 'drawer_' || doc_id AS drawer_id, {
  SELECT drawer_id, term, count(*) AS tf, any_value(doc_len) AS doc_len FROM x GROUP BY 1, 2"""
 SQL["bm25_topk"] = f"""WITH {DRAWERS}, {bm25_ctes('drawers', DOC_QUERY)}
  SELECT id, round(bm25, 6) AS bm25 FROM bm JOIN drawers USING (id) ORDER BY bm.bm25 DESC, filed DESC, id LIMIT 10"""
-SQL["bm25_indexed"] = SQL["bm25_topk"]
+SQL["bm25_indexed"] = SQL["bm25_topk"].replace("ORDER BY bm.bm25 DESC", "ORDER BY round(bm.bm25, 9) DESC")
 SQL["bm25_filtered"] = f"""WITH {DRAWERS}, {bm25_ctes('drawers', DOC_QUERY, "s.wing = 'wing_3' AND s.room = 'en'")}
  SELECT id, round(bm25, 6) AS bm25 FROM bm JOIN drawers USING (id) ORDER BY bm.bm25 DESC, filed DESC, id LIMIT 10"""
 
+SQL["bm25_indexed_filtered"] = SQL["bm25_filtered"]
+SQL["index_terms"] = f"""WITH t AS (SELECT doc_id, unnest(list_distinct({TOKENS.format('text')})) AS term FROM documents)
+ SELECT term, count(*) AS df FROM t GROUP BY term HAVING count(*) > 1"""
+
 
 # ------------------------------------------------------- vectors and hybrid
 def nearest(ctes: str, source: str, vec_id: int, k: int, where: str = "TRUE") -> str:
@@ -334,6 +338,43 @@ def recall_sql() -> str:
 
 SQL["recall_check"] = recall_sql()
 
+
+def batch_ctes(source: str, asked: str) -> str:
+    """bm(qid, id, bm25) of all questions and drawers that share a term."""
+    return f"""asked AS ({asked}),
+ tok AS (SELECT id, {TOKENS.format('content')} AS t FROM {source}),
+ corpus AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS al FROM tok),
+ qt AS (SELECT DISTINCT qid, unnest({TOKENS.format('query')}) AS term FROM asked),
+ hit AS (SELECT id, len(t)::DOUBLE AS dl, unnest(t) AS term FROM tok),
+ tf AS (SELECT id, term, any_value(dl) AS dl, count(*)::DOUBLE AS tf FROM hit WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2),
+ df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY 1),
+ bm AS (SELECT qid, tf.id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / al))), 9) AS bm25
+  FROM tf JOIN df USING (term) JOIN qt USING (term) CROSS JOIN corpus GROUP BY 1, 2)"""
+
+
+def batch_found(source: str, as_of: int, n: int) -> str:
+    return f"""sc AS (SELECT bm.qid, s.id, s.filed, s.content, bm25, query, {boost('query', 's.content', 's.room')} AS coding_boost,
+   {pref_match('query', 's.content', 's.room')} AS preference_match,
+   0.35e0 * bm25 / max(bm25) OVER (PARTITION BY bm.qid) + {recency('s.filed', as_of)} AS base
+  FROM bm JOIN asked USING (qid) JOIN {source} s ON s.id = bm.id),
+ rk AS (SELECT *, base + coding_boost + preference_match AS combined,
+   row_number() OVER (PARTITION BY qid ORDER BY base + coding_boost + preference_match DESC, filed DESC, id) AS rank
+  FROM sc QUALIFY rank <= {n})"""
+
+
+BENCHMARK = "SELECT item_id AS qid, text AS query FROM benchmark"
+SQL["bm25_batch"] = f"""WITH {DRAWERS}, {batch_ctes('drawers', BENCHMARK)}
+ SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, filed DESC, id) AS rank, id, round(bm25, 6) AS bm25
+ FROM bm JOIN drawers USING (id) QUALIFY rank <= 5"""
+SQL["recall_batch"] = f"""WITH {DRAWERS}, {batch_ctes('drawers', BENCHMARK)}, {batch_found('drawers', fx.AS_OF_DRAWERS, 5)}
+ SELECT qid, min(rank) FILTER (contains(content, rk.query)) IS NOT NULL AS passed, min(rank) FILTER (contains(content, rk.query)) AS rank,
+  min_by(id, rank) AS top_id, round(min_by(combined, rank) * 1000) / 1000 AS top_similarity
+ FROM asked LEFT JOIN rk USING (qid) GROUP BY qid"""
+SQL["question_batch"] = f"""WITH {NOTES}, {batch_ctes('notes', 'SELECT c_custkey AS qid, ' + fx.CUSTOMER_QUESTION + ' AS query FROM customer')},
+ {batch_found('notes', fx.AS_OF_NOTES, 3)}
+ SELECT qid, rank, id, round(bm25, 6) AS bm25, round(coding_boost, 6) AS coding_boost, round(preference_match, 6) AS preference_match,
+  round(combined, 6) AS combined FROM rk"""
+
 # --------------------------------------------------------------- classifiers
 SQL["intent_classify"] = f"WITH q AS (SELECT o_orderkey, {QUESTION} AS query FROM orders) SELECT o_orderkey, {intent('query')} AS intent FROM q"
 

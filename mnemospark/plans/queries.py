@@ -13,6 +13,8 @@ from mnemospark.functions import queries as q
 from mnemospark.functions import text as t
 from mnemospark.functions.columns import round_to
 from mnemospark.operators import (
+    batch_search,
+    block_index,
     bm25,
     catalog,
     chunking,
@@ -280,13 +282,20 @@ def bm25_filtered(spark, sf):
 
 @query
 def bm25_indexed(spark, sf):
-    """The same ranking from postings."""
-    text = fx.drawer_text(spark, sf)
-    scored = bm25.score_postings(bm25.postings(text), bm25.doc_stats(text), DOC_QUERY)
-    dated = text.select("id", "filed_at").join(
-        scored.withColumnRenamed("drawer_id", "id"), "id"
-    )
-    return dated.orderBy(F.desc("bm25"), F.desc("filed_at"), "id").limit(10).select("id", "bm25")
+    """The same ranking from the stored index; slots that cannot reach the tenth score stay unread."""
+    return block_index.search(fx.block_index(spark, sf, "drawers"), DOC_QUERY, 10).select("id", "bm25")
+
+
+@query
+def bm25_indexed_filtered(spark, sf):
+    found = block_index.search(fx.block_index(spark, sf, "drawers"), DOC_QUERY, 10, "wing_3", "en")
+    return found.select("id", "bm25")
+
+
+@query
+def index_terms(spark, sf):
+    """Document frequencies as the stored index has them."""
+    return fx.block_index(spark, sf, "drawers").terms.where("df > 1").select("term", "df")
 
 
 # ------------------------------------------------------------------- vectors
@@ -355,7 +364,7 @@ def hybrid_filtered(spark, sf):
 def hybrid_indexed(spark, sf):
     vec = fx.query_vector(spark, sf, 5)
     rows = _enriched(fx.notes(spark, sf))
-    index = (bm25.postings(rows), bm25.doc_stats(rows))
+    index = fx.block_index(spark, sf, "notes")
     found = hybrid.hybrid_search(rows, NOTE_QUERY, vec, 10, fx.instant(fx.AS_OF_NOTES), index=index)
     return found.select(*_SCORES)
 
@@ -388,6 +397,36 @@ def recall_check(spark, sf):
     return hybrid.recall_check(fx.notes(spark, sf), PROBES, 5, fx.instant(fx.AS_OF_NOTES))
 
 
+def _benchmark(spark, sf):
+    return fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+@query
+def bm25_batch(spark, sf):
+    """The five best drawers of every benchmark text."""
+    found = batch_search.best_by_terms(fx.block_index(spark, sf, "drawers"), _benchmark(spark, sf), 5)
+    return found.select("qid", "rank", "id", "bm25")
+
+
+@query
+def recall_batch(spark, sf):
+    """For every benchmark text: whether one of its five best drawers holds it, and at which rank."""
+    asked = _benchmark(spark, sf)
+    found = batch_search.search_all(
+        fx.block_index(spark, sf, "drawers"), fx.drawer_text(spark, sf), asked, 5, fx.instant(fx.AS_OF_DRAWERS)
+    )
+    return batch_search.recall(found, asked, F.contains("content", "query"))
+
+
+@query
+def question_batch(spark, sf):
+    """The three best notes for what every customer asks, boosts and preferences included."""
+    asked = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("qid"), F.expr(fx.CUSTOMER_QUESTION).alias("query"))
+    notes = fx.notes(spark, sf, vectors=False)
+    found = batch_search.search_all(fx.block_index(spark, sf, "notes"), notes, asked, 3, fx.instant(fx.AS_OF_NOTES))
+    return found.select("qid", "rank", "id", "bm25", "coding_boost", "preference_match", "combined")
+
+
 # --------------------------------------------------------------- classifiers
 @query
 def intent_classify(spark, sf):

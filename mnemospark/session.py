@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -37,9 +38,28 @@ def local_session(cores: int = 8, name: str = "mnemospark", memory: str = "8g")
     return spark
 
 
-def set_checkpoints(spark: SparkSession) -> None:
-    """Makes ``checkpoint()`` write to the folder the cluster names, or to a local one where none is named."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables that the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session may go without one: its executors see the driver's temporary folder.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    named = named or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def new_path(spark: SparkSession, kind: str = "table") -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def set_checkpoints(spark: SparkSession) -> None:
+    """Makes ``checkpoint()`` write to the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
