@@ -31,7 +31,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +40,9 @@ from mnemospark.llm.common import MIX, mix64, written
 #: Bytes of context, and how many of them the subtrees of a bucket share.
 DEPTH, TOP = 5, 3
 MARK = 0xFF
-GROUP_BYTES = 64 << 20
+GROUP_BYTES = 32 << 20
 #: Bytes of text that are taken apart at once.
-PIECE = 2 << 20
+PIECE = 1 << 20
 STRING, WORD = 0, 1
 #: The key of a text's end among the words.
 END = 0
@@ -75,8 +74,8 @@ class Piece:
         held = b"".join(context + part + mark * last for _, context, part, last in parts)
         data = np.frombuffer(held, np.uint8)
         sizes = np.array([len(part) + last for _, _, part, last in parts], np.int64)
-        self.owner = np.array([text for text, *_ in parts], np.int64)
-        own = np.repeat(np.arange(len(parts)), sizes + depth)
+        self.owner = np.array([text for text, *_ in parts], np.int32)
+        own = np.repeat(np.arange(len(parts), dtype=np.int32), sizes + depth)
         starts = np.cumsum(sizes + depth) - sizes
         counted = np.ones(len(data), bool)
         counted[(starts[:, None] - np.arange(1, depth + 1)[None, :]).ravel()] = False
@@ -102,7 +101,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2^64; kept by the task."""
     if not _POWERS or len(_POWERS[0]) < n:
         odd = MIX[0] | 1
-        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, PIECE * 2), x, np.uint64)]), dtype=np.uint64)
+        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n + PIECE // 4, x, np.uint64)]), dtype=np.uint64)
                       for x in (odd, pow(odd, -1, 1 << 64))]
     return _POWERS[0], _POWERS[1]
 
@@ -125,21 +124,35 @@ def pieces_of(table: pa.Table, depth: int) -> Iterator[Piece]:
         yield Piece(held, depth)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct keys, the place of each key among them)."""
+    coded = pa.array(keys).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    codes, distinct = pd.factorize(keys)
-    return distinct, np.bincount(codes, n, len(distinct)).astype(np.int64)
+    some, at = distinct(keys)
+    return some, np.bincount(at, n, len(some)).astype(np.int64)
+
+
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return summed(*(np.concatenate(x) for x in zip(*parts)))
 
 
 def counts_of(table: pa.Table, depth: int) -> pa.Table:
     """(g, kind, key, n) of one group of texts: its distinct strings and words, and how often training texts have them."""
     trains = table["trains"].to_numpy().astype(np.int64)
-    found: dict[int, list] = {STRING: [], WORD: [(np.array([END]), np.array([trains.sum()]))]}
+    none = np.empty(0, np.int64)
+    found = {STRING: [(none, none)], WORD: [(np.array([END]), np.array([trains.sum()]))]}
     for piece in pieces_of(table, depth):
         found[STRING].append(summed(piece.strings, trains[piece.string_of]))
         found[WORD].append(summed(piece.words, trains[piece.word_of]))
+        for kind, parts in found.items():
+            if len(parts) > 4:
+                found[kind] = [added(parts)]
     out = []
     for kind, parts in found.items():
-        keys, n = summed(*(np.concatenate(x) for x in zip(*parts))) if parts else (np.empty(0, np.int64),) * 2
+        keys, n = added(parts)
         out.append((np.full(len(keys), kind, np.int32), keys, n))
     kind, key, n = (np.concatenate(x) for x in zip(*out))
     return pa.table([np.full(len(key), table["g"][0].as_py(), np.int32), kind, key, n], ["g", "kind", "key", "n"])
@@ -247,7 +260,7 @@ def string_values(strings: pa.Table, upper: pa.Table, depth: int, top: int) -> p
     return pa.table([np.full(len(value), STRING, np.int32), trees.keys, value], ["kind", "key", "value"])
 
 
-def scores_of(texts: pa.Table, values: pa.Table, depth: int, words: int, distinct: int) -> pa.Table:
+def scores_of(texts: pa.Table, values: pa.Table, depth: int, words: int, vocabulary: int) -> pa.Table:
     """The scores of one group's texts from the values of its strings and words."""
     rows = texts.num_rows
     kind, key, value = (values[c].to_numpy() for c in ("kind", "key", "value"))
@@ -258,8 +271,8 @@ def scores_of(texts: pa.Table, values: pa.Table, depth: int, words: int, distinc
         looked[k] = keys[order], found[order]
 
     def look(k: int, asked: np.ndarray) -> np.ndarray:
-        codes, some = pd.factorize(asked)
-        return looked[k][1][np.searchsorted(looked[k][0], some)][codes] if len(some) else np.empty(0)
+        some, at = distinct(asked)
+        return looked[k][1][np.searchsorted(looked[k][0], some)][at] if len(some) else np.empty(0)
 
     score, base = np.zeros(rows), np.zeros(rows)
     tokens, known, sizes = (np.zeros(rows, np.int64) for _ in range(3))
@@ -267,12 +280,12 @@ def scores_of(texts: pa.Table, values: pa.Table, depth: int, words: int, distinc
         score += np.bincount(piece.string_of, look(STRING, piece.strings), rows)
         sizes += np.bincount(piece.string_of, minlength=rows)
         count = look(WORD, piece.words)
-        base += np.bincount(piece.word_of, np.log10((count + 1) / (words + distinct + 1)), rows)
+        base += np.bincount(piece.word_of, np.log10((count + 1) / (words + vocabulary + 1)), rows)
         tokens += np.bincount(piece.word_of, minlength=rows)
         known += np.bincount(piece.word_of, count > 0, rows).astype(np.int64)
     if rows:
         end = look(WORD, np.array([END]))[0]
-        base += np.log10((end + 1) / (words + distinct + 1))
+        base += np.log10((end + 1) / (words + vocabulary + 1))
         tokens, known = tokens + 1, known + int(end > 0)
     return pa.table(
         [texts["doc_id"], texts["held_out"], tokens, known, np.full(rows, words, np.int64), base, score, sizes, -score / math.log10(2) / np.maximum(sizes, 1)],
@@ -295,7 +308,7 @@ def scores(df: DataFrame, held_out=None, depth: int = DEPTH, group_bytes: int =
 
     found = written(texts.groupBy("g").applyInArrow(lambda t: counts_of(t, depth), "g int, kind int, key long, n long"))
     totals = written(found.groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    words, distinct = totals.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
+    words, vocabulary = totals.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
 
     def bucket(context):
         return F.pmod(F.xxhash64(context), F.lit(groups)).cast("int").alias("bucket")
@@ -311,9 +324,9 @@ def scores(df: DataFrame, held_out=None, depth: int = DEPTH, group_bytes: int =
     valued = strings.groupBy("bucket").cogroup(upper.groupBy("bucket")).applyInArrow(
         lambda s, u: string_values(s, u, depth, top), "kind int, key long, value double")
     valued = valued.union(totals.where(F.col("kind") == WORD).select("kind", "key", F.col("n").cast("double").alias("value")))
-    asked = found.select("g", "kind", "key").join(valued, ["kind", "key"]).select("g", "kind", "key", "value")
+    asked = written(found.select("g", "kind", "key").join(valued, ["kind", "key"]).select("g", "kind", "key", "value"))
     return texts.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(
-        lambda t, v: scores_of(t, v, depth, words, distinct),
+        lambda t, v: scores_of(t, v, depth, words, vocabulary),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_coded long, bits_per_byte double",
     )
 
