@@ -40,9 +40,9 @@ from mnemospark.llm.common import MIX, mix64, written
 #: Bytes of context, and how many of them the subtrees of a bucket share.
 DEPTH, TOP = 5, 3
 MARK = 0xFF
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 20 << 20
 #: Bytes of text that are taken apart at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 STRING, WORD = 0, 1
 #: The key of a text's end among the words.
 END = 0
