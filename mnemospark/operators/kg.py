@@ -188,16 +188,25 @@ def new_triples(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
-def invalidate(
-    triples: DataFrame, subject: str, predicate: str, object_: str, ended: str
-) -> DataFrame:
-    """All triples, with the active copies of one fact ended."""
-    hit = (
+def _active(subject: str, predicate: str, object_: str) -> Column:
+    return (
         (F.col("subject") == _id(subject))
         & (F.col("predicate") == predicate.lower().replace(" ", "_"))
         & (F.col("object") == _id(object_))
         & F.col("valid_to").isNull()
     )
+
+
+def ended_rows(triples: DataFrame, subject: str, predicate: str, object_: str, ended: str) -> DataFrame:
+    """The active copies of one fact, ended: the only rows that ending it changes."""
+    return triples.filter(_active(subject, predicate, object_)).withColumn("valid_to", F.lit(ended))
+
+
+def invalidate(
+    triples: DataFrame, subject: str, predicate: str, object_: str, ended: str
+) -> DataFrame:
+    """All triples, with the active copies of one fact ended."""
+    hit = _active(subject, predicate, object_)
     return triples.withColumn("valid_to", F.when(hit, F.lit(ended)).otherwise(F.col("valid_to")))
 
 

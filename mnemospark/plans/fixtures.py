@@ -46,14 +46,14 @@ NOTE_ROOM = """
 CASE o_orderkey % 10 WHEN 0 THEN 'preferences' WHEN 1 THEN 'decisions' WHEN 2 THEN 'problems'
  WHEN 3 THEN 'commands' WHEN 4 THEN 'general' WHEN 5 THEN 'support' WHEN 6 THEN 'current'
  WHEN 7 THEN 'conventions' WHEN 8 THEN 'questions' ELSE 'memory' END"""
-# Questions of customers; plain SQL that Spark and the oracle share.
-CUSTOMER_QUESTION = """
-CASE c_custkey % 5
- WHEN 0 THEN concat('what do i prefer for order ', cast(c_custkey AS string), ' handling?')
- WHEN 1 THEN concat('why did we decide to ship order ', cast(c_custkey AS string), ' by rail')
- WHEN 2 THEN concat('run cargo test before order ', cast(c_custkey AS string))
- WHEN 3 THEN concat('what failed, the root cause of bug ', cast(c_custkey AS string))
- ELSE concat('database design of order ', cast(c_custkey AS string), ', as of the last session') END"""
+# Questions of suppliers; plain SQL that Spark and the oracle share.
+SUPPLIER_QUESTION = """
+CASE s_suppkey % 5
+ WHEN 0 THEN concat('what do i prefer for order ', cast(s_suppkey AS string), ' handling?')
+ WHEN 1 THEN concat('why did we decide to ship order ', cast(s_suppkey AS string), ' by rail')
+ WHEN 2 THEN concat('run cargo test before order ', cast(s_suppkey AS string))
+ WHEN 3 THEN concat('what failed, the root cause of bug ', cast(s_suppkey AS string))
+ ELSE concat('database design of order ', cast(s_suppkey AS string), ', as of the last session') END"""
 # Questions an agent might ask about an order.
 QUESTION_TEXT = """
 CASE o_orderkey % 8

@@ -229,10 +229,10 @@ class Memory:
         return kg.query_entity(self.store.read("triples"), self.store.read("entities"), name, as_of, direction)
 
     def kg_invalidate(self, subject: str, predicate: str, object_: str, ended: str | None = None) -> None:
-        rows = kg.invalidate(
+        rows = kg.ended_rows(
             self.store.read("triples"), subject, predicate, object_, ended or self.today()
         )
-        self.store.replace("triples", rows)
+        self.store.update("triples", rows)
 
     def seed_facts(self, facts: list[tuple[str, str, str]]) -> dict:
         """Adds missing facts from today on and counts what was there already."""

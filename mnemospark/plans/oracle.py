@@ -370,7 +370,7 @@ SQL["recall_batch"] = f"""WITH {DRAWERS}, {batch_ctes('drawers', BENCHMARK)}, {b
  SELECT qid, min(rank) FILTER (contains(content, rk.query)) IS NOT NULL AS passed, min(rank) FILTER (contains(content, rk.query)) AS rank,
   min_by(id, rank) AS top_id, round(min_by(combined, rank) * 1000) / 1000 AS top_similarity
  FROM asked LEFT JOIN rk USING (qid) GROUP BY qid"""
-SQL["question_batch"] = f"""WITH {NOTES}, {batch_ctes('notes', 'SELECT c_custkey AS qid, ' + fx.CUSTOMER_QUESTION + ' AS query FROM customer')},
+SQL["question_batch"] = f"""WITH {NOTES}, {batch_ctes('notes', 'SELECT s_suppkey AS qid, ' + fx.SUPPLIER_QUESTION + ' AS query FROM supplier')},
  {batch_found('notes', fx.AS_OF_NOTES, 3)}
  SELECT qid, rank, id, round(bm25, 6) AS bm25, round(coding_boost, 6) AS coding_boost, round(preference_match, 6) AS preference_match,
   round(combined, 6) AS combined FROM rk"""
@@ -809,3 +809,7 @@ SQL["import_rows"] = f"""WITH {DRAWERS} SELECT id, wing, room, content, source_f
 SQL["metadata_merge"] = f"""WITH {NOTES}, s AS (SELECT o_orderkey, {pref_span('content')} AS span FROM notes)
  SELECT o_orderkey, '[draft] ' || o_orderkey AS topic, CASE WHEN span IS NOT NULL THEN 'true' END AS preference, span,
   '"007"' AS code, '{{"a":[1,"2"],"b":null}}' AS nested FROM s"""
+_STORED = """SELECT 'drawer_' || d.doc_id AS id, 'wing_' || ((d.doc_id // 5) % 20) AS wing, {room} AS room, length(d.text) AS chars
+ FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)"""
+SQL["delete_rows"] = _STORED.format(room="CASE WHEN toxic = 1 THEN 'again' ELSE d.lang END") + " WHERE toxic IS DISTINCT FROM 1 OR doc_id % 5 = 0"
+SQL["update_rows"] = _STORED.format(room="CASE WHEN quality = 1 THEN 'good' ELSE d.lang END || CASE WHEN toxic = 1 THEN '/toxic' ELSE '' END")

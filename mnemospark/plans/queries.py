@@ -28,6 +28,7 @@ from mnemospark.operators import (
     vectors,
 )
 from mnemospark.plans import fixtures as fx
+from mnemospark.session import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -420,8 +421,8 @@ def recall_batch(spark, sf):
 
 @query
 def question_batch(spark, sf):
-    """The three best notes for what every customer asks, boosts and preferences included."""
-    asked = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("qid"), F.expr(fx.CUSTOMER_QUESTION).alias("query"))
+    """The three best notes for what every supplier asks, boosts and preferences included."""
+    asked = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("qid"), F.expr(fx.SUPPLIER_QUESTION).alias("query"))
     notes = fx.notes(spark, sf, vectors=False)
     found = batch_search.search_all(fx.block_index(spark, sf, "notes"), notes, asked, 3, fx.instant(fx.AS_OF_NOTES))
     return found.select("qid", "rank", "id", "bm25", "coding_boost", "preference_match", "combined")
@@ -917,6 +918,42 @@ def dedupe_append(spark, sf):
     return fresh.select("id", "content")
 
 
+def _drawer_store(spark, sf):
+    """A new store that holds the drawers of all documents, in two appends."""
+    from mnemospark.plans.store import Store
+
+    store = Store(spark, new_path(spark, "store"))
+    rows = fx.drawer_text(spark, sf)
+    for half in (0, 1):
+        store.append("drawers", rows.where(F.pmod(F.xxhash64("id"), F.lit(2)) == half))
+    return store
+
+
+@query
+def delete_rows(spark, sf):
+    """Drawers left when those of toxic documents go, and when some of these are filed anew."""
+    store = _drawer_store(spark, sf)
+    toxic = fx.table(spark, sf, "labels").where("toxic = 1").select(F.concat(F.lit("drawer_"), F.col("doc_id").cast("string")).alias("id"))
+    before = store.read("drawers").join(toxic, "id", "left_semi")
+    store.delete("drawers", toxic)
+    back = before.where("chunk_index = 0").withColumn("room", F.lit("again"))
+    store.append("drawers", back)
+    return store.read("drawers").select("id", "wing", "room", F.length("content").alias("chars"))
+
+
+@query
+def update_rows(spark, sf):
+    """Drawers after those of labelled documents moved to other rooms, twice, and the table was compacted between."""
+    store = _drawer_store(spark, sf)
+    labels = fx.table(spark, sf, "labels").select(F.concat(F.lit("drawer_"), F.col("doc_id").cast("string")).alias("id"), "quality", "toxic")
+    good = store.read("drawers").join(labels.where("quality = 1"), "id").withColumn("room", F.lit("good"))
+    store.update("drawers", good)
+    store.compact(("drawers",))
+    toxic = store.read("drawers").join(labels.where("toxic = 1"), "id").withColumn("room", F.concat("room", F.lit("/toxic")))
+    store.update("drawers", toxic)
+    return store.read("drawers").select("id", "wing", "room", F.length("content").alias("chars"))
+
+
 @query
 def export_rows(spark, sf):
     from mnemospark.sources import exchange

@@ -1,7 +1,7 @@
 """Stored tables and the write paths.
 
-Tables are Parquet folders.  Rows are only appended, or a table gets a whole new
-snapshot folder; a job that dies half-way leaves the old snapshot in place.
+Tables are versions of Parquet folders (``plans.commits``): rows are appended, updated and deleted by
+key without a rewrite, and a job that dies half-way leaves the last version in place.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from mnemospark import schemas
 from mnemospark.functions import fixed_values as fv
 from mnemospark.functions import text as t
 from mnemospark.operators import bm25
+from mnemospark.plans.commits import RowTable
 
 
 # ------------------------------------------------------------------ row logic
@@ -122,53 +123,34 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _fs(self, path: str):
-        jvm = self.spark._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(path)
-        return hpath.getFileSystem(self.spark._jsc.hadoopConfiguration()), hpath
-
-    def _snapshots(self, name: str) -> list[int]:
-        fs, path = self._fs(f"{self.root}/{name}")
-        if not fs.exists(path):
-            return []
-        found = []
-        for status in fs.listStatus(path):
-            part = status.getPath().getName()
-            done = self.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if part.startswith("v") and part[1:].isdigit() and fs.exists(done):
-                found.append(int(part[1:]))
-        return sorted(found)
-
-    def _folder(self, name: str, number: int) -> str:
-        return f"{self.root}/{name}/v{number:08d}"
+    def table(self, name: str) -> RowTable:
+        return RowTable(
+            self.spark, f"{self.root}/{name}", schemas.TABLES[name], schemas.KEYS.get(name), schemas.PARTITIONED.get(name, [])
+        )
 
     def exists(self, name: str) -> bool:
-        return bool(self._snapshots(name))
+        return self.table(name).state().version > 0
 
     def read(self, name: str) -> DataFrame:
-        done = self._snapshots(name)
-        schema = schemas.TABLES[name]
-        if not done:
-            return self.spark.createDataFrame([], schema)
-        # Columns added after a snapshot was written read as null.
-        return self.spark.read.schema(schema).parquet(self._folder(name, done[-1]))
-
-    def _writer(self, name: str, df: DataFrame, mode: str):
-        keys = schemas.PARTITIONED.get(name, [])
-        # Rebalancing splits a partition that holds most rows into several files.
-        out = conform(df, name)
-        out = out.hint("rebalance", *[F.col(k) for k in keys]) if keys else out
-        writer = out.write.mode(mode)
-        return writer.partitionBy(*keys) if keys else writer
+        return self.table(name).read()
 
     def append(self, name: str, df: DataFrame) -> None:
-        done = self._snapshots(name)
-        self._writer(name, df, "append").parquet(self._folder(name, done[-1] if done else 1))
+        self.table(name).append(conform(df, name))
 
     def replace(self, name: str, df: DataFrame) -> None:
-        done = self._snapshots(name)
-        number = done[-1] + 1 if done else 1
-        self._writer(name, df, "overwrite").parquet(self._folder(name, number))
+        """A new whole table; rows that others add meanwhile stay."""
+        self.table(name).replace(conform(df, name))
+
+    def update(self, name: str, rows: DataFrame) -> None:
+        """Whole rows in the place of those with their keys."""
+        self.table(name).update(conform(rows, name))
+
+    def delete(self, name: str, keys: DataFrame) -> None:
+        self.table(name).delete(keys)
+
+    def compact(self, names: tuple[str, ...] = tuple(schemas.TABLES)) -> None:
+        for name in names:
+            self.table(name).compact()
 
     # ---------------------------------------------------------------- drawers
     def add_drawers(self, rows: DataFrame, embed=None) -> int:
@@ -177,10 +159,9 @@ class Store:
         Known and repeated ids are dropped before anything is enriched.
         """
         order = ["filed_at", "content"]
-        fresh = new_rows(self.read("drawers"), rows, order)
-        before = self.read("drawers").count()
-        self.append("drawers", enriched(fresh, embed))
-        return self.read("drawers").count() - before
+        return self.table("drawers").append_new(
+            lambda known: conform(enriched(new_rows(known, rows, order), embed), "drawers")
+        )
 
     def index_new(self) -> None:
         """Postings and lengths of drawers that are not indexed yet."""
@@ -202,24 +183,23 @@ class Store:
         """Postings and lengths of drawers that still exist."""
         return self.read("postings"), self.read("doc_stats")
 
+    def drop_drawers(self, ids: DataFrame) -> None:
+        """Takes out drawers (id).  The index goes first: a drawer without a length is indexed again."""
+        if self.exists("doc_stats"):
+            keys = ids.select(F.col("id").alias("drawer_id"))
+            for name in ("doc_stats", "postings"):
+                self.delete(name, keys)
+        self.delete("drawers", ids)
+
     def delete_drawers(self, ids: list[str]) -> int:
-        rows = self.read("drawers")
-        hit = F.col("id").isin(ids)
-        gone = rows.filter(hit).count()
+        hit = self.read("drawers").filter(F.col("id").isin(ids)).select("id")
+        gone = hit.count()
         if gone:
-            self.replace("drawers", rows.filter(~hit))
-            self._drop_from_index(ids)
+            self.drop_drawers(hit)
         return gone
 
-    def _drop_from_index(self, ids: list[str]) -> None:
-        if not self.exists("doc_stats"):
-            return
-        for name in ("postings", "doc_stats"):
-            self.replace(name, self.read(name).filter(~F.col("drawer_id").isin(ids)))
-
     def update_content(self, drawer_id: str, content: str, embed=None) -> bool:
-        rows = self.read("drawers")
-        hit = rows.filter(F.col("id") == drawer_id)
+        hit = self.read("drawers").filter(F.col("id") == drawer_id)
         if hit.isEmpty():
             return False
         base = hit.select(
@@ -228,23 +208,20 @@ class Store:
             # The hall is routed anew from the new text.
             json_object(json_fields("metadata", ("hall",))).alias("metadata"),
         )
-        fresh = enriched(base, embed)
-        self.replace("drawers", rows.filter(F.col("id") != drawer_id).unionByName(fresh))
-        self._drop_from_index([drawer_id])
+        self.update("drawers", enriched(base, embed))
+        if self.exists("doc_stats"):
+            one = self.spark.createDataFrame([(drawer_id,)], "drawer_id string")
+            for name in ("doc_stats", "postings"):
+                self.delete(name, one)
         self.index_new()
         return True
 
     def embed_missing(self, embed) -> int:
-        """Vectors for drawers that lack one, preference vectors included."""
-        rows = self.read("drawers")
-        missing = rows.filter(F.col("embedding").isNull())
+        """Vectors for drawers that lack one, preference vectors included; other drawers are not written."""
+        missing = self.read("drawers").filter(F.col("embedding").isNull())
         count = missing.count()
         if count:
-            base = missing.drop("embedding", "pref_embedding")
-            self.replace(
-                "drawers",
-                rows.filter(F.col("embedding").isNotNull()).unionByName(enriched(base, embed)),
-            )
+            self.update("drawers", enriched(missing.drop("embedding", "pref_embedding"), embed))
         return count
 
     def embed_all(self, embed, refresh_preferences: bool = False) -> int:
@@ -260,13 +237,11 @@ class Store:
         return self.read("drawers").count()
 
     def prune(self, older_than_days: int, as_of: Column) -> int:
+        """Takes out drawers beyond the limit; rows without a time go too."""
         rows = self.read("drawers")
-        kept = pruned(rows, older_than_days, as_of)
-        gone = rows.count() - kept.count()
+        young = pruned(rows, older_than_days, as_of).select("id")
+        old = rows.select("id").join(young, "id", "left_anti")
+        gone = old.count()
         if gone:
-            self.replace("drawers", kept)
-            if self.exists("doc_stats"):
-                live = self.read("drawers").select(F.col("id").alias("drawer_id"))
-                for name in ("postings", "doc_stats"):
-                    self.replace(name, self.read(name).join(live, "drawer_id", "left_semi"))
+            self.drop_drawers(old)
         return gone

@@ -58,3 +58,8 @@ TABLES: dict[str, T.StructType] = {
     "feedback": FEEDBACK,
 }
 PARTITIONED = {"drawers": ["wing"], "postings": ["term_bucket"]}
+#: The column by which rows of a table are changed or taken out.
+KEYS = {
+    "meta": "key", "drawers": "id", "closets": "id", "tunnels": "id", "wings": "name", "postings": "drawer_id",
+    "doc_stats": "drawer_id", "entities": "id", "triples": "id", "usage_events": "id",
+}
