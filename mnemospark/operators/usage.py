@@ -169,9 +169,49 @@ def tool_latency(events: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc("calls"), "tool")
 
 
+def exact_points(values: DataFrame, value: str, points: dict[str, int], ranges: int = 1024) -> dict[str, int]:
+    """As ``percentiles`` for whole numbers of one group of any size: {"calls": rows, name: value, ...}; {} without rows.
+
+    Each round counts values by range and goes on with the one range that holds the rank, so nothing
+    is sorted or brought together but at most ``ranges`` counts a point: 64-bit values take seven rounds at most.
+    """
+    v = F.col(value).cast("long")
+    calls, known, low, high = values.agg(F.count(F.lit(1)), F.count(v), F.min(v), F.max(v)).first()
+    if not calls:
+        return {}
+    # Missing values come first in the order, and are never the answer.
+    rank = {name: max(-(-(calls - 1) * p // 100) - (calls - known), 0) for name, p in points.items()}
+    span = {name: (low, high) for name in points} if known else {}
+    while todo := [name for name, (lo, hi) in span.items() if lo < hi]:
+        wide = {name: -(-(span[name][1] - span[name][0] + 1) // ranges) for name in todo}
+        marks = [
+            F.when(v.between(*span[name]), F.struct(F.lit(name).alias("name"), F.expr(f"CAST(({v_sql(value)} - {span[name][0]}) DIV {wide[name]} AS INT)").alias("at")))
+            for name in todo
+        ]
+        counted = values.select(F.explode(F.array_compact(F.array(*marks))).alias("m")).groupBy("m.name", "m.at").agg(F.count(F.lit(1)).alias("n"))
+        found: dict[str, list] = {name: [] for name in todo}
+        for row in counted.collect():
+            found[row["name"]].append((row["at"], row["n"]))
+        for name, counts in found.items():
+            for at, n in sorted(counts):
+                if rank[name] < n:
+                    break
+                rank[name] -= n
+            lo = span[name][0] + at * wide[name]
+            span[name] = (lo, min(span[name][1], lo + wide[name] - 1))
+    return {"calls": calls} | {name: span[name][0] if known else None for name in points}
+
+
+def v_sql(value: str) -> str:
+    """A whole number as a decimal, whose differences do not overflow."""
+    return f"CAST(CAST({value} AS BIGINT) AS DECIMAL(38, 0))"
+
+
 def overall_latency(events: DataFrame) -> DataFrame:
-    one = events.select(F.lit(1).alias("_all_tools"), "duration_ms")
-    return percentiles(one, ["_all_tools"], "duration_ms", _POINTS).drop("_all_tools")
+    """(calls, p50_latency_ms, p95_latency_ms) of all events; no row without events."""
+    found = exact_points(events.select("duration_ms"), "duration_ms", _POINTS)
+    schema = ", ".join(f"{name} long" for name in ("calls", *_POINTS))
+    return events.sparkSession.createDataFrame([tuple(found.values())] if found else [], schema)
 
 
 # ------------------------------------------------------------ top and recent

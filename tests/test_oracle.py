@@ -11,9 +11,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import __spark_entry__ as entry
 from scripts.check_oracle import rows_of
 
+from mnemospark.plans.oracle import SQL
+from mnemospark.plans.queries import REGISTRY as QUERIES
+
 SF = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
 
 
 @pytest.fixture(scope="module")
@@ -37,5 +38,10 @@ def test_matches_sql(spark, duck, name):
     assert got == rows_of([d[0] for d in res.description], res.fetchall())
 
 
+def test_optional_queries_add_to_the_registry():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+    assert not set(entry.oracle_sql()) - set(entry.queries())
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns[0] == "id"
