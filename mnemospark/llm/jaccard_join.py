@@ -15,8 +15,13 @@ Inside a hot group each set is compared with one member, the leader (the one wit
 signatures, which is near the group's middle), and described by its difference to the leader's set.
 Two sets that are not both linked to the leader can be similar only if these differences overlap, by
 a number that follows from their sizes; so a prefix of each difference (its elements that are rarest
-in the group first) finds the remaining candidates.  Groups of
-many near copies thus give one comparison for each member and few others.
+in the group first) finds the remaining candidates.
+
+Only components are asked for, so pairs within one are of no use.  The members that meet in an element of
+their differences form groups again; in each that holds several components one member is compared with
+those of other components, a few times over, with components worked out anew after each round.  What is
+left is compared pair by pair, but only across components.  Families of near copies grow together in
+the first rounds, so groups give a few comparisons for each member and pairs only where families stay apart.
 
 Defined results: null, empty and blank texts have an empty set, are linked with nothing and are
 their own component; a text with fewer words than a shingle is one shingle; repeated texts are
@@ -27,7 +32,7 @@ one document each and share that id's component.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -253,9 +258,9 @@ def set_rows(df: DataFrame, n: int) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, "id long, codes array<long>, size int, sketch array<long>")
 
 
-def sets_of(pairs: DataFrame, df: DataFrame, n: int) -> DataFrame:
-    """The sets of the documents in pairs (a, b)."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def sets_of(df: DataFrame, n: int, *pairs: DataFrame) -> DataFrame:
+    """The sets of the documents in the pairs (a, b), as one table."""
+    wanted = reduce(DataFrame.union, (p.select(F.explode(F.array("a", "b")).alias("doc_id")) for p in pairs)).distinct()
     return written(set_rows(df.join(wanted, "doc_id", "left_semi"), n).dropDuplicates(["id"]))
 
 
@@ -292,9 +297,8 @@ def similar(percent: int, shared: str = "shared") -> F.Column:
     return 100 * F.col(shared) >= percent * (F.size("x") + F.size("y") - F.col(shared))
 
 
-def verified(pairs: DataFrame, df: DataFrame, n: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar; whole sets travel only for pairs that sketches leave."""
-    sets = sets_of(pairs, df, n)
     left = written(possible(pairs, sets, percent))
     return with_sets(left, sets).withColumn("shared", F.size(F.array_intersect("x", "y"))).where(similar(percent)).select("a", "b")
 
@@ -303,7 +307,7 @@ def verified(pairs: DataFrame, df: DataFrame, n: int, percent: int) -> DataFrame
 SKETCH = 4
 
 
-def led(pairs: DataFrame, df: DataFrame, n: int, percent: int) -> DataFrame:
+def led(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """For pairs of a leader a and a member b: whether they are linked, and the difference of their sets.
 
     For a set of size s, similar sets differ from it in at most s (1 - t) / t elements.  Of the
@@ -319,7 +323,7 @@ def led(pairs: DataFrame, df: DataFrame, n: int, percent: int) -> DataFrame:
         for k in range(SKETCH)
     )
     return (
-        with_sets(pairs, sets_of(pairs, df, n))
+        with_sets(pairs, sets)
         .withColumn("apart", F.concat(F.array_except("y", "x"), F.array_except("x", "y")))
         .withColumn("size", F.size("apart"))
         .withColumn("shared", ((F.size("x") + F.size("y") - size) / 2).cast("int"))
@@ -329,17 +333,21 @@ def led(pairs: DataFrame, df: DataFrame, n: int, percent: int) -> DataFrame:
     )
 
 
-def overlapping(leaders: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of members of one leader whose differences can overlap enough.
+#: Rounds in which one member of each group of differences is compared with other components.
+STAR_ROUNDS = 3
+
+
+def meeting_places(leaders: DataFrame) -> DataFrame:
+    """(a, e, b, linked, size, s, k0 ..., first): the elements of each difference that can bring members together.
 
-    An element that one member alone has cannot meet another: such elements come first in the order
-    and are only counted.
+    Only the first ``long`` elements of a difference count, rarest in its group first.  An element that one
+    member alone has cannot meet another: such elements come first in the order and are only counted.
     """
     parts = leaders.select("a", "b", F.explode("apart").alias("e"))
     often = parts.groupBy("a", "e").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     common = parts.join(often, ["a", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("es"))
     sketch = [f"k{k}" for k in range(SKETCH)]
-    rows = written(
+    return (
         leaders.drop("apart").join(common, ["a", "b"])
         .withColumn("alone", F.col("size") - F.size("es"))
         .withColumn("es", F.slice("es", F.lit(1), F.greatest(F.lit(0), F.col("long") - F.col("alone"))))
@@ -347,16 +355,40 @@ def overlapping(leaders: DataFrame, percent: int) -> DataFrame:
         .select("a", "m.e", "b", "linked", "size", "s", *sketch, (F.col("at") + F.col("alone") < F.col("short")).alias("first"))
     )
 
-    def side(name: str) -> list:
-        return [F.col(c).alias(f"{name}_{c}") for c in ("b", "linked", "size", "s", *sketch)]
 
-    x, y = rows.where("first").select("a", "e", *side("x")), rows.select("a", "e", *side("y"))
-    differ = sum((F.bit_count(F.col(f"x_{k}").bitwiseXOR(F.col(f"y_{k}"))) for k in sketch), F.lit(0))
+def near(percent: int) -> F.Column:
+    """Whether sizes and sketches of two members x and y of a group allow a link."""
+    differ = sum((F.bit_count(F.col(f"x_k{k}").bitwiseXOR(F.col(f"y_k{k}"))) for k in range(SKETCH)), F.lit(0))
     allowed = (100 - percent) * (F.col("x_s") + F.col("y_s"))
+    return ((100 + percent) * F.abs(F.col("y_size") - F.col("x_size")) <= allowed) & ((100 + percent) * differ <= allowed)
+
+
+def member(name: str, *more: str) -> list[F.Column]:
+    return [F.col(c).alias(f"{name}_{c}") for c in ("b", "linked", "size", "s", *(f"k{k}" for k in range(SKETCH)), "c", *more)]
+
+
+def in_components(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows with the component c of their member b, as far as the links tell."""
+    found = components(links).withColumnRenamed("node", "b").withColumnRenamed("component", "_c")
+    return rows.join(found, "b", "left").withColumn("c", F.coalesce("_c", "b")).drop("_c")
+
+
+def star_pairs(rows: DataFrame, percent: int, number: int) -> DataFrame:
+    """In each group that holds several components: the pairs of one member with members of other components."""
+    order = F.struct("size", "b") if number == 0 else F.struct(F.xxhash64("b", F.lit(number)), F.col("b"))
+    centre = rows.groupBy("a", "e").agg(F.min("c").alias("_low"), F.max("c").alias("_high"), F.min_by(F.struct(*member("x")), order).alias("x"))
+    centre = centre.where("_low < _high").select("a", "e", "x.*")
+    met = rows.select("a", "e", *member("y")).join(centre, ["a", "e"]).where("x_c <> y_c").where(near(percent))
+    return met.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct()
+
+
+def overlapping(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of members of one leader, of different components, whose differences can overlap enough."""
+    x, y = rows.where("first").select("a", "e", *member("x")), rows.select("a", "e", *member("y"))
     return (
         x.join(y, ["a", "e"])
-        .where("(x_size < y_size or x_size = y_size and x_b < y_b) and not (x_linked and y_linked)")
-        .where(((100 + percent) * (F.col("y_size") - F.col("x_size")) <= allowed) & ((100 + percent) * differ <= allowed))
+        .where("x_c <> y_c and (x_size < y_size or x_size = y_size and x_b < y_b) and not (x_linked and y_linked)")
+        .where(near(percent))
         .select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b"))
     )
 
@@ -396,10 +428,20 @@ def jaccard_components(df: DataFrame, n: int = 4, percent: int = 85) -> DataFram
     members = written(members.groupBy("sig", "a").agg(F.max("h").alias("h")))
     leader = members.groupBy("sig").agg(F.max_by("a", F.struct("h", -F.col("a"))).alias("l"))
     stars = members.join(leader, "sig").where("a <> l").select(F.col("l").alias("a"), F.col("a").alias("b")).distinct()
-    leaders = written(led(written(stars), df, n, percent))
+    stars = written(stars)
+    sets = sets_of(df, n, pairs, stars)
+    leaders = written(led(stars, sets, percent))
+    links = written(verified(pairs, sets, percent).union(leaders.where("linked").select("a", "b")).distinct())
     done = pairs.union(ordered(leaders.select("a", "b")))
-    more = ordered(overlapping(leaders, percent)).join(done, ["a", "b"], "left_anti")
-    links = written(verified(written(pairs.union(more)), df, n, percent).union(leaders.where("linked").select("a", "b")))
+    rows = written(meeting_places(leaders))
+    for number in range(STAR_ROUNDS):
+        new = written(star_pairs(in_components(rows, links), percent, number).join(done, ["a", "b"], "left_anti"))
+        found = written(verified(new, sets, percent))
+        if found.isEmpty():
+            break
+        done, links = done.union(new), links.union(found)
+    more = ordered(overlapping(in_components(rows, links), percent)).join(done, ["a", "b"], "left_anti")
+    links = links.union(written(verified(written(more), sets, percent)))
 
     linked = components(links).withColumnRenamed("node", "rep")
     ids = base.join(copy_of.withColumnRenamed("doc_id", "_d"), F.col("doc_id") == F.col("_d"), "left").drop("_d")

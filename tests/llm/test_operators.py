@@ -114,6 +114,21 @@ def test_jaccard_components_equal_all_pairs(spark, monkeypatch, n, percent):
     assert got == brute.groups(rows, n, percent)
 
 
+def test_jaccard_components_of_a_large_family(spark):
+    """500 near copies of one text that lack some of its lines and share others that it lacks."""
+    rng = random.Random(11)
+    base = [" ".join(f"b{i}x{k}" for k in range(8)) for i in range(30)]
+    extra = [" ".join(f"e{i}x{k}" for k in range(8)) for i in range(12)]
+    rows = []
+    for i in range(500):
+        lines = [line for line in base if rng.random() > rng.choice([0.02, 0.1])]
+        lines += [line for line in extra if rng.random() < rng.choice([0.05, 0.25])]
+        rows.append((i, " ".join(lines)))
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    want = brute.groups(rows, 4, 85)
+    assert got == want and 1 < len({c for _, c in want.values()}) < 500
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 30) if i != 12]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
