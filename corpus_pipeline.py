@@ -33,8 +33,8 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of each document, checked by decoding."""
-    return piece_sampling.report(docs, tokenizer_file("piece_bpe_32k.model"))
+    """Sampled segmentations of each document with their ids, checked by decoding."""
+    return piece_sampling.report(docs, tokenizer_file("piece_bpe_32k.model"), with_ids=True)
 
 
 STAGES = [
