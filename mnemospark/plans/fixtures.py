@@ -173,6 +173,48 @@ def block_index(spark: SparkSession, sf_dir: str, of: str) -> BlockIndex:
     return _INDEXES[key]
 
 
+def chat_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, format, content): every conversation as an export of one of five formats, by its number."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role, text = F.col("role"), F.col("text")
+    one = {
+        "session": F.to_json(F.struct(role.alias("type"), F.struct(F.array(F.struct(F.lit("text").alias("type"), text.alias("text"))).alias("content")).alias("message"))),
+        "events": F.to_json(F.struct(
+            F.lit("event_msg").alias("type"),
+            F.struct(F.concat(F.when(role == "assistant", "agent").otherwise(role), F.lit("_message")).alias("type"), text.alias("message")).alias("payload"),
+        )),
+        "list": F.to_json(F.struct(role.alias("role"), text.alias("content"))),
+        "channel": F.to_json(F.struct(F.when(role == "system", "join").otherwise("message").alias("type"), role.alias("user"), text.alias("text"))),
+        "tree": F.concat(F.lit('"n'), F.col("turn").cast("string"), F.lit('":'), F.to_json(F.struct(
+            F.struct(F.struct(role.alias("role")).alias("author"), F.struct(F.array(text).alias("parts")).alias("content")).alias("message"),
+            F.concat(F.lit("n"), (F.col("turn") - 1).cast("string")).alias("parent"),
+            F.array(F.concat(F.lit("n"), (F.col("turn") + 1).cast("string"))).alias("children"),
+        ))),
+    }
+    names = F.array(*(F.lit(n) for n in one))
+    kind = F.get(names, (F.col("conv_id") % len(one)).cast("int"))
+    piece = F.coalesce(*(F.when(kind == n, line) for n, line in one.items()))
+    whole = turns.groupBy("conv_id", kind.alias("format")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", piece.alias("line")))), lambda t: t["line"]).alias("lines"),
+        F.min("turn").alias("low"), F.max("turn").alias("high"),
+    )
+    joined = F.array_join("lines", ",")
+    low, high = F.col("low").cast("string"), (F.col("high") + 1).cast("string")
+    # The tree gets a root without a message, and an empty node that ends the chain.
+    tree = F.concat(
+        F.lit('{"mapping":{"root":{"parent":null,"children":["n'), low, F.lit('"]},'), joined,
+        F.lit(',"n'), high, F.lit('":{"parent":"x","children":[]}}}'),
+    )
+    content = (
+        F.when(F.col("format") == "session", F.array_join("lines", "\n"))
+        .when(F.col("format") == "events", F.concat(F.lit('{"type":"session_meta"}\n'), F.array_join("lines", "\n")))
+        .when(F.col("format") == "list", F.concat(F.lit('{"messages":['), joined, F.lit("]}")))
+        .when(F.col("format") == "channel", F.concat(F.lit("["), joined, F.lit("]")))
+        .otherwise(tree)
+    )
+    return whole.select("conv_id", "format", content.alias("content"))
+
+
 def note_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     return orders.select("o_orderkey", F.expr(NOTE_TEXT).alias("content"))

@@ -44,9 +44,8 @@ def conversation_drawers(
 ) -> DataFrame:
     """Exchanges of chat exports, or typed memories with ``general``."""
     chosen = files.conversations(found)
-    texts = chosen.select(
-        F.col("path").alias("source_file"),
-        chats.normalized("content", files.extension_of(F.col("relative"))).alias("content"),
+    texts = chats.normalized(chosen, "content", files.extension_of(F.col("relative"))).select(
+        F.col("path").alias("source_file"), "content"
     ).filter(F.octet_length(trim_ws("content")) >= fv.MIN_CONVO_CHUNK_BYTES)
     if general:
         typed = memories.extract_memories(texts, "content")

@@ -813,3 +813,14 @@ _STORED = """SELECT 'drawer_' || d.doc_id AS id, 'wing_' || ((d.doc_id // 5) % 2
  FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)"""
 SQL["delete_rows"] = _STORED.format(room="CASE WHEN toxic = 1 THEN 'again' ELSE d.lang END") + " WHERE toxic IS DISTINCT FROM 1 OR doc_id % 5 = 0"
 SQL["update_rows"] = _STORED.format(room="CASE WHEN quality = 1 THEN 'good' ELSE d.lang END || CASE WHEN toxic = 1 THEN '/toxic' ELSE '' END")
+# Five formats by number; roles of a channel follow its first speaker, and only user and assistant speak.
+_CHAT_WS = "E' \\t\\n\\r\\x0b\\x0c'"
+SQL["normalize_chats"] = f"""WITH t AS (SELECT conv_id, turn, conv_id % 5 AS k, role, trim(text, {_CHAT_WS}) AS said FROM conversations),
+ s AS (SELECT *, CASE WHEN k <> 3 THEN role WHEN role = first(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 'user' ELSE 'assistant' END AS r
+  FROM t WHERE role IN ('user', 'assistant') AND said <> ''),
+ n AS (SELECT *, lead(r) OVER w AS after, count(*) OVER (PARTITION BY conv_id) AS turns FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+ l AS (SELECT conv_id, turn, CASE WHEN r = 'user' THEN '> ' ELSE '' END || said
+   || CASE WHEN r = 'user' AND after = 'assistant' THEN '' ELSE chr(10) END AS block FROM n WHERE turns >= 2),
+ g AS (SELECT conv_id, string_agg(block, chr(10) ORDER BY turn) AS transcript FROM l GROUP BY 1)
+ SELECT conv_id, ['session', 'events', 'list', 'channel', 'tree'][conv_id % 5 + 1] AS format, transcript
+ FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN g USING (conv_id)"""

@@ -954,6 +954,16 @@ def update_rows(spark, sf):
     return store.read("drawers").select("id", "wing", "room", F.length("content").alias("chars"))
 
 
+@query
+def normalize_chats(spark, sf):
+    """Transcripts of all conversations, read from exports of five formats; null where none is found."""
+    from mnemospark.sources import chats
+
+    exports = fx.chat_exports(spark, sf).withColumn("export", F.col("content"))
+    read = chats.normalized(exports, "content", F.lit("json"))
+    return read.select("conv_id", "format", F.nullif("content", "export").alias("transcript"))
+
+
 @query
 def export_rows(spark, sf):
     from mnemospark.sources import exchange

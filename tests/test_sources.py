@@ -2,12 +2,14 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.plans import ingest
 from mnemospark.sources import chats, files, transcripts
+from tests import plain_chats
 
 WANT = "> hi there\nhello you\n"
 
@@ -67,15 +69,57 @@ def lines(*records):
 )
 def test_normalize(spark, name, content, want):
     want = content if want is None else want
-    assert chats.normalize(content, "json" if "quoted" not in name else "md") == want
+    assert plain_chats.normalize(content, "json" if "quoted" not in name else "md") == want
     df = spark.createDataFrame([(content,)], "s string")
-    got = df.select(chats.normalized("s", F.lit("json" if "quoted" not in name else "md"))).first()[0]
+    got = chats.normalized(df, "s", F.lit("json" if "quoted" not in name else "md")).first()[0]
     assert got == want
 
 
-def test_transcript_blocks():
+def test_transcript_blocks(spark):
     turns = [("assistant", "a0"), ("user", "q1"), ("user", "q2"), ("assistant", "a2"), ("assistant", "a3")]
-    assert chats.transcript(turns) == "a0\n\n> q1\n\n> q2\na2\n\na3\n"
+    want = "a0\n\n> q1\n\n> q2\na2\n\na3\n"
+    assert plain_chats.transcript(turns) == want
+    assert spark.createDataFrame([(turns,)], f"t {chats.TURNS}").select(chats.transcript(F.col("t"))).first()[0] == want
+
+
+def mixed_up(rng, kind):
+    """A JSON value near the shapes of exports, whole or damaged; most are of the kind."""
+    said = rng.choice(["hi", "yo", "well"] * 6 + ["hi", " padded\t", "", 5, None, {"text": "in object"}, {"text": 1}, [{"type": "text", "text": "a"}, "b", {"type": "x", "text": "c"}, 7]])
+    role = rng.choice(["user", "assistant"] * 5 + ["human", "ai", "system", 3, None])
+    values = [
+        {"type": role, "message": {"content": said}}, {"type": "session_meta"},
+        {"type": "event_msg", "payload": {"type": rng.choice(["user_message", "agent_message", "x"]), "message": said}},
+        {"role": role, "content": said}, {"role": role, "content": said},
+        {"type": "message", "user": rng.choice(["u1", "u2", "u3", None]), "text": said}, {"type": "message", "username": "u4", "text": said},
+        {"chat_messages": [{"role": "user", "content": said}, {"role": role, "content": "x"}]}, role, [],
+    ]
+    return values[kind if rng.random() < 0.8 else rng.randrange(len(values))]
+
+
+def test_expressions_read_like_the_plain_parser(spark):
+    rng = random.Random(9)
+    texts = [None, "", " ", "plain", "null", "[]", "{}", "[1, 2]", "not json {", '{"messages": null}', "> a\n> b\n> c\n{}"]
+    for _ in range(800):
+        kind = rng.randrange(9)
+        items = [mixed_up(rng, kind) for _ in range(rng.randrange(1, 9))]
+        shape = rng.randrange(6)
+        if shape == 0:
+            texts.append(lines(*items))
+        elif shape == 1:
+            texts.append(lines({"type": "session_meta"}, *(i for i in items if isinstance(i, dict) and "type" in i)))
+        elif shape == 2:
+            texts.append(json.dumps({rng.choice(["messages", "chat_messages", "other"]): items}))
+        elif shape == 3:
+            nodes = {f"n{k}": {"parent": None if k == 0 else f"n{k - 1}", "children": [f"n{(k + 1) % 5}"], **({"message": rng.choice([None, 4, {"author": {"role": rng.choice(["user", "assistant", "tool"])}, "content": {"parts": ["p", k, "q"]}}])} if k else {})} for k in range(4 + rng.randrange(2))}
+            texts.append(json.dumps({"mapping": rng.choice([nodes, nodes, 3, {}])}))
+        else:
+            texts.append(json.dumps(items))
+    rows = [(k, t, rng.choice(["json", "JSONL", "md", ""])) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "k long, s string, ext string")
+    got = {r["k"]: r["s"] for r in chats.normalized(df, "s", F.col("ext")).collect()}
+    want = {k: None if t is None else plain_chats.normalize(t, ext) for k, t, ext in rows}
+    assert got == want
+    assert sum(want[k] != t for k, t, _ in rows) > 100
 
 
 @pytest.fixture
