@@ -1,19 +1,20 @@
 """Licence scan: a trained classifier of paragraphs, confirmed by template comparison.
 
-Paragraphs are lines; long ones are read in windows of WINDOW words that overlap by half.  A window's
-features are hashed words and word pairs; a multinomial logistic regression gives each licence
-family, and the class unknown, a probability.  It is trained in numpy on pieces of the templates
-below with words left out and foreign words around them, and for unknown on lines of the scanned
-documents and on shuffled template words.  Probabilities are calibrated by one temperature on held
-back pieces.  A prediction counts only if the window shares half of its three-word shingles, or
-half of a template's, with a template of that family.
-
-Training is bounded: PIECES pieces of each template and SAMPLE_LINES lines.  Scanning runs on the JVM:
-features are joined to a table of weights and summed.  Only lines with one of CUES are
-scored: all templates hold one, and lines without any have no licence by definition.
+Paragraphs end at blank lines; their lines are joined, so wrapped notices read like unwrapped ones.  They are
+read in windows of WINDOWS words that overlap by half: long ones for licence texts, short ones for
+notices among other words.  A window's features are hashed words and word pairs; a multinomial logistic
+regression gives each licence family, and the class unknown, a probability.  It is trained in numpy
+on pieces of the templates below with words left out and foreign words around them, and for unknown on lines
+of the scanned documents and on shuffled template words.  Probabilities are calibrated by one temperature
+on held back pieces.  A prediction counts only if the window holds a whole template of that family, or
+SHARED of its three-word shingles.  So windows without any template's shingle need not be scored.
+
+Training is bounded: PIECES pieces of each template and SAMPLE_LINES lines of SAMPLE_DOCUMENTS
+documents.  Scanning runs on the JVM: features are joined to a table of weights and summed.
 
 Defined results: null and empty texts have no licence; a document has the set of the families of its
-paragraphs; repeated rows are judged alike; without documents the templates alone train the model.
+paragraphs; repeated rows are judged alike, rows with a null id and one text too; without documents the templates
+alone train the model; an empty table gives no row.  Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -25,51 +26,66 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemospark.functions.columns import computed
+
 FEATURES = 2048
-WINDOW = 40
+WINDOWS = (40, 14, 7)
+WINDOW = WINDOWS[0]
 PIECES = 24
 SAMPLE_LINES = 1500
+SAMPLE_DOCUMENTS = 200
+#: Shingles of a longer template that a window must hold.
+SHARED = 4
 #: Least calibrated probability of a family.
 LEAST = 0.5
+#: Lines with one of these are no examples of the class unknown.
 CUES = ("licen", "copyright", "permission", "redistribut", "warrant", "rights reserved", "public domain", "spdx", "copyleft")
 
 # Notices and characteristic sentences of licence families.
 TEMPLATES = {
     "MIT": [
         "Released under the MIT License.", "This project is licensed under the terms of the MIT license.", "SPDX-License-Identifier: MIT",
-        "Licensed under the MIT License. See LICENSE for details.",
+        "Licensed under the MIT License. See LICENSE for details.", "under the MIT license",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
         "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, with permission to permit persons to whom the Software is furnished to do so",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
     "Apache": [
-        "Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "This work is available under the Apache License 2.0.",
+        "Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "This work is available under the Apache License 2.0.", "Apache License, Version 2.0", "under the Apache License",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, without warranties or conditions of any kind",
     ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only",
-        "Licensed under the GNU General Public License, version 2.",
+        "Licensed under the GNU General Public License, version 2.", "GNU General Public License",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
         "You should have received a copy of the GNU General Public License along with this program.",
     ],
     "LGPL": [
-        "This library is licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later", "GNU Lesser General Public License",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
     ],
     "AGPL": [
-        "This work is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only",
+        "This work is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only", "GNU Affero General Public License",
         "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
     ],
     "BSD": [
-        "Licensed under the BSD 3-Clause License.", "Released under the BSD license.", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause",
+        "Licensed under the BSD 3-Clause License.", "Released under the BSD license.", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause", "BSD 3-Clause License", "under the BSD license",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "MPL": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0", "Licensed under the Mozilla Public License, version 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0", "Licensed under the Mozilla Public License, version 2.0.", "Mozilla Public License",
+    ],
+    "ISC": [
+        "Released under the ISC License.", "SPDX-License-Identifier: ISC", "under the ISC license",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "EPL": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", "SPDX-License-Identifier: EPL-2.0",
+        "Licensed under the Eclipse Public License, version 2.0.", "Eclipse Public License",
     ],
     "CC-BY": [
         "Licensed under CC BY 4.0.", "Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0",
@@ -192,10 +208,22 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(documents: DataFrame) -> Model:
-    """The model, with at most SAMPLE_LINES lines without cues from a bounded sample of documents."""
-    texts = documents.where(F.length("text").between(1, 20_000)).select(F.xxhash64("text").alias("h"), "text").orderBy("h").limit(200)
-    lines = sorted({line[:400] for r in texts.collect() for line in r["text"].split("\n") if line and not any(c in line.lower() for c in CUES)})
-    return train(lines[:: max(1, len(lines) // SAMPLE_LINES)][:SAMPLE_LINES])
+    """The model, with at most SAMPLE_LINES lines without cues of the SAMPLE_DOCUMENTS texts of least hash.
+
+    Hashes are chosen first: only the lines of the chosen texts leave their tasks.
+    """
+    texts = documents.where(F.length("text").between(1, 20_000)).select(F.xxhash64("text").alias("h"), "text")
+    chosen = texts.select("h").distinct().orderBy("h").limit(SAMPLE_DOCUMENTS)
+    lines = texts.join(chosen, "h", "left_semi").select(F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.where((F.col("line") != "") & ~has_cue(F.lower("line"))).select(F.substring("line", 1, 400).alias("line")).distinct()
+    return train(sorted(r["line"] for r in lines.orderBy(F.xxhash64("line")).limit(SAMPLE_LINES).collect()))
+
+
+def has_cue(text: Column) -> Column:
+    found = F.lit(False)
+    for cue in CUES:
+        found = found | F.contains(text, F.lit(cue))
+    return found
 
 
 def words(text: Column) -> Column:
@@ -230,57 +258,53 @@ def weight_table(spark: SparkSession, model: Model) -> DataFrame:
 
 
 def windows_of(rows: DataFrame) -> DataFrame:
-    """(d, t, line, start, w): the words of each window of a line with a cue; d and t name the document."""
-
-    def has_cue(text: Column) -> Column:
-        found = F.lit(False)
-        for cue in CUES:
-            found = found | F.contains(text, F.lit(cue))
-        return found
-
-    lines = (
-        rows.where(has_cue(F.lower("text")))
-        .select("d", "t", F.posexplode(F.split("text", "\n")).alias("line", "part"))
-        .where(has_cue(F.lower("part")))
-        .select("d", "t", "line", words(F.col("part")).alias("w")).where(F.size("w") > 0)
-        .dropDuplicates(["d", "t", "line"])
-    )
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - WINDOW // 2 - 1), F.lit(WINDOW // 2))
-    return lines.select("d", "t", "line", "w", F.explode(starts).alias("start")).select(
-        "d", "t", "line", "start", F.slice("w", F.col("start") + 1, F.lit(WINDOW)).alias("w")
-    )
+    """(d, t, paragraph, start, w): the words of the windows that share a shingle with a template; start holds the
+    window's size as well, and d and t name the document."""
+    known = F.lit(np.array(sorted({h for _, s in template_triples() for h in s}), np.int64))
+    split = rows.select("d", "t", F.posexplode(F.split("text", r"\n[\t\r ]*\n")).alias("paragraph", "part"))
+    # Each word list and each list of shingles is worked out once: filters on them stay where they are.
+    parts = computed(computed(split, {"w": words(F.col("part"))}).drop("part"), {"near": F.arrays_overlap(triples("w"), known)})
+    parts = parts.where("near").select("d", "t", "paragraph", "w").dropDuplicates(["d", "t", "paragraph"])
+
+    def starts(size: int) -> Column:
+        last = F.greatest(F.lit(0), F.size("w") - size // 2 - 1)
+        return F.transform(F.sequence(F.lit(0), last, F.lit(size // 2)), lambda at: F.struct(at.alias("at"), F.lit(size).alias("size")))
+
+    cut = parts.select("d", "t", "paragraph", "w", F.explode(F.concat(*(starts(size) for size in WINDOWS))).alias("start"))
+    cut = computed(cut.withColumnRenamed("w", "all"), {"w": F.slice("all", F.col("start.at") + 1, F.col("start.size"))}).drop("all")
+    return computed(cut, {"triples": triples("w")}).where(F.arrays_overlap("triples", known))
 
 
 def paragraphs(rows: DataFrame, model: Model) -> DataFrame:
-    """(d, t, line, start, family, probability) of each window with a cue, from rows (d, t, text)."""
-    features = windows_of(rows).select("*", triples("w").alias("triples"), pairs_and_words("w").alias("features"))
+    """(d, t, paragraph, start, family, probability) of each such window, from rows (d, t, text)."""
+    features = computed(windows_of(rows), {"features": pairs_and_words("w")})
     exploded = features.select(
-        "d", "t", "line", "start", "triples", F.size("features").alias("n"), F.explode("features").alias("feature")
+        "d", "t", "paragraph", "start", "triples", F.size("features").alias("n"), F.explode("features").alias("feature")
     )
     bias = (model.bias / model.temperature).astype(float).round(5).tolist()
     sums = (
         exploded.join(weight_table(rows.sparkSession, model), "feature")
-        .groupBy("d", "t", "line", "start")
+        .groupBy("d", "t", "paragraph", "start")
         .agg(F.first("triples").alias("triples"), F.first("n").alias("n"),
              *(F.sum(F.get("v", F.lit(f))).alias(f"z{f}") for f in range(len(bias))))
     )
     z = F.array(*(F.lit(b) + F.col(f"z{f}") / F.sqrt(F.col("n").cast("double")) for f, b in enumerate(bias)))
     known = F.array(*(F.struct(F.lit(f).alias("f"), F.lit(np.array(s, np.int64)).alias("s")) for f, s in template_triples()))
     scored = (
-        sums.select("d", "t", "line", "start", "triples", z.alias("z"))
+        sums.select("d", "t", "paragraph", "start", "triples", z.alias("z"))
         .withColumn("best", F.array_max("z"))
         .withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("best"))))
         .withColumn("family", F.get(F.array(*(F.lit(f) for f in FAMILIES)), F.array_position("z", F.col("best")).cast("int") - 1))
     )
     shared = lambda t: F.size(F.array_intersect(t["s"], F.col("triples")))
-    confirmed = F.exists(known, lambda t: (t["f"] == F.col("family")) & (2 * shared(t) >= F.least(F.size(t["s"]), F.size("triples"))))
+    confirmed = F.exists(known, lambda t: (t["f"] == F.col("family")) & (shared(t) >= F.least(F.size(t["s"]), F.lit(SHARED))))
     sure = (F.col("probability") >= LEAST) & confirmed
-    return scored.select("d", "t", "line", "start", F.when(sure, F.col("family")).otherwise(F.lit(UNKNOWN)).alias("family"), "probability")
+    return scored.select("d", "t", "paragraph", "start", F.when(sure, F.col("family")).otherwise(F.lit(UNKNOWN)).alias("family"), "probability")
 
 
 def scan(documents: DataFrame) -> DataFrame:
     """(doc_id, licences, n_paragraphs, n_unknown, probability) of each row: families found, windows of them, windows
-    with a cue but no family, and the highest probability of a family."""
+    with a template's shingle but no family, and the highest probability of a family."""
     d = F.coalesce(documents["doc_id"].cast("long"), F.lit(-(2**63))).alias("d")
     rows = documents.select(documents["doc_id"].cast("long").alias("doc_id"), d, F.xxhash64(documents["text"]).alias("t"), documents["text"].alias("text"))
     is_known = F.col("family") != UNKNOWN

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -310,3 +312,56 @@ def test_samples_follow_the_lattice_and_decode():
     text = "a  b\n\nñ😀x Straße "
     for ids, *_ in piece_sampling.sample([text], [3], vocab, 4)[0]:
         assert vocab.text(ids) == text
+
+
+LICENCE_NOTICES = {
+    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"],
+    "Apache": ["Licensed under the Apache License, Version 2.0"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+    "EPL": ["This program is made available under the terms of the Eclipse Public License 2.0"],
+    "GPL": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"],
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted"],
+    None: ["Licensed under the", "a license plate was found near the river and all rights to complain", "he drove under the bridge with permission"],
+}
+
+
+def test_notices_read_the_same_wrapped_and_among_other_words(spark):
+    prose = "the river ran past the old mill and nobody in the village spoke about it for many years"
+    rows, want = [], {}
+    for family, notices in LICENCE_NOTICES.items():
+        for notice in notices:
+            for text in (notice, *("\n".join(textwrap.wrap(notice, width)) for width in (20, 45)), f"{prose}\n{notice}\n{prose}", f"intro\n\n{notice}\n \noutro"):
+                want[len(rows)] = [] if family is None else [family]
+                rows.append((len(rows), text))
+    found = licence_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("w", F.lit("clash"))).collect()
+    assert {r["doc_id"]: r["licences"] for r in found} == want
+
+
+def test_licence_windows_are_scored_by_the_formula(spark):
+    """The scan's probabilities and families from the model's weights, in plain Python."""
+    model = licence_scan.train(["some ordinary line of words"])
+    texts = [f"she said\n{t[0]} and so on\n\nnext part" for t in licence_scan.TEMPLATES.values()] + ["all of it under the bridge", "Licensed under the moon"]
+    rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "d long, t long, text string")
+    found = {(r["d"], r["paragraph"], r["start"]["at"], r["start"]["size"]): r for r in licence_scan.paragraphs(rows, model).collect()}
+    templates = licence_scan.template_triples()
+    known = {h for _, s in templates for h in s}
+    expected = set()
+    for d, text in enumerate(texts):
+        for number, part in enumerate(re.split(r"\n[\t\r ]*\n", text)):
+            words = licence_scan.words_of(part)
+            for size in licence_scan.WINDOWS:
+                for at in range(0, max(0, len(words) - size // 2 - 1) + 1, size // 2):
+                    window = words[at : at + size]
+                    triples = {licence_scan._hash(*window[i : i + 3]) for i in range(max(1, len(window) - 2))}
+                    if not triples & known:
+                        continue
+                    expected.add((d, number, at, size))
+                    features = licence_scan.features_of(window)
+                    z = (model.weights[features].sum(0) / np.sqrt(len(features)) + model.bias) / model.temperature
+                    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+                    family = licence_scan.FAMILIES[int(p.argmax())]
+                    sure = p.max() >= licence_scan.LEAST and any(f == family and len(triples & set(s)) >= min(len(s), licence_scan.SHARED) for f, s in templates)
+                    row = found[d, number, at, size]
+                    assert row["probability"] == pytest.approx(p.max(), abs=1e-3)
+                    assert row["family"] == (family if sure else licence_scan.UNKNOWN)
+    assert set(found) == expected
