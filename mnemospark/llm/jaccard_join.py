@@ -334,28 +334,44 @@ def led(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 #: Rounds in which one member of each group of differences is compared with other components.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 
-def meeting_places(leaders: DataFrame) -> DataFrame:
-    """(a, e, b, linked, size, s, k0 ..., first): the elements of each difference that can bring members together.
+def with_component(rows: DataFrame, parts: DataFrame, node: str, name: str) -> DataFrame:
+    """The rows with the component of a node, as far as the links tell: its own id without any."""
+    found = parts.select(F.col("node").alias(node), F.col("component").alias("_c"))
+    return rows.join(found, node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
 
-    Only the first ``long`` elements of a difference count, rarest in its group first.  An element that one
-    member alone has cannot meet another: such elements come first in the order and are only counted.
+
+def meeting_places(leaders: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b, size, s, k0 ..., es): the members of groups that still hold other components than their leader's.
+
+    A pair that matters has a member outside the leader's component, so only elements that such an outsider
+    shares with another member can bring it together.  All others come first in the order of a difference
+    and are only counted; es holds what is left of the first ``long`` elements, rarest in the group first, and
+    whether each is among the first ``short`` ones.
     """
-    parts = leaders.select("a", "b", F.explode("apart").alias("e"))
-    often = parts.groupBy("a", "e").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    common = parts.join(often, ["a", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("es"))
+    placed = with_component(with_component(leaders, parts, "b", "c"), parts, "a", "ca").withColumn("outside", F.col("c") != F.col("ca"))
+    active = placed.join(placed.where("outside").select("a").distinct(), "a", "left_semi")
+    elements = active.select("a", "b", "outside", F.explode("apart").alias("e"))
+    often = elements.groupBy("a", "e").agg(F.count(F.lit(1)).alias("c"), F.max("outside").alias("o")).where("c > 1 and o").drop("o")
+    common = elements.select("a", "b", "e").join(often, ["a", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("c", "e"))).alias("es"))
     sketch = [f"k{k}" for k in range(SKETCH)]
+    alone = F.col("size") - F.size("es")
+    held = F.slice("es", F.lit(1), F.greatest(F.lit(0), F.col("long") - alone).cast("int"))
     return (
-        leaders.drop("apart").join(common, ["a", "b"])
-        .withColumn("alone", F.col("size") - F.size("es"))
-        .withColumn("es", F.slice("es", F.lit(1), F.greatest(F.lit(0), F.col("long") - F.col("alone"))))
-        .select("a", "b", "linked", "size", "s", "short", "alone", *sketch, F.posexplode("es").alias("at", "m"))
-        .select("a", "m.e", "b", "linked", "size", "s", *sketch, (F.col("at") + F.col("alone") < F.col("short")).alias("first"))
+        active.drop("apart", "c").join(common, ["a", "b"])
+        .withColumn("es", F.transform(held, lambda m, at: F.struct(m["e"].alias("e"), (at + alone < F.col("short")).alias("first"))))
+        .where(F.size("es") > 0).select("a", "b", "size", "s", *sketch, "es")
     )
 
 
+def meetings(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, e, b, size, s, k0 ..., c, first): a row for each member and element, with the member's component."""
+    placed = with_component(members, parts, "b", "c")
+    return placed.select("*", F.explode("es").alias("m")).select("*", "m.*").drop("m", "es")
+
+
 def near(percent: int) -> F.Column:
     """Whether sizes and sketches of two members x and y of a group allow a link."""
     differ = sum((F.bit_count(F.col(f"x_k{k}").bitwiseXOR(F.col(f"y_k{k}"))) for k in range(SKETCH)), F.lit(0))
@@ -363,14 +379,8 @@ def near(percent: int) -> F.Column:
     return ((100 + percent) * F.abs(F.col("y_size") - F.col("x_size")) <= allowed) & ((100 + percent) * differ <= allowed)
 
 
-def member(name: str, *more: str) -> list[F.Column]:
-    return [F.col(c).alias(f"{name}_{c}") for c in ("b", "linked", "size", "s", *(f"k{k}" for k in range(SKETCH)), "c", *more)]
-
-
-def in_components(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows with the component c of their member b, as far as the links tell."""
-    found = components(links).withColumnRenamed("node", "b").withColumnRenamed("component", "_c")
-    return rows.join(found, "b", "left").withColumn("c", F.coalesce("_c", "b")).drop("_c")
+def member(name: str) -> list[F.Column]:
+    return [F.col(c).alias(f"{name}_{c}") for c in ("b", "size", "s", *(f"k{k}" for k in range(SKETCH)), "c")]
 
 
 def star_pairs(rows: DataFrame, percent: int, number: int) -> DataFrame:
@@ -387,7 +397,7 @@ def overlapping(rows: DataFrame, percent: int) -> DataFrame:
     x, y = rows.where("first").select("a", "e", *member("x")), rows.select("a", "e", *member("y"))
     return (
         x.join(y, ["a", "e"])
-        .where("x_c <> y_c and (x_size < y_size or x_size = y_size and x_b < y_b) and not (x_linked and y_linked)")
+        .where("x_c <> y_c and (x_size < y_size or x_size = y_size and x_b < y_b)")
         .where(near(percent))
         .select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b"))
     )
@@ -433,15 +443,15 @@ def jaccard_components(df: DataFrame, n: int = 4, percent: int = 85) -> DataFram
     leaders = written(led(stars, sets, percent))
     links = written(verified(pairs, sets, percent).union(leaders.where("linked").select("a", "b")).distinct())
     done = pairs.union(ordered(leaders.select("a", "b")))
-    rows = written(meeting_places(leaders))
-    for number in range(STAR_ROUNDS):
-        new = written(star_pairs(in_components(rows, links), percent, number).join(done, ["a", "b"], "left_anti"))
+    members = None
+    for number in range(STAR_ROUNDS + 1):
+        parts = written(components(links))
+        members = members or written(meeting_places(leaders, parts))
+        rows = meetings(members, parts)
+        pairs = ordered(overlapping(rows, percent)) if number == STAR_ROUNDS else star_pairs(rows, percent, number)
+        new = written(pairs.join(done, ["a", "b"], "left_anti"))
         found = written(verified(new, sets, percent))
-        if found.isEmpty():
-            break
         done, links = done.union(new), links.union(found)
-    more = ordered(overlapping(in_components(rows, links), percent)).join(done, ["a", "b"], "left_anti")
-    links = links.union(written(verified(written(more), sets, percent)))
 
     linked = components(links).withColumnRenamed("node", "rep")
     ids = base.join(copy_of.withColumnRenamed("doc_id", "_d"), F.col("doc_id") == F.col("_d"), "left").drop("_d")
