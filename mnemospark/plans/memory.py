@@ -81,13 +81,15 @@ class Memory:
 
     def mine(
         self, folder: str, wing: str, room_list: list[dict], dry_run: bool = False,
-        respect_ignore: bool = True, include: list[str] = (),
+        respect_ignore: bool = True, include: list[str] = (), global_rules: list[str] = (),
     ) -> int:
-        """Files new project files; known files are left out before any work on them."""
+        """Files new project files; known files are left out before any work on them.
+
+        Ignore rules of all folders hold, and below them the lines in ``global_rules``.
+        """
         found = files.whole_texts(self.spark, folder)
         if respect_ignore:
-            rules = files.read_lines(self.spark, f"{folder.rstrip('/')}/.gitignore")
-            found = files.not_ignored(found, rules, include)
+            found = files.not_ignored_below(found, files.ignore_rules(self.spark, folder, global_rules), include)
         if dry_run:
             return ingest.project_drawers(found, wing, room_list, self.label, self.now()).count()
         named = found.withColumn("source_file", F.col("path"))

@@ -50,6 +50,20 @@ def skipped_by_spark(name: str) -> bool:
     return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
 
 
+def rule_files(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """(URI, folder below the root) of the files with ignore rules."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.makeQualified(hpath).toUri().getPath().rstrip("/") + "/"
+    found, entries = [], fs.listFiles(hpath, True)
+    while entries.hasNext():
+        uri = entries.next().getPath().toUri()
+        folder, _, name = uri.getPath()[len(base) :].rpartition("/")
+        if name in RULE_FILES:
+            found.append((uri.toString(), folder))
+    return found
+
+
 def hidden_files(spark: SparkSession, root: str) -> list[str]:
     """URIs of the files below a folder that Spark's readers leave out."""
     hpath = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -149,6 +163,81 @@ def not_ignored(files: DataFrame, rules: list[str], include: list[str] = ()) ->
     return files.filter(F.expr(keep))
 
 
+#: Names of files with ignore rules; in one folder the later name goes first.
+RULE_FILES = (".gitignore", ".ignore")
+_RULES = "array<struct<regex:string,negated:boolean,only_dir:boolean>>"
+
+
+def parsed_rules(lines: list[str]) -> list[dict]:
+    """Rules of one file in their order, as patterns of whole paths below its folder."""
+    rules = []
+    for line in lines:
+        parsed = ignore_regex(line)
+        if parsed:
+            regex, negated = parsed
+            only_dir = regex.endswith("/.*$")
+            rules.append({"regex": regex.removesuffix("/.*$" if only_dir else "(?:/.*)?$") + "$", "negated": negated, "only_dir": only_dir})
+    return rules
+
+
+def ignore_rules(spark: SparkSession, root: str, global_rules: list[str] = ()) -> DataFrame:
+    """(folder, rank, rules) of every rule file below the root, read in tasks; rank -1 has the rules of no folder."""
+    known = spark.createDataFrame([("", -1, parsed_rules(list(global_rules)))], f"folder string, rank int, rules {_RULES}")
+    listed = rule_files(spark, root)
+    if not listed:
+        return known
+    places = spark.createDataFrame(listed, "uri string, folder string")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("regex", pa.string()), ("negated", pa.bool_()), ("only_dir", pa.bool_())]))
+        for batch in batches:
+            uris = batch.column("uri").to_pylist()
+            rules = [parsed_rules((read_text(uri) or "").splitlines()) for uri in uris]
+            ranks = [RULE_FILES.index(uri.rpartition("/")[2]) for uri in uris]
+            yield pa.RecordBatch.from_arrays([batch.column("folder"), pa.array(ranks, pa.int32()), pa.array(rules, kind)], ["folder", "rank", "rules"])
+
+    tasks = min(len(listed), 4 * spark.sparkContext.defaultParallelism)
+    return known.union(places.repartition(tasks).mapInArrow(read, f"folder string, rank int, rules {_RULES}"))
+
+
+def ignored_places(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """(place) of the files and folders that rules name.
+
+    Every folder on the way to a file is judged once.  A rule file speaks for what lies below its folder; the
+    deepest file with a rule that fits decides, and of its fitting rules the last.
+    """
+    parts = F.split("relative", "/")
+    steps = F.transform(
+        F.sequence(F.lit(1), F.size(parts)),
+        lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n), "/").alias("place"), (n < F.size(parts)).alias("is_dir")),
+    )
+    places = files.select(F.explode(steps).alias("p")).select("p.*").distinct()
+    above = F.split("place", "/")
+    folders = F.transform(F.sequence(F.lit(0), F.size(above) - 1), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(above, F.lit(1), n), "/").alias("folder")))
+    asked = places.select("place", "is_dir", F.explode(folders).alias("f")).select("place", "is_dir", "f.*")
+    below = F.when(F.col("folder") == "", F.col("place")).otherwise(F.substring("place", F.length("folder") + 2, F.lit(2**31 - 1)))
+    fits = F.filter("rules", lambda r: F.rlike(F.col("below"), r["regex"]) & (~r["only_dir"] | F.col("is_dir")))
+    judged = asked.join(rules, "folder").withColumn("below", below).withColumn("last", F.try_element_at(fits, F.lit(-1))).where("last IS NOT NULL")
+    verdict = judged.groupBy("place").agg(F.max_by("last.negated", F.struct("depth", "rank")).alias("kept"))
+    return verdict.where("NOT kept").select("place")
+
+
+def not_ignored_below(files: DataFrame, rules: DataFrame, include: list[str] = ()) -> DataFrame:
+    """Drops files that rules name or that lie in a folder they name; what is below ``include`` stays.
+
+    A rule that takes a file in again has no effect within a folder that is left out.
+    """
+    named = ignored_places(files, rules)
+    parts = F.split("relative", "/")
+    ways = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    forced = F.lit(False)
+    for path in include:
+        clean = path.strip("/")
+        forced = forced | (F.col("relative") == clean) | F.startswith("relative", F.lit(clean + "/"))
+    gone = files.where(~forced).select("relative", F.explode(ways).alias("place")).join(named, "place", "left_semi").select("relative").distinct()
+    return files.join(gone, "relative", "left_anti").select(*files.columns)
+
+
 def read_lines(spark: SparkSession, path: str) -> list[str]:
     """Lines of one small control file, such as ignore rules; none if absent."""
     jvm = spark._jvm
