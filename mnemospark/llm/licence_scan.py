@@ -264,7 +264,7 @@ def windows_of(rows: DataFrame) -> DataFrame:
     split = rows.select("d", "t", F.posexplode(F.split("text", r"\n[\t\r ]*\n")).alias("paragraph", "part"))
     # Each word list and each list of shingles is worked out once: filters on them stay where they are.
     parts = computed(computed(split, {"w": words(F.col("part"))}).drop("part"), {"near": F.arrays_overlap(triples("w"), known)})
-    parts = parts.where("near").select("d", "t", "paragraph", "w").dropDuplicates(["d", "t", "paragraph"])
+    parts = parts.where("near").select("d", "t", "paragraph", "w")
 
     def starts(size: int) -> Column:
         last = F.greatest(F.lit(0), F.size("w") - size // 2 - 1)
@@ -272,7 +272,9 @@ def windows_of(rows: DataFrame) -> DataFrame:
 
     cut = parts.select("d", "t", "paragraph", "w", F.explode(F.concat(*(starts(size) for size in WINDOWS))).alias("start"))
     cut = computed(cut.withColumnRenamed("w", "all"), {"w": F.slice("all", F.col("start.at") + 1, F.col("start.size"))}).drop("all")
-    return computed(cut, {"triples": triples("w")}).where(F.arrays_overlap("triples", known))
+    # Only windows are shuffled, to drop those of repeated rows; whole paragraphs stay in their tasks.
+    near = computed(cut, {"triples": triples("w")}).where(F.arrays_overlap("triples", known))
+    return near.dropDuplicates(["d", "t", "paragraph", "start"])
 
 
 def paragraphs(rows: DataFrame, model: Model) -> DataFrame:
