@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions.columns import computed
@@ -34,13 +34,11 @@ WINDOW = WINDOWS[0]
 PIECES = 24
 SAMPLE_LINES = 1500
 SAMPLE_DOCUMENTS = 200
+PARAGRAPH_END = r"\n[\t\r ]*\n"
 #: Shingles of a longer template that a window must hold.
 SHARED = 4
 #: Least calibrated probability of a family.
 LEAST = 0.5
-#: Lines with one of these are no examples of the class unknown.
-CUES = ("licen", "copyright", "permission", "redistribut", "warrant", "rights reserved", "public domain", "spdx", "copyleft")
-
 # Notices and characteristic sentences of licence families.
 TEMPLATES = {
     "MIT": [
@@ -208,24 +206,19 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(documents: DataFrame) -> Model:
-    """The model, with at most SAMPLE_LINES lines without cues of the SAMPLE_DOCUMENTS texts of least hash.
+    """The model, with at most SAMPLE_LINES lines of the SAMPLE_DOCUMENTS texts of least hash, from paragraphs that
+    share no shingle with a template.
 
-    Hashes are chosen first: only the lines of the chosen texts leave their tasks.
+    Hashes are chosen first: only lines of the chosen texts leave their tasks.
     """
     texts = documents.where(F.length("text").between(1, 20_000)).select(F.xxhash64("text").alias("h"), "text")
     chosen = texts.select("h").distinct().orderBy("h").limit(SAMPLE_DOCUMENTS)
-    lines = texts.join(chosen, "h", "left_semi").select(F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.where((F.col("line") != "") & ~has_cue(F.lower("line"))).select(F.substring("line", 1, 400).alias("line")).distinct()
+    parts = texts.join(chosen, "h", "left_semi").select(F.explode(F.split("text", PARAGRAPH_END)).alias("part"))
+    plain = computed(computed(parts, {"w": words(F.col("part"))}), {"near": F.arrays_overlap(triples("w"), known_triples())}).where("not near")
+    lines = plain.select(F.explode(F.split("part", "\n")).alias("line")).where("line <> ''").select(F.substring("line", 1, 400).alias("line")).distinct()
     return train(sorted(r["line"] for r in lines.orderBy(F.xxhash64("line")).limit(SAMPLE_LINES).collect()))
 
 
-def has_cue(text: Column) -> Column:
-    found = F.lit(False)
-    for cue in CUES:
-        found = found | F.contains(text, F.lit(cue))
-    return found
-
-
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
 
@@ -251,6 +244,11 @@ def template_triples() -> list[tuple[str, list[int]]]:
     return found
 
 
+def known_triples() -> Column:
+    """The shingles of all templates."""
+    return F.lit(np.array(sorted({h for _, s in template_triples() for h in s}), np.int64))
+
+
 def weight_table(spark: SparkSession, model: Model) -> DataFrame:
     """(feature, v): the weights of each feature, by family."""
     scaled = (model.weights / model.temperature).astype(float).round(5)
@@ -260,8 +258,8 @@ def weight_table(spark: SparkSession, model: Model) -> DataFrame:
 def windows_of(rows: DataFrame) -> DataFrame:
     """(d, t, paragraph, start, w): the words of the windows that share a shingle with a template; start holds the
     window's size as well, and d and t name the document."""
-    known = F.lit(np.array(sorted({h for _, s in template_triples() for h in s}), np.int64))
-    split = rows.select("d", "t", F.posexplode(F.split("text", r"\n[\t\r ]*\n")).alias("paragraph", "part"))
+    known = known_triples()
+    split = rows.select("d", "t", F.posexplode(F.split("text", PARAGRAPH_END)).alias("paragraph", "part"))
     # Each word list and each list of shingles is worked out once: filters on them stay where they are.
     parts = computed(computed(split, {"w": words(F.col("part"))}).drop("part"), {"near": F.arrays_overlap(triples("w"), known)})
     parts = parts.where("near").select("d", "t", "paragraph", "w")
@@ -278,39 +276,53 @@ def windows_of(rows: DataFrame) -> DataFrame:
 
 
 def paragraphs(rows: DataFrame, model: Model) -> DataFrame:
-    """(d, t, paragraph, start, family, probability) of each such window, from rows (d, t, text)."""
-    features = computed(windows_of(rows), {"features": pairs_and_words("w")})
-    exploded = features.select(
-        "d", "t", "paragraph", "start", "triples", F.size("features").alias("n"), F.explode("features").alias("feature")
-    )
+    """(d, t, paragraph, start, family, probability) of each such window, from rows (d, t, text).
+
+    Windows that hold enough of no template are unknown whatever the classifier says and are not scored; their
+    probability is null.
+    """
+    known = F.array(*(F.struct(F.lit(f).alias("f"), F.lit(np.array(s, np.int64)).alias("s")) for f, s in template_triples()))
+    held = F.filter(known, lambda t: F.size(F.array_intersect(t["s"], F.col("triples"))) >= F.least(F.size(t["s"]), F.lit(SHARED)))
+    keys = ["d", "t", "paragraph", "start"]
+    windows = computed(windows_of(rows), {"templates": F.array_distinct(F.transform(held, lambda t: t["f"]))}).drop("triples")
+    features = computed(windows.where(F.size("templates") > 0), {"features": pairs_and_words("w")})
+    exploded = features.select(*keys, "templates", F.size("features").alias("n"), F.explode("features").alias("feature"))
     bias = (model.bias / model.temperature).astype(float).round(5).tolist()
+    # FEATURES rows of one number a family: the broadcast is bounded.
     sums = (
-        exploded.join(weight_table(rows.sparkSession, model), "feature")
-        .groupBy("d", "t", "paragraph", "start")
-        .agg(F.first("triples").alias("triples"), F.first("n").alias("n"),
+        exploded.join(F.broadcast(weight_table(rows.sparkSession, model)), "feature")
+        .groupBy(*keys)
+        .agg(F.first("templates").alias("templates"), F.first("n").alias("n"),
              *(F.sum(F.get("v", F.lit(f))).alias(f"z{f}") for f in range(len(bias))))
     )
     z = F.array(*(F.lit(b) + F.col(f"z{f}") / F.sqrt(F.col("n").cast("double")) for f, b in enumerate(bias)))
-    known = F.array(*(F.struct(F.lit(f).alias("f"), F.lit(np.array(s, np.int64)).alias("s")) for f, s in template_triples()))
     scored = (
-        sums.select("d", "t", "paragraph", "start", "triples", z.alias("z"))
+        sums.select(*keys, "templates", z.alias("z"))
         .withColumn("best", F.array_max("z"))
         .withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("best"))))
         .withColumn("family", F.get(F.array(*(F.lit(f) for f in FAMILIES)), F.array_position("z", F.col("best")).cast("int") - 1))
     )
-    shared = lambda t: F.size(F.array_intersect(t["s"], F.col("triples")))
-    confirmed = F.exists(known, lambda t: (t["f"] == F.col("family")) & (shared(t) >= F.least(F.size(t["s"]), F.lit(SHARED))))
-    sure = (F.col("probability") >= LEAST) & confirmed
-    return scored.select("d", "t", "paragraph", "start", F.when(sure, F.col("family")).otherwise(F.lit(UNKNOWN)).alias("family"), "probability")
+    sure = (F.col("probability") >= LEAST) & F.array_contains("templates", F.col("family"))
+    judged = scored.select(*keys, F.when(sure, F.col("family")).otherwise(F.lit(UNKNOWN)).alias("family"), "probability")
+    rest = windows.where(F.size("templates") == 0).select(*keys, F.lit(UNKNOWN).alias("family"), F.lit(None).cast("double").alias("probability"))
+    return judged.union(rest)
 
 
 def scan(documents: DataFrame) -> DataFrame:
     """(doc_id, licences, n_paragraphs, n_unknown, probability) of each row: families found, windows of them, windows
-    with a template's shingle but no family, and the highest probability of a family."""
+    with a template's shingle but no family, and the highest probability of a family.
+
+    Families share sentences: of windows that begin within half a long window of each other, only the family
+    of the likeliest counts.
+    """
     d = F.coalesce(documents["doc_id"].cast("long"), F.lit(-(2**63))).alias("d")
     rows = documents.select(documents["doc_id"].cast("long").alias("doc_id"), d, F.xxhash64(documents["text"]).alias("t"), documents["text"].alias("text"))
     is_known = F.col("family") != UNKNOWN
-    found = paragraphs(rows, fit(rows)).groupBy("d", "t").agg(
+    known = F.when(is_known, F.struct("probability", "family"))
+    about = Window.partitionBy("d", "t", "paragraph").orderBy("start.at").rangeBetween(-(WINDOW // 2), WINDOW // 2)
+    windows = paragraphs(rows, fit(rows)).withColumn("best", F.max(known).over(about))
+    windows = windows.withColumn("family", F.when(is_known & (F.col("family") != F.col("best.family")), F.lit(UNKNOWN)).otherwise(F.col("family")))
+    found = windows.groupBy("d", "t").agg(
         F.array_sort(F.collect_set(F.when(is_known, F.col("family")))).alias("licences"),
         F.count(F.when(is_known, 1)).alias("n_paragraphs"),
         F.count(F.when(~is_known, 1)).alias("n_unknown"),
