@@ -282,6 +282,10 @@ SQL["check_duplicate_all"] = SQL["check_duplicate"].replace(" LIMIT 5", "")
 SQL["preference_search"] = (
     f"SELECT id, wing, similarity FROM ({nearest(NOTES, 'notes', 11, 10, is_pref('content'))})"
 )
+_OWN = "(CASE WHEN o_orderkey % 2 = 0 THEN list_reverse(embedding) ELSE embedding END)"
+SQL["preference_vectors"] = f"""WITH {NOTES}, s AS (SELECT id, wing, filed, {cosine(11, _OWN)} AS similarity FROM notes
+  WHERE embedding IS NOT NULL AND {is_pref('content')})
+ SELECT id, wing, similarity FROM s ORDER BY similarity DESC, filed DESC, id LIMIT 10"""
 SQL["hybrid_topk"] = f"WITH {NOTES}, {hybrid_ctes('notes', NOTE_QUERY, 5, 10, fx.AS_OF_NOTES)} {FOUND} found"
 SQL["hybrid_indexed"] = SQL["hybrid_topk"]
 SQL["hybrid_documents"] = (

@@ -332,6 +332,15 @@ def preference_search(spark, sf):
     return rows.select("id", "wing", "similarity")
 
 
+@query
+def preference_vectors(spark, sf):
+    """The same where every second note has a preference vector of its own, which then counts."""
+    vec = fx.query_vector(spark, sf, 11)
+    own = F.when(F.col("o_orderkey") % 2 == 0, F.reverse("embedding"))
+    rows = vectors.preference_top_k(_enriched(fx.notes(spark, sf)).withColumn("pref_embedding", own), vec, 10)
+    return rows.select("id", "wing", "similarity")
+
+
 # -------------------------------------------------------------------- hybrid
 def _hybrid(spark, sf, text, vec_id=5, n=10, **kw):
     vec = fx.query_vector(spark, sf, vec_id)

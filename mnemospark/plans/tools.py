@@ -449,7 +449,11 @@ def kg_stats(m, args):
 def conflicts(m, args):
     name = text_arg(args, "entity")
     groups = rows(kg.conflict_groups(*_graph(m), name))
-    return {"entity": name, "count": len(groups), "conflicts": groups}
+    facts: dict[tuple, list] = {}
+    for fact in rows(kg.conflict_facts(*_graph(m), name)):
+        facts.setdefault((fact["subject"], fact["predicate"]), []).append(fact)
+    conflicts = [{**g, "facts": facts.get((g["subject"], g["predicate"]), [])} for g in groups]
+    return {"entity": name, "count": len(groups), "conflicts": conflicts}
 
 
 @tool
