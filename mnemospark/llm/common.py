@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemospark.session import new_path
+
 #: Odd multipliers of the 64-bit hashes.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: Bytes of text that a task takes apart at once: word lists take several times as much memory.
@@ -26,23 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a local one only where none is named."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    named = named or context.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="llm-checkpoint-")
-        context.setCheckpointDir(named)
-        named = context.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
-
-
 def tokenizer_file(name: str) -> str:
     """Where a public tokenizer's file lies on this machine; executors have it at the same place."""
     import public_tokenizers
@@ -57,7 +40,7 @@ def written(df: DataFrame, *parts: str) -> DataFrame:
     as the table is there: nothing reads them again.
     """
     spark = df.sparkSession
-    path = new_path(spark)
+    path = new_path(spark, "llm")
     before = spark.conf.get(CLEAN_SHUFFLES)
     spark.conf.set(CLEAN_SHUFFLES, "true")
     try:
