@@ -239,9 +239,14 @@ def recall_check(
     drawers: DataFrame, checks: list[dict], n: int, as_of: Column
 ) -> DataFrame:
     """One row per probe: rank of the expected source among its n best drawers."""
+    asked = [q.sanitize(c["query"]) or c["query"] for c in checks]
+    bonuses = [
+        F.expr(f"{scoring.coding_boost(text, '_text', '_room')} + {scoring.preference_match(text, 'content', '_room')}")
+        for text in asked
+    ]
     pairs = bm25.multi_query_scores(
         drawers.select("id", "wing", "room", "content", "source_file", "filed_at"),
-        [{**c, "query": q.sanitize(c["query"]) or c["query"]} for c in checks],
+        [{**c, "query": text} for c, text in zip(checks, asked)], bonuses,
     )
     spark = drawers.sparkSession
     table = spark.createDataFrame(
@@ -249,21 +254,12 @@ def recall_check(
         "probe int, query string, expected_source string",
     )
     top = pairs.groupBy("probe").agg(F.max("bm25").alias("_max"))
-    boost, match = [], []
-    for i, c in enumerate(checks):
-        query = q.sanitize(c["query"]) or c["query"]
-        boost.append(f"WHEN {i} THEN {scoring.coding_boost(query, '_text', '_room')}")
-        match.append(f"WHEN {i} THEN {scoring.preference_match(query, 'content', '_room')}")
-    boosts = F.expr(f"CASE probe {' '.join(boost)} END + CASE probe {' '.join(match)} END")
     combined = (
         F.when(F.col("_max") > 0, F.col("bm25") / F.col("_max")).otherwise(0.0) * fv.BM25_WEIGHT
-        + boosts + scoring.recency(F.col("filed_at"), as_of)
+        + F.col("bonus") + scoring.recency(F.col("filed_at"), as_of)
     )
     # One row per probe in ``top``: bounded by the literal list of checks.
-    lowered = computed(
-        pairs.join(top, "probe"), {"_text": F.lower("content"), "_room": F.lower("room")}
-    )
-    scored = computed(lowered, {"combined": combined}).select(
+    scored = computed(pairs.join(top, "probe"), {"combined": combined}).select(
         "probe", "id", "source_file", "filed_at", "combined"
     )
     order = Window.partitionBy("probe").orderBy(*_order())
