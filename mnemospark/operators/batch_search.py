@@ -19,13 +19,7 @@ from mnemospark.functions import text as t
 from mnemospark.functions.columns import computed, round_to
 from mnemospark.operators import bm25
 from mnemospark.operators.block_index import SCORE_DIGITS, BlockIndex
-from mnemospark.session import new_path
-
-
-def _stored(df: DataFrame) -> DataFrame:
-    path = new_path(df.sparkSession, "search")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from mnemospark.session import stored
 
 
 def _weight(tf: str, length: str) -> Column:
@@ -64,11 +58,12 @@ def reaching(index: BlockIndex, terms: DataFrame, least: DataFrame) -> DataFrame
     bounds = rows.where("opens").join(heads, "term").groupBy("qid", "slot").agg(
         F.sum(F.col("idf") * _weight("max_tf", "min_len")).alias("bound"), F.first("least").alias("least")
     )
-    slots = bounds.join(rest, "qid").where(F.col("bound") + F.col("rest") >= F.col("least") * (1 - 1e-9)).select("qid", "slot")
-    wanted = terms.select("qid", "term", "idf", "avg_len").join(slots, "qid")
-    entries = wanted.join(index.blocks.select("term", "slot", "entries"), ["term", "slot"]).select(
-        "qid", "slot", "idf", "avg_len", F.explode("entries").alias("e")
-    ).select("qid", "slot", "idf", "avg_len", "e.*")
+    slots = bounds.join(rest, "qid").where(F.col("bound") + F.col("rest") >= F.col("least") * (1 - 1e-9)).groupBy("slot").agg(F.collect_list("qid").alias("_open"))
+    # Postings go to their slot once, however many questions want them, and are summed where they lie.
+    wanted = terms.select("qid", "term", "idf", "avg_len").withColumnRenamed("qid", "_asks")
+    blocks = index.blocks.join(wanted.select("term").distinct(), "term", "left_semi").select("term", "slot", "entries")
+    placed = blocks.repartition("slot").join(slots.hint("shuffle_hash"), "slot").join(wanted, "term").where(F.array_contains("_open", F.col("_asks")))
+    entries = placed.select(F.col("_asks").alias("qid"), "slot", "idf", "avg_len", F.explode("entries").alias("e")).select("qid", "slot", "idf", "avg_len", "e.*")
     if index.dead is not None:
         entries = entries.join(index.dead, "doc", "left_anti")
     scored = entries.groupBy("qid", "doc", "slot").agg(
@@ -94,11 +89,11 @@ def nth_of(rows: DataFrame, n: int, score: str) -> DataFrame:
 
 def best_by_terms(index: BlockIndex, questions: DataFrame, n: int) -> DataFrame:
     """(qid, rank, id, filed_at, bm25): the n best drawers of each question (qid, query) by BM25."""
-    terms = _stored(asked_terms(index, questions, n + index.n_dead))
+    terms = stored(asked_terms(index, questions, n + index.n_dead), "search")
     least = terms.groupBy("qid").agg(F.max("nth").alias("least"))
-    found = reaching(index, terms, least)
-    bound = nth_of(found, n, "bm25")
-    tied = found.join(bound, "qid").where(F.col("bm25") >= F.col("nth"))
+    # Ties of the last place stay until time and id decide; tasks pass on no more.
+    place = Window.partitionBy("qid").orderBy(F.desc("bm25"))
+    tied = reaching(index, terms, least).withColumn("place", F.rank().over(place)).where(F.col("place") <= n)
     named = tied.join(index.docs.select("doc", "slot", "id", "filed_at"), ["doc", "slot"])
     return first_n(named, n, F.desc("bm25"), F.desc("filed_at"), F.col("id")).select("qid", "rank", "id", "filed_at", "bm25")
 
@@ -109,10 +104,10 @@ def search_all(index: BlockIndex, drawers: DataFrame, questions: DataFrame, n: i
     The n best drawers of each question by BM25 share, boosts, preference bonus and recency, as a
     search for one question without a vector ranks them.
     """
-    terms = _stored(asked_terms(index, questions, n + index.n_dead))
+    terms = stored(asked_terms(index, questions, n + index.n_dead), "search")
     asked = scoring.asked(questions)
     first = reaching(index, terms, terms.groupBy("qid").agg(F.max("nth").alias("least")))
-    best = _stored(nth_of(first, n, "bm25").where("best > 0"))
+    best = stored(nth_of(first, n, "bm25").where("best > 0"), "search")
     share = F.lit(fv.BM25_WEIGHT)
     spare = F.col("nth") / F.col("best") * share - F.col("bonus") - fv.RECENCY_WEIGHT - 1e-9
     least = best.join(asked.select("qid", "bonus"), "qid").select("qid", (F.greatest(F.lit(0.0), spare) / share * F.col("best")).alias("least"))
@@ -121,7 +116,7 @@ def search_all(index: BlockIndex, drawers: DataFrame, questions: DataFrame, n: i
         "qid", "id", "filed_at", "bm25",
         (share * F.col("bm25") / F.col("best") + scoring.recency(F.col("filed_at"), as_of)).alias("base"),
     )
-    dated = _stored(dated)
+    dated = stored(dated, "search")
     floor = nth_of(dated, n, "base").select("qid", "nth").join(asked, "qid")
     left = dated.join(floor, "qid").where(F.col("base") + F.col("bonus") + 1e-9 >= F.col("nth")).drop("nth", "bonus")
     texts = drawers.select("id", "room", "content", "source_file")
