@@ -15,6 +15,7 @@ from mnemospark.functions.columns import (
     let,
     lines_of,
     quoted,
+    sql_any,
     sql_best,
     trim_ws,
 )
@@ -39,8 +40,16 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n\n"), trim_ws), lambda p: p != "")
 
 
+def _opens_with(patterns: list[str]) -> str:
+    """One pattern that finds where one of the patterns does; all of them begin with ``^``.
+
+    The anchor stands in front once more, so that a line is not walked once for each pattern.
+    """
+    return "^(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"
+
+
 def _is_turn(line: Column) -> Column:
-    return any_of(trim_ws(line).rlike(p) for p in fv.TURN_LINE_PATTERNS)
+    return trim_ws(line).rlike(_opens_with(fv.TURN_LINE_PATTERNS))
 
 
 def segments(text: Column | str) -> Column:
@@ -68,15 +77,16 @@ def segments(text: Column | str) -> Column:
 
 def _is_code(line: Column) -> Column:
     bare = trim_ws(line)
-    letters = F.char_length(F.regexp_replace(bare, r"[^\p{IsAlphabetic}]", ""))
+    letters = F.char_length(F.regexp_replace(bare, r"[^\p{IsAlphabetic}]+", ""))
     size = F.octet_length(bare)
     sparse = (letters / size < fv.CODE_ALPHA_RATIO) & (size > fv.CODE_MIN_BYTES)
-    return (bare != "") & (any_of(bare.rlike(p) for p in fv.CODE_LINE_PATTERNS) | sparse)
+    return (bare != "") & (bare.rlike(_opens_with(fv.CODE_LINE_PATTERNS)) | sparse)
 
 
 def prose(text: Column) -> Column:
     """Text without fenced blocks and code lines; the text itself if none is left."""
-    open_text = F.regexp_replace(text, FENCED_BLOCK_PATTERN, "")
+    fenced = F.regexp_replace(text, FENCED_BLOCK_PATTERN, "")
+    open_text = F.when(text.contains("```"), fenced).otherwise(text)
     kept = F.filter(lines_of(open_text), lambda s: ~_is_code(s))
     out = trim_ws(F.array_join(kept, "\n"))
     return F.when(out == "", text).otherwise(out)
@@ -111,13 +121,39 @@ def required_text(pattern: str) -> str:
     return max(flat.split("\0"), key=len)
 
 
+def required_any(pattern: str) -> list[str]:
+    """Literals of which every match of the pattern holds one; may be empty.
+
+    A long plain run does alone; else the plain branches of a group that must match.
+    """
+    run = required_text(pattern)
+    groups = [] if len(run) > 3 else re.findall(r"\(([a-z |]+)\)(?![?*{])", pattern)
+    choices = [g.split("|") for g in groups if all(map(len, g.split("|")))]
+    best = max(choices, key=lambda c: min(map(len, c)), default=[run])
+    return best if min(map(len, best)) > len(run) else [run] * bool(run)
+
+
+def hurried(pattern: str) -> str:
+    """The same pattern, which looks at the next letter before it looks for a word boundary.
+
+    Unicode word boundaries are dear; most places fail by their letter.
+    """
+    one = re.match(r"\\b([a-z])(?![?*{|])", pattern)
+    if one and "|" not in re.sub(r"\([^)]*\)", "", pattern):
+        return f"(?={one[1]}){pattern}"
+    some = re.match(r"\\b\(([a-z' ]+(?:\|[a-z' ]+)+)\)(?![?*{])", pattern)
+    if some and "|" not in re.sub(r"\([^)]*\)", "", pattern):
+        return f"(?=[{''.join(sorted({w[0] for w in some[1].split('|')}))}]){pattern}"
+    return pattern
+
+
 def sql_marker_count(low: str, patterns: list[str]) -> str:
-    """Total matches.  A pattern is only run on texts that hold its literal part."""
+    """Total matches.  A pattern is only run on texts that hold its literal part, or one of them."""
     parts = []
     for p in patterns:
-        need, regex = required_text(p), quoted(_UNICODE + p)
+        need, regex = required_any(p), quoted(_UNICODE + hurried(p))
         count = f"regexp_count({low}, {regex})"
-        parts.append(f"IF(contains({low}, {quoted(need)}), {count}, 0)" if need else count)
+        parts.append(f"IF({sql_any(low, need)}, {count}, 0)" if need else count)
     return " + ".join(parts)
 
 
@@ -165,7 +201,7 @@ def score_segments(rows: DataFrame, segment: str) -> DataFrame:
             "_mood": F.when(is_problem, sentiment(F.col("_prose"))),
             "_solved": F.when(
                 is_problem,
-                any_of(F.col("_low").rlike(_UNICODE + p) for p in fv.RESOLUTION_MARKERS),
+                any_of(F.col("_low").rlike(_UNICODE + hurried(p)) for p in fv.RESOLUTION_MARKERS),
             ),
         },
     )
