@@ -13,6 +13,8 @@ are sure and h of a set's are hot, q - h others are shared, so only sets with h
 
 Inside a hot group each set is compared with one member, the leader (the one with most hot
 signatures, which is near the group's middle), and described by its difference to the leader's set.
+A leader that is linked with one of more hot signatures leaves its members to that, and the last q - 1
+hot signatures of a set are left aside, so that most sets are described once.
 Two sets that are not both linked to the leader can be similar only if these differences overlap, by
 a number that follows from their sizes; so a prefix of each difference (its elements that are rarest
 in the group first) finds the remaining candidates.
@@ -258,10 +260,28 @@ def set_rows(df: DataFrame, n: int) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, "id long, codes array<long>, size int, sketch array<long>")
 
 
+#: Bits of the filter for each id that it holds; a power of two.
+FILTER_BITS = 32
+
+
+def perhaps_among(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df whose doc_id is in the table ids (doc_id), and a few others: one bit of a broadcast bitmap
+    tells, so that no text is shuffled to find the few that are wanted."""
+    slots = FILTER_BITS << max(0, ids.count().bit_length())
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
+    at = ids.select(slot.alias("_s"))
+    bits = at.groupBy(F.bitmap_bucket_number("_s").alias("_n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_bits"))
+    place = F.col("_p").cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    rows = df.withColumn("_n", F.bitmap_bucket_number(slot)).withColumn("_p", F.bitmap_bit_position(slot))
+    found = rows.join(F.broadcast(bits), "_n").where(F.getbit(byte, place % 8) == 1)
+    return found.drop("_n", "_p", "_bits")
+
+
 def sets_of(df: DataFrame, n: int, *pairs: DataFrame) -> DataFrame:
-    """The sets of the documents in the pairs (a, b), as one table."""
+    """The sets of the documents in the pairs (a, b), as one table, with those of a few others."""
     wanted = reduce(DataFrame.union, (p.select(F.explode(F.array("a", "b")).alias("doc_id")) for p in pairs)).distinct()
-    return written(set_rows(df.join(wanted, "doc_id", "left_semi"), n).dropDuplicates(["id"]))
+    return written(set_rows(perhaps_among(df, written(wanted)), n).dropDuplicates(["id"]))
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -333,6 +353,44 @@ def led(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def least_hot(hot: DataFrame) -> DataFrame:
+    """(sig, a, h): the hot signatures that each document has to be found by, with the number of its hot ones.
+
+    A similar pair that shares no other signature shares q hot ones.  In one order of all signatures the first
+    of these has q - 1 behind it in either document, so the last q - 1 of a document's are of no use; those
+    of the largest groups come last.
+    """
+    sizes = hot.groupBy("sig").agg(F.count(F.lit(1)).alias("c"))
+    q = F.greatest(F.lit(1), F.pmod("ta", F.lit(TAG)))
+    own = hot.select("sig", "a", "ta").join(sizes, "sig").groupBy("a", "ta").agg(F.array_sort(F.collect_set(F.struct("c", "sig"))).alias("own"))
+    kept = own.withColumn("h", F.size("own")).withColumn("keep", F.col("h") - q + 1).where("keep > 0")
+    return kept.select(F.explode(F.slice("own", F.lit(1), F.col("keep").cast("int"))).alias("m"), "a", "h").select("m.sig", "a", "h")
+
+
+def starred(members: DataFrame) -> DataFrame:
+    """(a, b): the leader of each signature's members (sig, a, h), and every other member."""
+    leader = members.groupBy("sig").agg(F.max_by("a", F.struct("h", -F.col("a"))).alias("l"))
+    return members.join(leader, "sig").where("a <> l").select(F.col("l").alias("a"), F.col("a").alias("b")).distinct()
+
+
+def gathered_stars(members: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The stars (a, b) with fewer leaders: one that is linked with a leader of more hot signatures gives its members to that.
+
+    The differences of a group's members may be taken to any one set, if it is the same for all of them; so
+    members that meet in many signatures are described once and not for the leader of each.
+    """
+    rank = members.groupBy("a").agg(F.max("h").alias("h"))
+    heads = stars.select(F.col("a").alias("b")).distinct()
+    near = verified(stars.join(heads, "b", "left_semi"), sets, percent)
+    for name in "ab":
+        near = near.join(rank.select(F.col("a").alias(name), F.struct("h", -F.col("a")).alias(f"r{name}")), name)
+    up = written(near.where("ra > rb").groupBy("b").agg(F.max_by("a", "ra").alias("up")))
+    stars = stars.union(heads.select("b", "b"))  # a leader is a member too
+    for _ in range(2):
+        stars = stars.join(up.select(F.col("b").alias("a"), "up"), "a", "left").select(F.coalesce("up", "a").alias("a"), "b")
+    return stars.where("a <> b").distinct()
+
+
 #: Rounds in which one member of each group of differences is compared with other components.
 STAR_ROUNDS = 2
 
@@ -433,14 +491,11 @@ def jaccard_components(df: DataFrame, n: int = 4, percent: int = 85) -> DataFram
     sure = [F.pmod(f"t{x}", F.lit(TAG)) - F.coalesce(f"h{x}", F.lit(0)) for x in "ab"]
     pairs = written(ordered(to_reps(met.where(F.col("c") >= F.greatest(*sure)).select("a", "b"), "a", "b")))
 
-    in_hot = hot_of.where(F.col("h") >= F.pmod("ta", F.lit(TAG)))
-    members = to_reps(hot.join(in_hot, ["a", "ta"]).select("sig", "a", "h"), "a")
-    members = written(members.groupBy("sig", "a").agg(F.max("h").alias("h")))
-    leader = members.groupBy("sig").agg(F.max_by("a", F.struct("h", -F.col("a"))).alias("l"))
-    stars = members.join(leader, "sig").where("a <> l").select(F.col("l").alias("a"), F.col("a").alias("b")).distinct()
-    stars = written(stars)
+    members = written(to_reps(least_hot(hot), "a").groupBy("sig", "a").agg(F.max("h").alias("h")))
+    stars = written(starred(members))
     sets = sets_of(df, n, pairs, stars)
-    leaders = written(led(stars, sets, percent))
+    stars = written(gathered_stars(members, stars, sets, percent))
+    leaders = written(led(stars.select("a", "b"), sets, percent))
     links = written(verified(pairs, sets, percent).union(leaders.where("linked").select("a", "b")).distinct())
     done = pairs.union(ordered(leaders.select("a", "b")))
     members = None
