@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import CACHE_WORDS, MIX, column, components, mix64, pieces, written
+from mnemospark.llm.common import CACHE_WORDS, MIX, column, components, in_arrow, mix64, pieces, written
 
 #: Members of a signature group up to which all its pairs are compared at once.
 SMALL_GROUP = 12
@@ -138,7 +138,7 @@ def profiles(df: DataFrame, n: int) -> DataFrame:
                 ["doc_id", "n_shingles", "k1", "k2"],
             )
 
-    return df.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long")
+    return in_arrow(df, run, "doc_id long, n_shingles long, k1 long, k2 long")
 
 
 def signature_rows(df: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -167,7 +167,7 @@ def signature_rows(df: DataFrame, n: int, threshold: float) -> DataFrame:
                     ["sig", "doc_id", "tag"],
                 )
 
-    return df.select("doc_id", "text").mapInArrow(run, "sig long, doc_id long, tag int")
+    return in_arrow(df.select("doc_id", "text"), run, "sig long, doc_id long, tag int")
 
 
 def scan_groups(rows: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def scan_groups(rows: DataFrame) -> DataFrame:
         if out[0]:
             yield full()
 
-    return rows.mapInArrow(run, "a long, b long, ta int, tb int, sig long")
+    return in_arrow(rows, run, "a long, b long, ta int, tb int, sig long")
 
 
 def parity_sketch(codes: np.ndarray) -> np.ndarray:
@@ -257,7 +257,7 @@ def set_rows(df: DataFrame, n: int) -> DataFrame:
                 ["id", "codes", "size", "sketch"],
             )
 
-    return df.select("doc_id", "text").mapInArrow(run, "id long, codes array<long>, size int, sketch array<long>")
+    return in_arrow(df.select("doc_id", "text"), run, "id long, codes array<long>, size int, sketch array<long>")
 
 
 #: Bits of the filter for each id that it holds; a power of two.

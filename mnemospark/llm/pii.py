@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import column, pieces
+from mnemospark.llm.common import column, in_arrow, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -301,7 +301,7 @@ def find_spans(df: DataFrame) -> DataFrame:
                 [column(batch, "doc_id"), pa.array(base, pa.string()), pa.array(added, pa.string())], ["doc_id", "base", "added"]
             )
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, base string, added string")
+    return in_arrow(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, base string, added string")
 
 
 def sorted_spans(text: str) -> str:
@@ -329,8 +329,8 @@ def report(df: DataFrame) -> DataFrame:
                 ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"],
             )
 
-    return find_spans(df).mapInArrow(
-        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    return in_arrow(
+        find_spans(df), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     )
 
 
@@ -361,7 +361,7 @@ def without_pii(df: DataFrame) -> DataFrame:
             columns[at] = pa.array([masked(t) for t in columns[at].to_pylist()], batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    out = df.mapInArrow(run, df.schema)
+    out = in_arrow(df, run, df.schema)
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(df.schema["n_chars"].dataType), F.col("n_chars")))
     return out

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import CACHE_WORDS, column, pieces
+from mnemospark.llm.common import CACHE_WORDS, column, in_arrow, pieces
 
 BLOCK = 4096
 SLOT_BITS = 11
@@ -336,7 +336,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end: int = END_ID) ->
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "part long, seq long, n_tokens long, body binary").write.parquet(path)
+    in_arrow(ordered, run, "part long, seq long, n_tokens long, body binary").write.parquet(path)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
@@ -378,6 +378,6 @@ def read_tokens(spark, path: str, digests: bool = False) -> DataFrame:
                     ["doc_id", "start", "n_tokens", last],
                 )
 
-    return files.select("part", "seq", "body").join(starts, ["part", "seq"]).mapInArrow(
-        run, f"doc_id long, start long, n_tokens long, {last} {kind}"
+    return in_arrow(
+        files.select("part", "seq", "body").join(starts, ["part", "seq"]), run, f"doc_id long, start long, n_tokens long, {last} {kind}"
     )

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import CACHE_WORDS, MIX, column, is_held_out, mix64, pieces
+from mnemospark.llm.common import CACHE_WORDS, MIX, column, in_arrow, is_held_out, mix64, pieces
 
 BUCKETS = 1 << 16
 SIZES = (3, 4, 5, 6)
@@ -245,7 +245,7 @@ def score(df: DataFrame, model: Model | None, as_name: str = "score") -> DataFra
             scores = 1 / (1 + np.exp(-np.clip(model.slope * raw + model.shift, -40, 40)))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(scores)], ["doc_id", as_name])
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -273,4 +273,4 @@ def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
             raw = worst(words, model.bias, [words_of(t) for t in piece.column(at).to_pylist()])
             yield piece.filter(pa.array(model.slope * raw + model.shift < 0))
 
-    return documents.mapInArrow(run, documents.schema)
+    return in_arrow(documents, run, documents.schema)
