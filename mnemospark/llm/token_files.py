@@ -20,17 +20,19 @@ block raises an error.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import CACHE_WORDS, column, in_arrow, pieces
+from mnemospark.llm.common import column, in_arrow, pieces
 
 BLOCK = 4096
 SLOT_BITS = 11
@@ -45,51 +47,53 @@ STRETCH = np.round(256 * np.log((_X + 0.5) / (4095.5 - _X))).astype(np.int32)
 SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 32, 4064).astype(np.int32)
 
 
+_P = np.concatenate([_X, _X])
+#: A probability after a bit, at bit * 4096 + probability.
+NEXT = np.clip(_P + (((np.repeat([0, 1], 4096) << 12) - _P) >> 4), 32, 4064).astype(np.int32)
+#: The confidence in a guess (in bits 16 and up) after a wrong and after a right one.
+TRUST = np.array([t >> 1 for t in range(16)] + [min(t + 1, 15) for t in range(16)], np.uint32) << 16
+
+
 class Model:
-    """The adaptive state of many blocks."""
+    """The adaptive state of many blocks: a guess and the confidence in it lie in one number."""
 
     def __init__(self, lanes: int):
         n = np.arange(lanes)
-        self.row, self.slots = n << SLOT_BITS, 1 << SLOT_BITS
-        self.guess = [np.zeros(lanes << SLOT_BITS, np.uint16) for _ in range(2)]
-        self.trust = [np.zeros(lanes << SLOT_BITS, np.uint8) for _ in range(2)]
+        self.row, self.lane16, self.lane2 = n << SLOT_BITS, n << 4, n << 1
+        self.state = [np.zeros(lanes << SLOT_BITS, np.uint32) for _ in range(2)]
         self.hit = [np.full(lanes * 16, 2048, np.int32) for _ in range(3)]
-        self.weight = np.full((2, lanes * 2), 1 << 15, np.int32)
+        self.weight = [np.full(lanes * 2, 1 << 15, np.int32) for _ in range(2)]
         self.tree = np.full(lanes * 256, 2048, np.int32)
 
     def look(self, n: int, before: np.ndarray, before2: np.ndarray) -> tuple:
-        """Slots, guesses and the mixed probability of order 2 for the first n blocks."""
-        one = (before * 40503 >> 3) & (self.slots - 1)
-        two = ((before2 * 31 + before) * 40503 >> 4) & (self.slots - 1)
-        at = [self.row[:n] + two, self.row[:n] + one]
-        guess = [self.guess[k][at[k]] for k in range(2)]
-        same = (guess[0] == guess[1]).astype(np.int64)
-        lane = self.row[:n] >> SLOT_BITS
-        cell = [(lane << 4) + self.trust[k][at[k]] for k in range(2)]
-        logit = [STRETCH[self.hit[k][cell[k]]] for k in range(2)]
-        pick = lane * 2 + same
-        dot = (self.weight[0][pick] * logit[0] + self.weight[1][pick] * logit[1]) >> 16
-        p = SQUASH[np.clip(dot, -2047, 2047) + 2047]
-        return at, guess, same, cell, logit, pick, p
-
-    def learn_mix(self, cell, logit, pick, p, bit) -> None:
-        error = (bit << 12) - p
+        """Slots, states, guesses, cells of confidence and the mixed probability of order 2 for the first n blocks."""
+        slots, row = (1 << SLOT_BITS) - 1, self.row[:n]
+        at = [row + (((before2 * 31 + before) * 40503 >> 4) & slots), row + ((before * 40503 >> 3) & slots)]
+        state = [self.state[k].take(at[k]) for k in range(2)]
+        trust = [x >> 16 for x in state]
+        guess = [x & 0xFFFF for x in state]
+        same = guess[0] == guess[1]
+        cell = [self.lane16[:n] + x for x in trust]
+        chance = [self.hit[k].take(cell[k]) for k in range(2)]
+        logit = [STRETCH.take(x) for x in chance]
+        pick = self.lane2[:n] + same
+        weight = [self.weight[k].take(pick) for k in range(2)]
+        dot = (weight[0] * logit[0] + weight[1] * logit[1]) >> 16
+        p = SQUASH.take(np.minimum(np.maximum(dot, -2047), 2047) + 2047)
+        return at, trust, guess, same, cell, (chance, logit, pick, weight, p)
+
+    def learn_mix(self, cell: list, mix: tuple, hit: np.ndarray) -> None:
+        chance, logit, pick, weight, p = mix
+        bit = hit.astype(np.int32) << 12
+        error = bit - p
         for k in range(2):
-            self.weight[k][pick] += (logit[k] * error) >> 9
-            self._move(self.hit[k], cell[k], bit)
+            self.weight[k][pick] = weight[k] + ((logit[k] * error) >> 9)
+            self.hit[k][cell[k]] = NEXT.take(chance[k] + bit)
 
-    @staticmethod
-    def _move(table: np.ndarray, at: np.ndarray, bit: np.ndarray) -> None:
-        p = table[at]
-        table[at] = np.clip(p + (((bit << 12) - p) >> 4), 32, 4064)
-
-    def learn_ids(self, at, guess, ids: np.ndarray) -> None:
+    def learn_ids(self, at: list, trust: list, guess: list, ids: np.ndarray) -> None:
+        own = ids.astype(np.uint32)
         for k in range(2):
-            right = guess[k] == ids
-            trust = self.trust[k][at[k]]
-            self.trust[k][at[k]] = np.where(right, np.minimum(trust + 1, 15), trust >> 1)
-            replace = at[k][~right]
-            self.guess[k][replace] = ids[~right]
+            self.state[k][at[k]] = TRUST.take(trust[k] + ((guess[k] == own).astype(np.uint32) << 4)) | own
 
 
 class Writer:
@@ -97,74 +101,91 @@ class Writer:
 
     def __init__(self, lanes: int, words: int):
         self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, (1 << 32) - 1, np.int64)
-        self.out, self.at = np.zeros((lanes, words), np.uint32), np.zeros(lanes, np.int64)
+        self.out, self.at = np.zeros((lanes, words), np.uint32), np.arange(lanes) * words
 
-    def _emit(self, lane: np.ndarray) -> None:
-        small = lane[self.range[lane] < 1 << 16]
+    def _emit(self, low: np.ndarray, width: np.ndarray, lane: np.ndarray | None) -> None:
+        small = np.flatnonzero(width < 1 << 16)
         if len(small):
-            self.out[small, self.at[small]] = self.low[small] >> 16
-            self.at[small] += 1
-            self.low[small] = (self.low[small] & 0xFFFF) << 16
-            self.range[small] <<= 16
-
-    def bit(self, lane: np.ndarray, bit: np.ndarray, p: np.ndarray) -> None:
-        width = self.range[lane]
-        bound = (width >> 12) * p
-        self.low[lane] += np.where(bit == 1, 0, bound)
-        self.range[lane] = np.where(bit == 1, bound, width - bound)
-        self._emit(lane)
-
-    def plain(self, lane: np.ndarray, value: np.ndarray) -> None:
-        width = self.range[lane] >> 8
-        self.low[lane] += width * value
-        self.range[lane] = width
-        self._emit(lane)
+            own, value = small if lane is None else lane[small], low[small]
+            at = self.at[own]
+            self.out.reshape(-1)[at] = value >> 16
+            self.at[own] = at + 1
+            low[small] = (value & 0xFFFF) << 16
+            width[small] <<= 16
+
+    def bits(self, lane: np.ndarray | None, n: int, bits: list[np.ndarray], chances: list[np.ndarray], last: np.ndarray | None = None) -> None:
+        """A few decisions one after another, and eight plain bits, for some lanes (None: the first n)."""
+        low, width = (self.low[:n], self.range[:n]) if lane is None else (self.low[lane], self.range[lane])
+        for bit, p in zip(bits, chances):
+            bound = (width >> 12) * p
+            low += np.where(bit, 0, bound)
+            width[:] = np.where(bit, bound, width - bound)
+            self._emit(low, width, lane)
+        if last is not None:
+            width >>= 8
+            low += width * last
+            self._emit(low, width, lane)
+        if lane is not None:
+            self.low[lane], self.range[lane] = low, width
 
     def words(self) -> list[np.ndarray]:
-        lanes = np.arange(len(self.low))
         for _ in range(2):
-            self.out[lanes, self.at] = self.low >> 16
+            self.out.reshape(-1)[self.at] = self.low >> 16
             self.at += 1
             self.low = (self.low & 0xFFFF) << 16
         for i in range(self.out.shape[1] - 1, 0, -1):
             self.out[:, i - 1] += self.out[:, i] >> 16
-        return [(row[:n] & 0xFFFF).astype("<u2") for row, n in zip(self.out, self.at)]
+        sizes = self.at - np.arange(len(self.at)) * self.out.shape[1]
+        return [(row[:n] & 0xFFFF).astype("<u2") for row, n in zip(self.out, sizes)]
 
 
 class Reader:
     """The same coders, reading."""
 
     def __init__(self, words: list[np.ndarray]):
-        self.words = np.zeros((len(words), max(map(len, words)) + 4), np.int64)
+        most = max(map(len, words)) + 4
+        self.words = np.zeros((len(words), most), np.uint16)
         for row, w in zip(self.words, words):
             row[: len(w)] = w
-        self.code = (self.words[:, 0] << 16) | self.words[:, 1]
-        self.at = np.full(len(words), 2)
+        first = np.arange(len(words)) * most
+        self.code = (self.words[:, 0].astype(np.int64) << 16) | self.words[:, 1]
+        self.at, self.last = first + 2, first + most - 1
         self.range = np.full(len(words), (1 << 32) - 1, np.int64)
 
-    def _take(self, lane: np.ndarray) -> None:
-        small = lane[self.range[lane] < 1 << 16]
-        if len(small):
-            self.code[small] = (self.code[small] << 16) | self.words[small, self.at[small]]
-            self.at[small] = np.minimum(self.at[small] + 1, self.words.shape[1] - 1)
-            self.range[small] <<= 16
+    def open(self, lane: np.ndarray | None, n: int) -> None:
+        """The next decisions are those of some lanes (None: the first n)."""
+        self.lane = lane
+        self.own = (self.code[:n], self.range[:n]) if lane is None else (self.code[lane], self.range[lane])
+
+    def close(self) -> None:
+        if self.lane is not None:
+            self.code[self.lane], self.range[self.lane] = self.own
 
-    def bit(self, lane: np.ndarray, p: np.ndarray) -> np.ndarray:
-        width = self.range[lane]
+    def _take(self) -> None:
+        code, width = self.own
+        small = np.flatnonzero(width < 1 << 16)
+        if len(small):
+            own = small if self.lane is None else self.lane[small]
+            at = self.at[own]
+            code[small] = (code[small] << 16) | self.words.reshape(-1)[at]
+            self.at[own] = np.minimum(at + 1, self.last[own])
+            width[small] <<= 16
+
+    def bit(self, p: np.ndarray) -> np.ndarray:
+        code, width = self.own
         bound = (width >> 12) * p
-        code = self.code[lane]
         one = code < bound
-        self.code[lane] = np.where(one, code, code - bound)
-        self.range[lane] = np.where(one, bound, width - bound)
-        self._take(lane)
-        return one.astype(np.int64)
-
-    def plain(self, lane: np.ndarray) -> np.ndarray:
-        width = self.range[lane] >> 8
-        value = np.minimum(self.code[lane] // width, 255)
-        self.code[lane] -= value * width
-        self.range[lane] = width
-        self._take(lane)
+        code -= np.where(one, 0, bound)
+        width[:] = np.where(one, bound, width - bound)
+        self._take()
+        return one
+
+    def plain(self) -> np.ndarray:
+        code, width = self.own
+        width >>= 8
+        value = np.minimum(code // width, 255)
+        code -= value * width
+        self._take()
         return value
 
 
@@ -174,83 +195,98 @@ def _steps(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         yield t, int(np.searchsorted(-sizes, -t, "left"))
 
 
+def _side_by_side(sizes: list[int]) -> Iterator[list[int]]:
+    """The blocks in order of falling size, in groups of about equal numbers up to LANES."""
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    for some in np.array_split(order, -(-len(order) // LANES) or 1):
+        if len(some):
+            yield some.tolist()
+
+
 def encode(blocks: list[np.ndarray]) -> list[np.ndarray]:
     """The code words of each block."""
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     out: list = [None] * len(blocks)
-    for first in range(0, len(order), LANES):
-        some = order[first : first + LANES]
+    for some in _side_by_side([len(b) for b in blocks]):
         sizes = np.array([len(blocks[i]) for i in some])
-        ids = np.zeros((int(sizes.max(initial=0)), len(some)), np.int64)
+        rows = np.zeros((len(some), int(sizes.max(initial=0))), np.int64)
         for lane, i in enumerate(some):
-            ids[: sizes[lane], lane] = blocks[i]
+            rows[lane, : sizes[lane]] = blocks[i]
+        ids = np.ascontiguousarray(rows.T)
         model, writer = Model(len(some)), Writer(len(some), 2 * int(sizes.max(initial=0)) + 8)
         before = before2 = np.zeros(len(some), np.int64)
         for t, n in _steps(sizes):
-            own, lane = ids[t, :n], np.arange(n)
-            at, guess, same, cell, logit, pick, p = model.look(n, before[:n], before2[:n])
-            hit = (guess[0] == own).astype(np.int64)
-            writer.bit(lane, hit, p)
-            model.learn_mix(cell, logit, pick, p, hit)
-            rest = np.flatnonzero((hit == 0) & (same == 0))
-            left = hit == 0
+            own = ids[t, :n]
+            at, trust, guess, same, cell, mix = model.look(n, before[:n], before2[:n])
+            hit = guess[0] == own
+            writer.bits(None, n, [hit], [mix[-1]])
+            model.learn_mix(cell, mix, hit)
+            left = ~hit
+            rest = np.flatnonzero(left & ~same)
             if len(rest):
                 spot = cell[1][rest]
-                again = (guess[1][rest] == own[rest]).astype(np.int64)
-                writer.bit(rest, again, model.hit[2][spot])
-                model._move(model.hit[2], spot, again)
-                left[rest[again == 1]] = False
+                again = guess[1][rest] == own[rest]
+                chance = model.hit[2].take(spot)
+                writer.bits(rest, n, [again], [chance])
+                model.hit[2][spot] = NEXT.take(chance + (again.astype(np.int32) << 12))
+                left[rest[again]] = False
             rest = np.flatnonzero(left)
             if len(rest):
-                high, node = own[rest] >> 8, np.ones(len(rest), np.int64)
-                for k in range(7, -1, -1):
-                    bit, spot = (high >> k) & 1, (rest << 8) + node
-                    writer.bit(rest, bit, model.tree[spot])
-                    model._move(model.tree, spot, bit)
-                    node = node * 2 + bit
-                writer.plain(rest, own[rest] & 255)
-            model.learn_ids(at, guess, own)
+                value = own[rest]
+                nodes = ((value >> 8) | 256) >> DEPTHS  # a row for each decision: the node, and which way it goes
+                spots, ways = nodes + (rest << 8), ((value >> 8) >> (DEPTHS - 1)) & 1
+                chances = model.tree.take(spots)
+                writer.bits(rest, n, list(ways), list(chances), value & 255)
+                model.tree[spots] = NEXT.take(chances + (ways << 12))
+            model.learn_ids(at, trust, guess, own)
             before, before2 = own, before
         for i, words in zip(some, writer.words()):
             out[i] = words
     return out
 
 
+#: Levels that are left below each node of the tree's paths.
+DEPTHS = np.arange(8, 0, -1)[:, None]
+
+
 def decode(words: list[np.ndarray], sizes: list[int]) -> list[np.ndarray]:
     """The ids of each block."""
-    order = sorted(range(len(words)), key=lambda i: -sizes[i])
     out: list = [None] * len(words)
-    for first in range(0, len(order), LANES):
-        some = order[first : first + LANES]
+    for some in _side_by_side(sizes):
         counts = np.array([sizes[i] for i in some])
         ids = np.zeros((int(counts.max(initial=0)), len(some)), np.int64)
         model, reader = Model(len(some)), Reader([words[i] for i in some])
         before = before2 = np.zeros(len(some), np.int64)
         for t, n in _steps(counts):
-            lane = np.arange(n)
-            at, guess, same, cell, logit, pick, p = model.look(n, before[:n], before2[:n])
-            hit = reader.bit(lane, p)
-            model.learn_mix(cell, logit, pick, p, hit)
-            own = np.where(hit == 1, guess[0], 0).astype(np.int64)
-            rest = np.flatnonzero((hit == 0) & (same == 0))
-            left = hit == 0
+            at, trust, guess, same, cell, mix = model.look(n, before[:n], before2[:n])
+            reader.open(None, n)
+            hit = reader.bit(mix[-1])
+            model.learn_mix(cell, mix, hit)
+            own = guess[0].astype(np.int64)
+            left = ~hit
+            rest = np.flatnonzero(left & ~same)
             if len(rest):
                 spot = cell[1][rest]
-                again = reader.bit(rest, model.hit[2][spot])
-                model._move(model.hit[2], spot, again)
-                right = rest[again == 1]
+                chance = model.hit[2].take(spot)
+                reader.open(rest, n)
+                again = reader.bit(chance)
+                reader.close()
+                model.hit[2][spot] = NEXT.take(chance + (again.astype(np.int32) << 12))
+                right = rest[again]
                 own[right] = guess[1][right]
                 left[right] = False
             rest = np.flatnonzero(left)
             if len(rest):
-                node = np.ones(len(rest), np.int64)
+                node, first = np.ones(len(rest), np.int64), rest << 8
+                reader.open(rest, n)
                 for _ in range(8):
-                    spot = (rest << 8) + node
-                    bit = reader.bit(rest, model.tree[spot])
-                    model._move(model.tree, spot, bit)
+                    spot = first + node
+                    chance = model.tree.take(spot)
+                    bit = reader.bit(chance).astype(np.int64)
+                    model.tree[spot] = NEXT.take(chance + (bit << 12))
                     node = node * 2 + bit
-                own[rest] = ((node & 255) << 8) | reader.plain(rest)
-            model.learn_ids(at, guess, own)
+                own[rest] = ((node & 255) << 8) | reader.plain()
+                reader.close()
+            model.learn_ids(at, trust, guess, own)
             ids[t, :n] = own
             before, before2 = own, before
         for lane, i in enumerate(some):
@@ -297,27 +333,34 @@ def unpacked(body: bytes) -> tuple[list[int | None], list[np.ndarray]]:
 
 class Tokens:
     """Ids of texts by a tokenizer of the tokenizers library that never joins across blanks or line
-    ends: each stretch between them is encoded once and kept, for a bounded number of stretches."""
+    ends: each different stretch between them is encoded once a batch."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode, self.known = Tokenizer.from_file(path).encode, {}
-
-    def of(self, text: str | None, end: int) -> np.ndarray:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known, ids = self.known, []
-        for part in (text or "").replace("\n", " ").split(" "):
-            if part:
-                found = known.get(part)
-                if found is None:
-                    found = self.encode(part, add_special_tokens=False).ids
-                    if len(part) < 64:
-                        known[part] = found
-                ids += found
-        ids.append(end)
-        return np.array(ids, np.int64)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
+        self.encode = Tokenizer.from_file(path).encode_batch_fast
+
+    def of(self, texts: pa.Array, end: int) -> list[np.ndarray]:
+        """The ids of each text, with the end id."""
+        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), "\n", " "), " ")
+        known = parts.flatten().dictionary_encode()
+        words = known.dictionary.to_pylist()
+        found, sizes = [], np.empty(len(words), np.int64)
+        for i in range(0, len(words), 10_000):
+            for j, code in enumerate(self.encode(words[i : i + 10_000], add_special_tokens=False), i):
+                ids = code.ids
+                sizes[j] = len(ids)
+                found += ids
+        pool = np.array([*found, end], np.int64)
+        first = np.cumsum(sizes) - sizes
+        # The end id is one more word after the last one of each text.
+        ends = (parts.offsets.to_numpy() - parts.offsets[0].as_py())[1:]
+        word = np.insert(known.indices.to_numpy().astype(np.int64), ends, len(words))
+        first, sizes = np.r_[first, len(found)][word], np.r_[sizes, 1][word]
+        last = np.cumsum(sizes)
+        ids = pool[np.repeat(first - last + sizes, sizes) + np.arange(last[-1] if len(last) else 0)]
+        return np.split(ids, last[ends + np.arange(len(ends))][:-1]) if len(ends) else []
 
 
 def write_tokens(df: DataFrame, path: str, tokenizer: str, end: int = END_ID) -> None:
@@ -326,7 +369,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end: int = END_ID) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, seq = Tokens(tokenizer), TaskContext.get().partitionId(), 0
         for batch in gathered(pieces(batches)):
-            documents = [tokens.of(t, end) for t in column(batch, "text").to_pylist()]
+            documents = tokens.of(column(batch, "text"), end)
             body = packed(column(batch, "doc_id").to_pylist(), documents)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([sum(map(len, documents))], pa.int64()), pa.array([body], pa.binary())],
@@ -339,7 +382,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end: int = END_ID) ->
     in_arrow(ordered, run, "part long, seq long, n_tokens long, body binary").write.parquet(path)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Neighbouring batches joined while their texts stay below a size, so that many blocks are coded side by side."""
     held, total = [], 0
     for batch in batches:
