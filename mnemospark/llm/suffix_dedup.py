@@ -4,13 +4,14 @@ Strings of WIDTH bytes are dealt to shards by content: the string's smallest has
 anchor) decides.  Equal strings have equal anchors at equal places, so only strings of one anchor
 need comparing, and a text's neighbouring strings of one anchor form one segment.  Segments whose
 anchor occurs once are done; so are segments of which all with that anchor are equal.  What is left
-goes, once per distinct segment, to shards: each builds a suffix array (Larsson-Sadakane: order by
-eight bytes, then doubling depths, only unsettled groups again), common prefixes (Kasai, many
-segments side by side) and marks strings whose neighbour in the order shares WIDTH bytes.
+goes, once per distinct segment, to shards: each builds suffix arrays of its anchors, some of them at a time
+(Larsson-Sadakane: order by seven bytes, then doubling depths, only unsettled groups again; a suffix ends
+with its segment), common prefixes (Kasai, many segments side by side, a word of eight bytes at a step) and
+marks strings whose neighbour in the order shares WIDTH bytes.
 
 An anchor with very many distinct segments is split over several shards.  Their strings are merged
 afterwards: fingerprints of the strings are dealt by range, each shard's sorted run is looked up in
-the others' by binary search, and strings found in two runs are marked.
+the others' by binary search, two runs at a time, and strings found in two runs are marked.
 
 Defined results: null texts are empty; texts shorter than WIDTH lose nothing; strings may overlap and
 repeat in one document; rows that repeat an id are documents of their own, told apart by id and text
@@ -33,15 +34,24 @@ from mnemospark.llm.common import MIX, column, mix64, pieces, written
 
 WIDTH = 200
 GRAM = 32
-#: Window starts hashed at once; a position fits the low bits of a key.
+#: Window starts of a text hashed at once, and bytes of texts (or one such stretch more) in a block; a position in
+#: the block fits the low bits of a key.
 CHUNK = 1 << 21
+BLOCK_BYTES = 1 << 16
 PLACE_BITS = 22
 #: Bytes of the segments of one shard, and distinct segments of one anchor in one shard.
 SHARD_BYTES = 2 << 20
 ANCHOR_SEGMENTS = 2000
+#: Bytes of one suffix array, if no anchor has more: small enough for a core's cache.
+PART_BYTES = 1 << 18
+#: Bytes by which suffixes are ordered first: with their number, they fill 64 bits.
+HEAD = 7
+#: Bits of a position of which three fit one sorted integer.
+PACKED = 21
 #: Strings that one task merges.
 RANGE_STRINGS = 200_000
 NO_ID = -(2**63)
+BYTE_HASHES = mix64(np.arange(256, dtype=np.uint64) + np.uint64(MIX[1]))
 
 
 def doubled(codes: np.ndarray, times: int, factor: int) -> np.ndarray:
@@ -65,19 +75,44 @@ def least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[: len(keys) - rest], keys[rest:]) if rest else keys
 
 
-def segments(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor hash, first window start, number of window starts) of each run of windows with one anchor."""
-    every = np.frombuffer(data, np.uint8)
-    span = WIDTH - GRAM + 1
+def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of the texts, of which the offsets cut one text each; offsets); a null text is empty."""
+    held = texts.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = held.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[held.offset : held.offset + len(held) + 1] if len(held) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8), offsets
+
+
+def stretches(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, first byte, bytes) of stretches of texts, in blocks of about BLOCK_BYTES: texts that hold a
+    string, those of more than CHUNK window starts in several stretches."""
+    windows = np.maximum(sizes - (WIDTH - 1), 0)
+    parts = -(-windows // CHUNK)
+    text = np.repeat(np.arange(len(sizes)), parts)
+    begin = (np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)) * CHUNK
+    length = np.minimum(windows[text] - begin, CHUNK) + (WIDTH - 1)
+    block = np.cumsum(length) // BLOCK_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(text)]
+    for first, end in zip(cuts, cuts[1:]):
+        if end > first:
+            yield text[first:end], begin[first:end], length[first:end]
+
+
+def segments(block: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first window start, number of window starts, stretch) of each run of windows with one
+    anchor in a block of stretches of the lengths."""
     place = np.uint64((1 << PLACE_BITS) - 1)
-    for begin in range(0, len(every) - WIDTH + 1, CHUNK):
-        part = every[begin : begin + CHUNK + WIDTH - 1]
-        hashes = mix64(doubled(mix64(part.astype(np.uint64) + np.uint64(MIX[1])), GRAM.bit_length() - 1, MIX[0]))
-        keys = (hashes & ~place) | np.arange(len(hashes), dtype=np.uint64)
-        owner = (least(keys, span) & place).astype(np.int64)
-        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        counts = np.diff(np.r_[starts, len(owner)])
-        yield hashes[owner[starts]].view(np.int64), starts + begin, counts
+    hashes = mix64(doubled(BYTE_HASHES[block], GRAM.bit_length() - 1, MIX[0]))
+    keys = (hashes & ~place) | np.arange(len(hashes), dtype=np.uint64)
+    windows = lengths - (WIDTH - 1)
+    _, at = owned(windows)
+    owner = (least(keys, WIDTH - GRAM + 1)[at] & place).astype(np.int64)
+    new = np.r_[True, owner[1:] != owner[:-1]]
+    border = np.cumsum(windows) - windows
+    new[border] = True
+    first = np.flatnonzero(new)
+    stretch = np.searchsorted(border, first, "right") - 1
+    return hashes[owner[first]].view(np.int64), at[first], np.diff(np.r_[first, len(at)]), stretch
 
 
 def segment_rows(df: DataFrame) -> DataFrame:
@@ -85,111 +120,164 @@ def segment_rows(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            out: list[list] = [[], [], [], [], [], []]
-            for d, t, text in zip(*(column(batch, x).to_pylist() for x in ("d", "t", "text"))):
-                data = (text or "").encode()
-                view = memoryview(data)
-                for anchors, starts, counts in segments(data):
-                    ends = (starts + counts + (WIDTH - 1)).tolist()
-                    seg = np.array([xxhash.xxh3_64_intdigest(view[a:e]) for a, e in zip(starts.tolist(), ends)], np.uint64)
-                    for values, held in zip(
-                        (anchors, seg.view(np.int64), np.full(len(seg), d, np.int64), np.full(len(seg), t, np.int64), starts, counts.astype(np.int32)), out
-                    ):
-                        held.append(values)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["anchor", "seg", "d", "t", "a", "n"])
+            data, offsets = joined(column(batch, "text"))
+            d, t = (column(batch, x).to_numpy(zero_copy_only=False) for x in ("d", "t"))
+            for text, begin, lengths in stretches(np.diff(offsets)):
+                start = offsets[text] + begin
+                block = np.concatenate([data[i:j] for i, j in zip(start.tolist(), (start + lengths).tolist())])
+                anchors, at, counts, stretch = segments(block, lengths)
+                view = memoryview(block)
+                seg = b"".join([xxhash.xxh3_64_digest(view[i:j]) for i, j in zip(at.tolist(), (at + counts + (WIDTH - 1)).tolist())])
+                row = text[stretch]
+                a = begin[stretch] + at - (np.cumsum(lengths) - lengths)[stretch]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (anchors, np.frombuffer(seg, ">i8").astype(np.int64), d[row], t[row], a, counts.astype(np.int32))],
+                    ["anchor", "seg", "d", "t", "a", "n"],
+                )
 
     return df.select("d", "t", "text").mapInArrow(run, "anchor long, seg long, d long, t long, a long, n int")
 
 
-def suffix_array(data: np.ndarray) -> np.ndarray:
-    """The positions in the order of their suffixes: eight bytes first, then twice the depth each round."""
-    n = len(data)
-    padded = np.r_[data, np.zeros(8, np.uint8)].astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | padded[i : i + n]
-    # A suffix shorter than eight bytes comes before those that go on with zero bytes.
-    order = np.lexsort((np.minimum(n - np.arange(n), 8), key))
+def words8(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one integer, the first byte lowest; zeros follow the data, for WIDTH places."""
+    one = np.r_[data, np.zeros(7 + WIDTH, np.uint8)].astype(np.uint64)
+    two = one[:-1] | one[1:] << np.uint64(8)
+    four = two[:-2] | two[2:] << np.uint64(16)
+    return four[:-4] | four[4:] << np.uint64(32)
+
+
+def suffix_array(words: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The positions in the order of their suffixes: HEAD bytes first, then twice the depth each round.
+
+    A suffix ends with its segment, left bytes on; of suffixes that are prefixes of each other the
+    shorter one comes first, of equal ones that of the lower position.  So a suffix is settled once
+    the depth covers what is left of it, and one that still ties goes on beyond the depth.
+    """
+    n = len(left)
+    width = n.bit_length()
+    bits, low = np.uint64(width), np.uint64((1 << width) - 1)
+    key = words[:n].byteswap() >> np.uint64(8) << np.uint64(8)
+    short = np.flatnonzero(left < HEAD)
+    cut = ((HEAD + 1 - left[short]) * 8).astype(np.uint64)
+    key[short] = key[short] >> cut << cut
+    key |= np.minimum(left, HEAD + 1).astype(np.uint64)
+    order = np.argsort(key)
     ranked = key[order]
     new = np.r_[True, ranked[1:] != ranked[:-1]]
-    new |= order + 8 > n
-    new[1:] |= order[:-1] + 8 > n
+    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    ended = np.flatnonzero((ranked & np.uint64(255)) <= np.uint64(HEAD))
+    order[ended] = (np.sort(first[ended].astype(np.uint64) << bits | order[ended].astype(np.uint64)) & low).view(np.int64)
+    new[ended], first[ended] = True, ended
     rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    depth = 8
-    while True:
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.r_[starts, n])
-        at = np.flatnonzero(np.repeat(sizes > 1, sizes))
-        if not len(at):
-            return order
+    rank[order] = first
+    at = np.flatnonzero(~(new & np.r_[new[1:], True]))
+    depth = HEAD
+    while len(at):
         position = order[at]
-        group, then = rank[position], np.full(len(at), -1, np.int64)
-        inside = position + depth < n
-        then[inside] = rank[position[inside] + depth]
-        inner = np.lexsort((then, group))
-        position, group, then = position[inner], group[inner], then[inner]
+        key = (rank[position] << width | rank[position + depth]).view(np.uint64)
+        if width <= PACKED:
+            key = np.sort(key << bits | position.view(np.uint64))
+            position = (key & low).view(np.int64)
+            key >>= bits
+        else:
+            inner = np.argsort(key)
+            position, key = position[inner], key[inner]
         order[at] = position
-        differs = np.r_[True, (group[1:] != group[:-1]) | (then[1:] != then[:-1])]
-        new[at] = differs
+        differs = np.r_[True, key[1:] != key[:-1]]
         rank[position] = np.maximum.accumulate(np.where(differs, at, 0))
+        at = at[~(differs & np.r_[differs[1:], True])]
         depth *= 2
+    return order
+
+
+def equal_bytes(apart: np.ndarray) -> np.ndarray:
+    """Of the eight bytes of two words, as their difference in bits (not 0), the equal ones before the first other one."""
+    lowest = (apart & (~apart + np.uint64(1))).astype(np.float64).view(np.int64) >> 52  # a power of two: its exponent
+    return (lowest - 1023) >> 3
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
-    """For each place of the order, the bytes (at most width) shared with the suffix before it.
+def common_prefixes(words: np.ndarray, order: np.ndarray, left: np.ndarray, starts: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
+    """For each position, the bytes (at most width) that its suffix shares with the one before it in the order.
 
     Positions are visited from left to right, and a prefix shrinks by one byte at most from one to
-    the next; the segments are stretches that advance side by side.
+    the next; the segments are stretches that advance side by side.  One that goes on for a word of
+    eight bytes is compared to the end at once.  Only the first counts positions of each segment are
+    visited; the others, with less than width bytes left, have 0.
     """
-    n = len(data)
+    n = len(left)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
+    most = np.where(before < 0, 0, np.minimum(width, left[before]))
     shared = np.zeros(n, np.int64)
+    by_count = np.argsort(-counts, kind="stable")
+    starts, counts = starts[by_count], counts[by_count]
+    ahead = np.arange(8, width, 8)
     held = np.zeros(len(starts), np.int64)
-    by_length = np.argsort(-lengths, kind="stable")
-    active = np.searchsorted(-lengths[by_length], -np.arange(int(lengths.max(initial=0))), "left")
+    active = np.searchsorted(-counts, -np.arange(int(counts.max(initial=0))), "left")
     for j, lanes in enumerate(active.tolist()):
-        lanes = by_length[:lanes]
-        i = starts[lanes] + j
-        other = before[i]
-        k = np.where(other < 0, 0, np.maximum(held[lanes] - 1, 0))
-        room = np.minimum(width, n - np.maximum(i, other))
-        going = np.flatnonzero((other >= 0) & (k < room))
-        while len(going):
+        i = starts[:lanes] + j
+        room = most[i]
+        k = np.minimum(np.maximum(held[:lanes] - 1, 0), room)
+        going = np.flatnonzero(k < room)
+        if len(going):
             kg = k[going]
-            going = going[data[i[going] + kg] == data[other[going] + kg]]
-            k[going] += 1
-            going = going[k[going] < room[going]]
-        held[lanes] = k
+            here = i[going] + kg
+            there = before[i[going]] + kg
+            apart = words[here] ^ words[there]
+            k[going] += equal_bytes(apart)
+            on = np.flatnonzero(apart == 0)
+            if len(on):
+                apart = words[here[on, None] + ahead] ^ words[there[on, None] + ahead]
+                first = (apart != 0).argmax(1)
+                apart = apart[np.arange(len(on)), first]
+                k[going[on]] = kg[on] + np.where(apart == 0, width, ahead[first] + equal_bytes(apart))
+            k = np.minimum(k, room)
+        held[:lanes] = k
         shared[i] = k
-    return shared[order]
+    return shared
+
+
+def owned(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first position of each segment, position of each window start) in the segments' joined bytes."""
+    lengths = counts + WIDTH - 1
+    starts = np.cumsum(lengths) - lengths
+    return starts, np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
 
 
 def marked(contents: list[bytes], counts: np.ndarray) -> np.ndarray:
     """For each window start of the segments, one after another: whether its WIDTH bytes occur at another start."""
-    data = np.frombuffer(b"".join(contents), np.uint8)
+    words = words8(np.frombuffer(b"".join(contents), np.uint8))
     lengths = counts + WIDTH - 1
-    starts = np.r_[0, np.cumsum(lengths)[:-1]]
-    own = np.repeat(starts - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(int(counts.sum()))
-    order = suffix_array(data)
-    # Neighbours that share WIDTH bytes form a group; positions at which a string would run over
-    # its segment's end are in the order, but are no strings.
-    group = np.cumsum(common_prefixes(data, order, starts, lengths, WIDTH) < WIDTH)
-    is_own = np.zeros(len(data), bool)
-    is_own[own] = True
-    mine = is_own[order]
-    size = np.bincount(group[mine], minlength=int(group[-1]) + 1)
-    hit = np.zeros(len(data), bool)
-    hit[order] = mine & (size[group] > 1)
+    starts, own = owned(counts)
+    left = np.repeat(starts + lengths, lengths) - np.arange(int(lengths.sum()))
+    order = suffix_array(words, left)
+    # Neighbours that share WIDTH bytes are equal strings; what is shorter is in the order, but no string.
+    mine = order[left[order] >= WIDTH]
+    linked = common_prefixes(words, order, left, starts, counts, WIDTH)[mine] >= WIDTH
+    hit = np.zeros(len(left), bool)
+    hit[mine] = linked | np.r_[linked[1:], False]
     return hit[own]
 
 
-def runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last index of each run of true values."""
-    edge = np.diff(np.r_[0, hit.astype(np.int8), 0])
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+def parts_of(anchors: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, end) of stretches of the rows, sorted by anchor: whole anchors, of about PART_BYTES or one anchor."""
+    heads = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])
+    before = (np.cumsum(lengths) - lengths)[heads] // PART_BYTES
+    cuts = [*heads[np.r_[True, before[1:] != before[:-1]]].tolist(), len(anchors)]
+    yield from zip(cuts, cuts[1:])
+
+
+def runs(hit: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first, last index within it) of each run of true values in a segment."""
+    begin = np.cumsum(counts) - counts
+    first, last = hit.copy(), hit.copy()
+    first[1:] &= ~hit[:-1]
+    last[:-1] &= ~hit[1:]
+    first[begin] = hit[begin]
+    last[begin + counts - 1] = hit[begin + counts - 1]
+    first, last = np.flatnonzero(first), np.flatnonzero(last)
+    segment = np.searchsorted(begin, first, "right") - 1
+    return segment, first - begin[segment], last - begin[segment]
 
 
 SPANS = "d long, t long, lo long, hi long"
@@ -222,22 +310,24 @@ def shard_results(contents: DataFrame, ranges: int) -> DataFrame:
     of its distinct strings of split anchors, one row for each range."""
 
     def run(shard: pa.Table) -> pa.Table:
-        counts = shard["n"].to_numpy().astype(np.int64)
+        shard = shard.take(np.argsort(shard["anchor"].to_numpy(), kind="stable"))
+        counts, d, t, a = (shard[x].to_numpy().astype(np.int64) for x in ("n", "d", "t", "a"))
         bodies = shard["content"].to_pylist()
-        hit = marked(bodies, counts)
-        found: list[list] = [[], [], [], []]
-        strings = []
-        at = 0
-        keys = zip(*(shard[x].to_pylist() for x in ("split", "d", "t", "a")), counts.tolist(), bodies)
-        for split, d, t, a, n, body in keys:
-            own = hit[at : at + n]
-            for first, last in zip(*(x.tolist() for x in runs(own))):
-                for value, held in zip((d, t, a + first, a + last + WIDTH), found):
-                    held.append(value)
-            if split:
-                x, y = fingerprints(body, n)
-                strings.append((x, y, np.full(n, d, np.int64), np.full(n, t, np.int64), a + np.arange(n, dtype=np.int64), own))
-            at += n
+        split = shard["split"].to_numpy()
+        hit, strings = [], []
+        for first, end in parts_of(shard["anchor"].to_numpy(), counts + WIDTH - 1):
+            own = marked(bodies[first:end], counts[first:end])
+            hit.append(own)
+            rows = first + np.flatnonzero(split[first:end])
+            if len(rows):
+                n = counts[rows]
+                begin, own_at = owned(n)
+                x, y = fingerprints(b"".join([bodies[i] for i in rows]), int(begin[-1] + n[-1]))
+                start = np.repeat(a[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                chosen = own[np.repeat(split[first:end], counts[first:end])]
+                strings.append((x[own_at], y[own_at], np.repeat(d[rows], n), np.repeat(t[rows], n), start, chosen))
+        row, low, high = runs(np.concatenate(hit), counts)
+        found = [d[row], t[row], a[row] + low, a[row] + high + WIDTH]
         cut = []
         if strings:
             # A string that repeats in this shard is marked already: one stands for all.
@@ -247,11 +337,13 @@ def shard_results(contents: DataFrame, ranges: int) -> DataFrame:
             keep = np.ones(len(x), bool)
             keep[again[same & own[again]]] = False
             cut = list(sorted_run([tuple(np.concatenate([s[k] for s in strings])[keep] for k in range(5))], ranges))
-        n_cut = len(cut)
-        columns = [pa.array([*values, *[None] * n_cut], pa.int64()) for values in found]
-        blank = [None] * len(found[0])
+        columns = [pa.concat_arrays([pa.array(values, pa.int64()), pa.nulls(len(cut), pa.int64())]) for values in found]
+        blank = len(row)
         return pa.table(
-            [*columns, pa.array([*blank, *(c[0] for c in cut)], pa.int64()), pa.array([*blank, *(c[1] for c in cut)], pa.binary())],
+            [
+                *columns, pa.concat_arrays([pa.nulls(blank, pa.int64()), pa.array([c[0] for c in cut], pa.int64())]),
+                pa.concat_arrays([pa.nulls(blank, pa.binary()), pa.array([c[1] for c in cut], pa.binary())]),
+            ],
             names=["d", "t", "lo", "hi", "range", "body"],
         )
 
@@ -272,20 +364,28 @@ def looked_up(x: np.ndarray, y: np.ndarray, in_x: np.ndarray, in_y: np.ndarray)
     return place
 
 
+def merged(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """(x, y, twice) of two sorted runs as one: a pair that is in both occurs twice."""
+    if len(one[0]) < len(two[0]):
+        one, two = two, one
+    x, y, twice = one[0], one[1], one[2].copy()
+    place = looked_up(two[0], two[1], x, y)
+    twice[place[place >= 0]] = True
+    new = place < 0
+    at = np.searchsorted(x, two[0][new], "right")
+    return np.insert(x, at, two[0][new]), np.insert(y, at, two[1][new]), np.insert(twice, at, two[2][new])
+
+
 def merged_spans(sorted_runs: DataFrame) -> DataFrame:
     """(d, t, lo, hi) of strings that two shards of a split anchor share: the sorted runs of a range
-    are merged one after another."""
+    are merged two by two."""
 
     def run(part: pa.Table) -> pa.Table:
         every = [np.frombuffer(b, np.int64).reshape(5, -1) for b in part["body"].to_pylist()]
-        x, y, twice = every[0][0][:0], every[0][1][:0], np.zeros(0, bool)
-        for one in every:
-            place = looked_up(one[0], one[1], x, y)
-            twice[place[place >= 0]] = True
-            new = place < 0
-            x, y, twice = np.r_[x, one[0][new]], np.r_[y, one[1][new]], np.r_[twice, np.zeros(int(new.sum()), bool)]
-            order = np.lexsort((y, x))
-            x, y, twice = x[order], y[order], twice[order]
+        level = [(one[0], one[1], np.zeros(one.shape[1], bool)) for one in every]
+        while len(level) > 1:
+            level = [merged(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        x, y, twice = level[0]
         whole = np.concatenate(every, axis=1)
         d, t, s = whole[2:, twice[looked_up(whole[0], whole[1], x, y)]]
         order = np.lexsort((s, t, d))
@@ -308,13 +408,15 @@ def repeated_spans(df: DataFrame) -> DataFrame:
     spans = held.where("same").select("d", "t", F.col("a").alias("lo"), whole.alias("hi"))
 
     mixed = held.where("not same")
+    # Any one of equal segments stands for all; first takes the four columns from one row, and is hashed where
+    # the least struct would be sorted.
     per_seg = written(
-        mixed.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "t", "a", "n")).alias("at"))
+        mixed.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("c"), *(F.first(x).alias(x) for x in ("d", "t", "a", "n")))
     )
     copies = per_seg.where("c > 1").select("anchor", "seg")
     spans = spans.union(mixed.join(copies, ["anchor", "seg"], "left_semi").select("d", "t", F.col("a").alias("lo"), whole.alias("hi")))
 
-    total = per_seg.agg(F.sum(F.col("at.n") + WIDTH)).first()[0] or 0
+    total = per_seg.agg(F.sum(F.col("n") + WIDTH)).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_BYTES))
     split = (
         per_seg.groupBy("anchor").count().where(F.col("count") > ANCHOR_SEGMENTS)
@@ -324,7 +426,7 @@ def repeated_spans(df: DataFrame) -> DataFrame:
         per_seg.join(split, "anchor", "left")
         .withColumn("split", F.col("parts").isNotNull())
         .withColumn("shard", F.pmod(F.xxhash64("anchor", F.when(F.col("split"), F.pmod("seg", F.col("parts"))).otherwise(F.lit(0))), F.lit(shards)))
-        .select("at.d", "at.t", F.struct("shard", "split", (F.col("c") > 1).alias("copied"), "at.a", "at.n").alias("r"))
+        .select("d", "t", F.struct("shard", "anchor", "split", "a", "n").alias("r"))
     )
     listed = reps.groupBy("d", "t").agg(F.collect_list("r").alias("rs"))  # at most the segments of one text
     contents = written(segment_contents(df.join(listed, ["d", "t"])))
@@ -339,20 +441,22 @@ def segment_contents(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            for d, t, text, listed in zip(*(column(batch, x).to_pylist() for x in ("d", "t", "text", "rs"))):
-                data = (text or "").encode()
-                rows = [(x["shard"], x["split"], d, t, x["a"], x["n"], data[x["a"] : x["a"] + x["n"] + WIDTH - 1]) for x in listed]
-                shard, split, ds, ts, a, n, content = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(shard, pa.int64()), pa.array(split, pa.bool_()), pa.array(ds, pa.int64()), pa.array(ts, pa.int64()),
-                        pa.array(a, pa.int64()), pa.array(n, pa.int32()), pa.array(content, pa.binary()),
-                    ],
-                    ["shard", "split", "d", "t", "a", "n", "content"],
-                )
+            data, offsets = joined(column(batch, "text"))
+            listed = column(batch, "rs")
+            row = np.repeat(np.arange(len(listed)), listed.value_lengths().to_numpy())
+            held = dict(zip([f.name for f in listed.type.value_type], listed.flatten().flatten()))
+            start = offsets[row] + held["a"].to_numpy()
+            end = start + held["n"].to_numpy() + (WIDTH - 1)
+            whole = data.tobytes()
+            content = pa.array([whole[i:j] for i, j in zip(start.tolist(), end.tolist())], pa.binary())
+            d, t = (column(batch, x).take(pa.array(row)) for x in ("d", "t"))
+            yield pa.RecordBatch.from_arrays(
+                [held["shard"], held["anchor"], held["split"], d, t, held["a"], held["n"], content],
+                ["shard", "anchor", "split", "d", "t", "a", "n", "content"],
+            )
 
     return df.select("d", "t", "text", "rs").mapInArrow(
-        run, "shard long, split boolean, d long, t long, a long, n int, content binary"
+        run, "shard long, anchor long, split boolean, d long, t long, a long, n int, content binary"
     )
 
 
@@ -397,9 +501,12 @@ def _results(df: DataFrame, last: str, of_kept) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sizes, gone, counts, values = [], [], [], []
-            for text, spans in zip(column(batch, "text").to_pylist(), column(batch, "spans").to_pylist()):
-                data = (text or "").encode()
-                kept, removed, n = kept_parts(data, [(x["lo"], x["hi"]) for x in spans or ()])
+            spans = column(batch, "spans")
+            lo, hi = (x.to_pylist() for x in spans.flatten().flatten())
+            ends = np.cumsum(spans.value_lengths().fill_null(0).to_numpy()).tolist()
+            for data, begin, end in zip(column(batch, "text").cast(pa.binary()).to_pylist(), [0, *ends], ends):
+                data = data or b""
+                kept, removed, n = kept_parts(data, list(zip(lo[begin:end], hi[begin:end]))) if end > begin else (data, 0, 0)
                 sizes.append(len(data)), gone.append(removed), counts.append(n), values.append(of_kept(kept))
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, gone, counts)), pa.array(values, pa.string())],
